@@ -160,26 +160,38 @@ def to_ntriples(triples: DataFrame, name: str = "line") -> DataFrame:
                           .alias(name))
 
 
+@dataclass(frozen=True)
+class Source:
+    """A table with its mapping. ``unique``: properties whose triples its rows never repeat
+    (``RDF_TYPE`` for the type triples)."""
+
+    table: DataFrame
+    mapping: Mapping
+    unique: tuple[str, ...] = ()
+
+
 class VirtualGraph:
     """A graph that is not stored: tables with their mappings, evaluated per predicate.
 
     A scan for one predicate runs only the mapping steps that make it, so a graph query reads
-    just the tables and columns its predicates come from.
+    just the tables and columns its predicates come from. A predicate that one source makes
+    without repeats needs no ``distinct``, hence no shuffle of its own.
     """
 
-    def __init__(self, *sources: tuple[DataFrame, Mapping]):
+    def __init__(self, *sources: Source):
         self.sources = sources
 
     def scan(self, predicate: str | None = None, cls: str | None = None) -> DataFrame:
         """The set of triples of one predicate (and class, for type triples), or of all."""
-        parts = []
-        for df, mapping in self.sources:
-            m = mapping if predicate is None else only(mapping, [predicate], cls)
+        parts, unique = [], False
+        for source in self.sources:
+            m = source.mapping if predicate is None else only(source.mapping, [predicate], cls)
             if m.steps:
-                parts.append(rows_to_triples(df, m))
+                parts.append(rows_to_triples(source.table, m))
+                unique = predicate in {p if p == RDF_TYPE else m.base + p for p in source.unique}
         if not parts:
-            return self.sources[0][0].sparkSession.createDataFrame([], SCHEMA)
-        return merge_triples(*parts)
+            return self.sources[0].table.sparkSession.createDataFrame([], SCHEMA)
+        return parts[0] if len(parts) == 1 and unique else merge_triples(*parts)
 
 
 def _list_triples(each: ForEach, base: str) -> Column:
