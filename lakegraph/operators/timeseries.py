@@ -133,13 +133,15 @@ def _fill(df, ts, cols, partition_cols, tiebreak, rows_per_bucket, fallback, nex
         ranges = plan_ranges(keyed, series + order, rows_per_bucket)
     cut = keyed.withColumn(BUCKET, ranges.bucket())
     w = Window.partitionBy(*series, BUCKET).orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    after = w.rowsBetween(1, Window.unboundedFollowing)
+    # "After" is "before" in reverse order: a growing frame costs one step per row, whereas a
+    # shrinking one would be read anew for every row.
+    back = Window.partitionBy(*series, BUCKET).orderBy(*[F.desc(c) for c in order])
+    before, after = (x.rowsBetween(Window.unboundedPreceding, -1) for x in (w, back))
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     near = {}
     for i, c in enumerate(cols):
         near[f"_p{i}"] = F.last(c, ignorenulls=True).over(before)
-        near[f"_n{i}"] = F.first(c, ignorenulls=True).over(after)
+        near[f"_n{i}"] = F.last(c, ignorenulls=True).over(after)
         if ranges.count == 1 and next_value == "latest":
             near[f"_l{i}"] = F.last(c, ignorenulls=True).over(whole)
     out = cut.withColumns(near)
@@ -174,12 +176,12 @@ def _carry(cut, ranges, series, order, cols):
         F.min_by(c, known[c]).alias(f"_f{i}"), F.max_by(c, known[c]).alias(f"_e{i}"))]
     summary = cut.groupBy(*series, BUCKET).agg(*aggs)
     w = Window.partitionBy(*(series or [F.lit(0)])).orderBy(BUCKET)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    after = w.rowsBetween(1, Window.unboundedFollowing)
+    back = Window.partitionBy(*(series or [F.lit(0)])).orderBy(F.desc(BUCKET))
+    before, after = (x.rowsBetween(Window.unboundedPreceding, -1) for x in (w, back))
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     carry = summary.select(*series, BUCKET, *[x for i in range(len(cols)) for x in (
         F.last(f"_e{i}", ignorenulls=True).over(before).alias(f"_cp{i}"),
-        F.first(f"_f{i}", ignorenulls=True).over(after).alias(f"_cn{i}"),
+        F.last(f"_f{i}", ignorenulls=True).over(after).alias(f"_cn{i}"),
         F.last(f"_e{i}", ignorenulls=True).over(whole).alias(f"_l{i}"))])
     # Without series columns there is one row per range, at most MAX_BUCKETS of them.
     return carry if series else F.broadcast(carry)
