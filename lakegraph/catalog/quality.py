@@ -11,7 +11,7 @@ from . import query
 def titles(t):
     """Orders as titles. Pending orders have no flag, unspecified priority means no runtime."""
     year = F.year("o_orderdate")
-    return t.orders.select(
+    return t.spread("orders").select(
         F.concat(F.lit("tt"), "o_orderkey").alias("tconst"),
         F.col("o_orderpriority").alias("titleType"),
         F.concat(F.lit("Order "), "o_orderkey").alias("primaryTitle"),
@@ -56,7 +56,7 @@ def rejected_rows(t):
 def title_crew(t):
     """Line items as credits. Some have no directors, some an empty list, some a wrong prefix."""
     nm = lambda c: F.concat(F.lit("nm"), c)
-    return t.lineitem.select(
+    return t.spread("lineitem").select(
         F.concat(F.lit("tt"), "l_orderkey").alias("tconst"),
         F.when(F.col("l_returnflag") != "N", F.array(nm("l_suppkey"), F.lit(""), F.lit(None))).alias("directors"),
         F.when(F.col("l_linestatus") == "O", F.array().cast("array<string>"))
@@ -136,7 +136,7 @@ def constraints_users(t):
 
 def ratings(t):
     """Line items as ratings; quantities above ten are out of range, returned items have none."""
-    return t.lineitem.select(
+    return t.spread("lineitem").select(
         F.col("l_suppkey").cast("string").alias("user_id"),
         F.concat(F.lit("tt"), "l_partkey").alias("movie_id"),
         F.when(F.col("l_returnflag") != "R", F.col("l_quantity").cast("int")).alias("rating"),
@@ -152,7 +152,7 @@ def constraints_ratings(t):
 
 def crew_detail(t):
     flag = F.col("l_returnflag")
-    return t.lineitem.select(
+    return t.spread("lineitem").select(
         F.concat(F.lit("nm"), "l_suppkey").alias("imdb_id"), F.col("l_suppkey").alias("tmdb_id"),
         F.concat(F.lit("Supplier "), "l_suppkey").alias("name"), F.lit("x").alias("original_name"),
         (F.col("l_linestatus") == "F").alias("adult"), F.col("l_extendedprice").alias("popularity"),

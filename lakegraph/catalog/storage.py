@@ -62,7 +62,7 @@ def read_json_map(t):
     full = F.to_json(F.create_map(key, record))
     empty = F.when(F.col("l_linestatus") == "O", F.concat(F.lit('{"'), key, F.lit('": null}')))
     documents = F.filter(F.array(full, empty), lambda x: x.isNotNull())
-    t.lineitem.select(F.explode(documents).alias("value")).write.text(path)
+    t.spread("lineitem").select(F.explode(documents).alias("value")).write.text(path)
     schema = T._parse_datatype_string("id bigint, known_for array<struct<id bigint, popularity double>>")
     rows = readers.read_json_map(t.spark, path, schema, lines=True)
     works = rows.select("key", "value.id", F.explode_outer("value.known_for").alias("w"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import decade_of
 from .bgp import bgp_match
-from .relational import group_count, pivot_fill, semi_join, top_k
+from .relational import group_count, pivot_fill
 from .triples import BASE, RDF_TYPE
 
 
@@ -40,9 +40,15 @@ def genre_evolution(graph, base: str = BASE, after: int = 1900, **options) -> Da
 
 
 def top_genres(counts: DataFrame, k: int = 5) -> DataFrame:
-    """The rows of the ``k`` genres with the largest totals."""
-    names = top_k(counts, "genreName", "count", k).select("genreName")
-    return semi_join(counts, names, "genreName")
+    """The rows of the ``k`` genres with the largest totals; ties in name order.
+
+    A genre carries its decades along (a list with one entry per decade), so the counts are
+    computed once and not a second time to find out which genres lead.
+    """
+    by_genre = counts.groupBy("genreName").agg(
+        F.sum("count").alias("total"), F.collect_list(F.struct("decade", "count")).alias("decades"))
+    top = by_genre.orderBy(F.desc("total"), "genreName").limit(k)
+    return top.select("genreName", F.inline("decades")).select("decade", "genreName", "count")
 
 
 def genre_table(counts: DataFrame, genres: list[str] | None = None) -> DataFrame:

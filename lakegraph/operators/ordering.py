@@ -10,12 +10,15 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..session import work_path
+
 BUCKET = "_bucket"
 ROWS_PER_BUCKET = 50_000
 MAX_BUCKETS = 16_384
@@ -133,31 +136,45 @@ def exact_quantiles(df: DataFrame, col: str, probabilities: list[float],
                     rows_per_bucket: int = ROWS_PER_BUCKET) -> list:
     """Exact quantiles (the element at rank ``ceil(p*n)``) without gathering the column anywhere.
 
-    Equal values are combined before the shuffle, ranges are counted, and only the ranges that
-    hold a wanted rank are ordered. Returns one value per probability, ``[]`` for no values.
+    Two passes over the table. A bounded sketch brackets each quantile to within half a percent
+    of the ranks; then values inside a bracket are counted one by one and all others only by
+    their side of the brackets. That small table is written once, cut into ranges and ordered
+    where the wanted rank is. Returns one value per probability, ``[]`` for no values.
     """
-    counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.count("*").alias("_n"))
+    values = df.filter(F.col(col).isNotNull()).select(F.col(col).alias("_v"))
+    if isinstance(values.schema["_v"].dataType, (T.FloatType, T.DoubleType)):
+        values = values.filter(~F.isnan("_v"))
+    asked = [min(1.0, max(0.0, p + d)) for p in probabilities for d in (-_BRACKET, _BRACKET)]
+    edges = values.approxQuantile("_v", asked, _BRACKET / 2)
+    if not edges:
+        return []
+    brackets = list(zip(edges[::2], edges[1::2]))
+    inside = reduce(lambda a, b: a | b, [F.col("_v").between(lo, hi) for lo, hi in brackets])
+    below = [(F.col("_v") < lo).alias(f"_b{i}") for i, (lo, _) in enumerate(brackets)]
+    path = work_path(df.sparkSession, "quantiles")
+    values.groupBy(F.when(inside, F.col("_v")).alias("_v"), *below).agg(F.count("*").alias("_n")).write.parquet(path)
+    cells = df.sparkSession.read.parquet(path)
+    total, *under = cells.agg(F.sum("_n"), *[
+        F.coalesce(F.sum(F.when(F.col(f"_b{i}"), F.col("_n"))), F.lit(0)) for i in range(len(brackets))]).first()
+    return [
+        _at_rank(cells.filter(F.col("_v").between(lo, hi)).select("_v", "_n"),
+                 max(1, math.ceil(p * total - 1e-9)) - under[i], rows_per_bucket)
+        for i, (p, (lo, hi)) in enumerate(zip(probabilities, brackets))
+    ]
+
+
+_BRACKET = 0.002
+
+
+def _at_rank(counts: DataFrame, rank: int, rows_per_bucket: int):
     ranges = plan_ranges(counts, ["_v"], rows_per_bucket)
     cut = counts.withColumn(BUCKET, ranges.bucket())
-    sizes = sorted((r[BUCKET], r["n"]) for r in cut.groupBy(BUCKET).agg(F.sum("_n").alias("n")).collect())
-    total = sum(n for _, n in sizes)
-    if not total:
-        return []
-    wanted = {}
-    for p in probabilities:
-        rank, seen = max(1, math.ceil(p * total - 1e-9)), 0
-        for bucket, n in sizes:
-            if seen + n >= rank:
-                wanted[p] = (bucket, rank - seen)
+    if ranges.count > 1:
+        # At most MAX_BUCKETS sums; they tell which range holds the rank.
+        for bucket, n in sorted(cut.groupBy(BUCKET).agg(F.sum("_n")).collect()):
+            if rank <= n:
                 break
-            seen += n
+            rank -= n
+        cut = cut.filter(F.col(BUCKET) == bucket)
     running = Window.partitionBy(BUCKET).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ordered = (
-        cut.filter(F.col(BUCKET).isin(*{b for b, _ in wanted.values()}))
-        .withColumn("_cum", F.sum("_n").over(running))
-    )
-    found = ordered.agg(*[
-        F.min(F.when((F.col(BUCKET) == b) & (F.col("_cum") >= r), F.col("_v"))).alias(f"q{i}")
-        for i, (b, r) in enumerate(wanted[p] for p in probabilities)
-    ]).first()
-    return list(found)
+    return cut.withColumn("_cum", F.sum("_n").over(running)).filter(F.col("_cum") >= rank).agg(F.min("_v")).first()[0]

@@ -120,23 +120,52 @@ def only(mapping: Mapping, predicates, cls: str | None = None) -> Mapping:
 
 
 def rows_to_triples(df: DataFrame, mapping: Mapping) -> DataFrame:
-    """All triples of all rows; duplicates stay (``merge_triples`` gives the set)."""
+    """All triples of all rows; duplicates stay (``merge_triples`` gives the set).
+
+    Each row is first opened into one row of its own plus one per list element. Then every key
+    is encoded once, every IRI is put together once, and the triples of that row are lined up
+    from those columns: one pass, no shuffle, compiled code throughout.
+    """
     if not mapping.steps:
         return df.sparkSession.createDataFrame([], SCHEMA)
     if mapping.when is not None:
         df = df.filter(mapping.when)
-    plain = [s for s in mapping.steps if not isinstance(s, ForEach)]
-    if len(mapping.steps) == len(plain) == 1:
-        # No generator needed, so filters and pruning go straight through.
-        return df.select(*_fields(plain[0], mapping.base, None, None)).filter("s IS NOT NULL AND o IS NOT NULL")
-    parts = []
-    if plain:
-        parts.append(F.array(*[_triple(s, mapping.base, None, None) for s in plain]))
-    for each in mapping.steps:
-        if isinstance(each, ForEach):
-            parts.append(_list_triples(each, mapping.base))
-    triples = parts[0] if len(parts) == 1 else F.concat(*parts)
-    return df.select(F.inline(triples)).filter("s IS NOT NULL AND o IS NOT NULL")
+    plain = tuple(s for s in mapping.steps if not isinstance(s, ForEach))
+    lists = [s for s in mapping.steps if isinstance(s, ForEach)]
+    if lists:
+        df = df.select("*", F.inline(_open_lists(plain, lists)))
+    groups = ([(0, plain)] if plain else []) + [(i, each.steps) for i, each in enumerate(lists, 1)]
+
+    keys, nodes = _Names("_key"), _Names("_iri")
+    for part, steps in groups:
+        for step in steps:
+            for node in _nodes(step):
+                nodes.add((part, _identity(node)), (node, [keys.add(_identity(k), k) for k in node.key]))
+    df = _encoded(df, dict(keys.items()))
+    iris = {}
+    for (part, _), (name, (node, parts)) in nodes.entries():
+        iri = F.concat(F.lit(f"{mapping.base}{node.cls}/"), *_between(parts))
+        iris[name] = F.when(F.col(PART) == part, iri) if lists else iri
+    df = df.withColumns(iris)
+
+    def triple(part, step):
+        return _fields(step, mapping.base, lambda node: F.col(nodes.name((part, _identity(node)))))
+
+    if len(groups) == 1 and len(groups[0][1]) == 1:
+        # No generator needed, so filters and pruning go straight through to the scan.
+        part, step = groups[0][0], groups[0][1][0]
+        needed = [F.col(k) for node in _nodes(step) for k in node.key if isinstance(k, str)]
+        needed += [_value(step.value)] if isinstance(step, Attr) else []
+        out = df.filter(reduce(lambda a, b: a & b, [c.isNotNull() for c in needed], F.lit(True)))
+        out = out.select(*triple(part, step))
+    else:
+        triples = None
+        for part, steps in groups:
+            made = F.array(*[F.struct(*triple(part, s)) for s in steps])
+            here = F.col(PART) == part if lists else F.lit(True)
+            triples = F.when(here, made) if triples is None else triples.when(here, made)
+        out = df.select(F.inline(triples))
+    return out.filter("s IS NOT NULL AND o IS NOT NULL")
 
 
 def union_triples(*frames: DataFrame) -> DataFrame:
@@ -194,52 +223,94 @@ class VirtualGraph:
         return parts[0] if len(parts) == 1 and unique else merge_triples(*parts)
 
 
-def _list_triples(each: ForEach, base: str) -> Column:
-    def element(item, index):
-        return F.array(*[_triple(s, base, item, index) for s in each.steps])
+PART, INDEX = "_part", "_index"
+
+
+class _Names:
+    """Column names for keyed expressions, each key once."""
+
+    def __init__(self, prefix: str):
+        self._prefix, self._entries = prefix, {}
+
+    def add(self, key, value) -> str:
+        return self._entries.setdefault(key, (f"{self._prefix}{len(self._entries)}", value))[0]
+
+    def name(self, key) -> str:
+        return self._entries[key][0]
+
+    def items(self):
+        return self._entries.values()
 
-    items = F.filter(F.col(each.array), lambda x: x.isNotNull() & (x.cast("string") != ""))
-    if each.when is not None:
-        items = F.when(each.when, items)
-    nothing = F.array().cast(_ARRAY)
-    return F.coalesce(F.flatten(F.transform(items, element)), nothing)
+    def entries(self):
+        return self._entries.items()
 
 
-def _triple(step, base: str, item, index) -> Column:
-    return F.struct(*_fields(step, base, item, index))
+def _open_lists(plain, lists) -> Column:
+    """``(_part, _index, $item)``: part 0 for the row itself, part i for the elements of list i."""
+    def opened(i, each):
+        items = F.filter(F.col(each.array), lambda x: x.isNotNull() & (x.cast("string") != ""))
+        if each.when is not None:
+            items = F.when(each.when, items)
+        rows = F.transform(items, lambda x, index: _tag(i, index, x.cast("string")))
+        return F.coalesce(rows, F.array().cast(_TAGS))
 
+    parts = [opened(i, each) for i, each in enumerate(lists, 1)]
+    if plain:
+        parts.insert(0, F.array(_tag(0, F.lit(0), F.lit(None).cast("string"))))
+    return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+
+def _tag(part: int, index: Column, item: Column) -> Column:
+    return F.struct(F.lit(part).alias(PART), index.alias(INDEX), item.alias(ITEM))
+
+
+def _nodes(step) -> list[Node]:
+    return [step.node, step.target] if isinstance(step, Link) else [step.node]
 
-def _fields(step, base: str, item, index) -> list[Column]:
-    s = _iri(step.node, base, item)
+
+def _fields(step, base: str, iri) -> list[Column]:
+    s = iri(step.node)
     if isinstance(step, Type):
         fields = (s, F.lit(RDF_TYPE), F.lit(base + step.node.cls), F.lit("iri"), F.lit(None))
     elif isinstance(step, Attr):
-        fields = (s, F.lit(base + step.prop), _value(step.value, item).cast("string"), F.lit("literal"),
+        fields = (s, F.lit(base + step.prop), _value(step.value).cast("string"), F.lit("literal"),
                   F.lit(XSD + step.datatype))
     else:
-        if step.position == "first":
-            s = F.when(index == 0, s)
-        elif step.position == "rest":
-            s = F.when(index > 0, s)
-        fields = (s, F.lit(base + step.prop), _iri(step.target, base, item), F.lit("iri"), F.lit(None))
+        if step.position:
+            s = F.when(F.col(INDEX) == 0 if step.position == "first" else F.col(INDEX) > 0, s)
+        fields = (s, F.lit(base + step.prop), iri(step.target), F.lit("iri"), F.lit(None))
     if step.when is not None:
         fields = (F.when(step.when, fields[0]), *fields[1:])
     return [f.cast("string").alias(c) for f, c in zip(fields, COLUMNS)]
 
 
-def _iri(node: Node, base: str, item) -> Column:
-    parts: list[Column] = []
-    for key in node.key:
-        if parts:
-            parts.append(F.lit("_"))
-        parts.append(encode_iri_part(_value(key, item).cast("string")))
-    return F.concat(F.lit(f"{base}{node.cls}/"), *parts)
+def _between(parts: list[str]) -> list[Column]:
+    out: list[Column] = []
+    for name in parts:
+        if out:
+            out.append(F.lit("_"))
+        out.append(F.col(name))
+    return out
+
+
+def _encoded(df: DataFrame, keys: dict[str, object]) -> DataFrame:
+    """The key columns as text fit for an IRI; numbers, dates and flags need no encoding."""
+    raw = df.select(*[_value(k).alias(name) for name, k in keys.items()]).schema
+    text = {f.name for f in raw.fields if isinstance(f.dataType, (T.StringType, T.TimestampType, T.TimestampNTZType))}
+    parts = {name: _value(k).cast("string") for name, k in keys.items()}
+    return df.withColumns({name: encode_iri_part(c) if name in text else c for name, c in parts.items()})
+
+
+def _identity(key):
+    """What is built once for equal keys and nodes: names by value, expressions by object."""
+    if isinstance(key, Node):
+        return key.cls, tuple(_identity(k) for k in key.key)
+    return key if isinstance(key, str) else id(key)
 
 
-def _value(key, item) -> Column:
-    if isinstance(key, Column):
-        return key
-    return item if key == ITEM else F.col(key)
+def _value(key) -> Column:
+    return key if isinstance(key, Column) else F.col(f"`{key}`")
 
 
-_ARRAY = T.ArrayType(SCHEMA)
+_TAGS = T.ArrayType(T.StructType([
+    T.StructField(PART, T.IntegerType()), T.StructField(INDEX, T.IntegerType()), T.StructField(ITEM, T.StringType())]))

@@ -38,8 +38,18 @@ def read_json_map(spark: SparkSession, path, value_schema: T.StructType, lines:
     return text.select(F.explode(parsed).alias("key", "value"))
 
 
-def read_table(spark: SparkSession, path) -> DataFrame:
-    return spark.read.parquet(path)
+def read_table(spark: SparkSession, path, spread: bool = False) -> DataFrame:
+    df = spark.read.parquet(path)
+    return spread_rows(df) if spread else df
+
+
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Rows of a few files over all cores, for work that is heavy per row; ``df`` is a plain scan.
+
+    A table with at least as many splits as cores, which is any large one, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def read_triples_tsv(spark: SparkSession, path) -> DataFrame:
