@@ -185,6 +185,19 @@ def percentile_trim(t):
     return con.trim_percentiles(t.customer.select("c_custkey", "c_acctbal"), "c_acctbal", rel_error=0)
 
 
+@query("SELECT unnest([0.05, 0.5, 0.95])::DOUBLE AS p, true AS within_error")
+def approx_quantile(t):
+    """The sketch's values have the ranks asked for, give or take one percent."""
+    asked, prices = [0.05, 0.5, 0.95], t.lineitem.select(F.col("l_extendedprice").alias("x"))
+    found = prices.agg(F.percentile_approx("x", asked, 100).alias("q")).scalar()
+    at = [F.element_at(found, i + 1) for i in range(3)]
+    below = [F.avg((F.col("x") < q).cast("double")) for q in at]
+    upto = [F.avg((F.col("x") <= q).cast("double")) for q in at]
+    rows = [F.struct(F.lit(p).alias("p"), ((lo <= p + 0.01) & (hi >= p - 0.01)).alias("within_error"))
+            for p, lo, hi in zip(asked, below, upto)]
+    return prices.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
+
 @query("""SELECT o_orderkey, year(o_orderdate)::INTEGER AS year FROM orders
 WHERE year(o_orderdate) > 1998 AND o_orderpriority LIKE '%HIGH%'""")
 def range_and_contains(t):

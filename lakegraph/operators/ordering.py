@@ -154,18 +154,29 @@ def exact_quantiles(df: DataFrame, col: str, probabilities: list[float],
     path = work_path(df.sparkSession, "quantiles")
     values.groupBy(F.when(inside, F.col("_v")).alias("_v"), *below).agg(F.count("*").alias("_n")).write.parquet(path)
     cells = df.sparkSession.read.parquet(path)
-    total, *under = cells.agg(F.sum("_n"), *[
+    total, single, *under = cells.agg(F.sum("_n"), F.count("_v"), *[
         F.coalesce(F.sum(F.when(F.col(f"_b{i}"), F.col("_n"))), F.lit(0)) for i in range(len(brackets))]).first()
-    return [
-        _at_rank(cells.filter(F.col("_v").between(lo, hi)).select("_v", "_n"),
-                 max(1, math.ceil(p * total - 1e-9)) - under[i], rows_per_bucket)
-        for i, (p, (lo, hi)) in enumerate(zip(probabilities, brackets))
-    ]
+    ranks = [max(1, math.ceil(p * total - 1e-9)) - under[i] for i, p in enumerate(probabilities)]
+    if single <= rows_per_bucket:
+        return _at_ranks(cells, brackets, ranks)
+    return [_at_rank(cells.filter(F.col("_v").between(lo, hi)).select("_v", "_n"), rank, rows_per_bucket)
+            for rank, (lo, hi) in zip(ranks, brackets)]
 
 
 _BRACKET = 0.002
 
 
+def _at_ranks(cells: DataFrame, brackets: list[tuple], ranks: list[int]) -> list:
+    """All ranks at once, for cells few enough to be one range."""
+    running = Window.partitionBy(F.lit(0)).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = [F.col("_v").between(lo, hi) for lo, hi in brackets]
+    cumulated = cells.filter("_v IS NOT NULL").withColumns({
+        f"_c{i}": F.sum(F.when(here, F.col("_n"))).over(running) for i, here in enumerate(inside)})
+    return list(cumulated.agg(*[
+        F.min(F.when(here & (F.col(f"_c{i}") >= rank), F.col("_v"))).alias(f"q{i}")
+        for i, (here, rank) in enumerate(zip(inside, ranks))]).first())
+
+
 def _at_rank(counts: DataFrame, rank: int, rows_per_bucket: int):
     ranges = plan_ranges(counts, ["_v"], rows_per_bucket)
     cut = counts.withColumn(BUCKET, ranges.bucket())

@@ -40,7 +40,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     a temporary folder is made, which is right for one machine and nothing else.
     """
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
         folder = tempfile.mkdtemp(prefix="lakegraph-")
     if not sc.getCheckpointDir():
