@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,7 +115,7 @@ def global_row_number(df: DataFrame, order: list[str], name: str, rows_per_bucke
                       weight: str | None = None) -> DataFrame:
     """``row_number`` over the whole table (or a running sum of ``weight``), range by range.
 
-    The offsets table has one row per range, hence at most ``MAX_BUCKETS`` rows, and is broadcast.
+    The sizes of the ranges, at most ``MAX_BUCKETS`` numbers, are read first and become a literal.
     """
     ranges = plan_ranges(df, order, rows_per_bucket)
     cut = df.withColumn(BUCKET, ranges.bucket())
@@ -123,13 +124,10 @@ def global_row_number(df: DataFrame, order: list[str], name: str, rows_per_bucke
     numbered = cut.withColumn(name, F.sum(step).over(inside).cast("bigint"))
     if ranges.count == 1:
         return numbered.drop(BUCKET)
-    sizes = cut.groupBy(BUCKET).agg(F.sum(step).alias("_size"))
-    before = Window.partitionBy(F.lit(0)).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(BUCKET, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    return (
-        numbered.join(F.broadcast(offsets), BUCKET)
-        .withColumn(name, F.col(name) + F.col("_offset")).drop(BUCKET, "_offset")
-    )
+    sizes = {r[0]: r[1] for r in cut.groupBy(BUCKET).agg(F.sum(step)).collect()}
+    before = accumulate((sizes.get(b, 0) for b in range(ranges.count)), initial=0)
+    offsets = F.array(*[F.lit(n).cast("bigint") for n in before])
+    return numbered.withColumn(name, F.col(name) + F.get(offsets, F.col(BUCKET))).drop(BUCKET)
 
 
 def exact_quantiles(df: DataFrame, col: str, probabilities: list[float],

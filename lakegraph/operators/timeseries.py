@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..session import work_path
 from .ordering import BUCKET, ROWS_PER_BUCKET, plan_ranges, time_key, with_halo
 from .profile import numeric_columns
 
@@ -183,6 +184,10 @@ def _carry(cut, ranges, series, order, cols):
         F.last(f"_e{i}", ignorenulls=True).over(before).alias(f"_cp{i}"),
         F.last(f"_f{i}", ignorenulls=True).over(after).alias(f"_cn{i}"),
         F.last(f"_e{i}", ignorenulls=True).over(whole).alias(f"_l{i}"))])
+    # Written, so that the join below meets a table of its own and not a second copy of its input.
+    path = work_path(cut.sparkSession, "carry")
+    carry.write.parquet(path)
+    carry = cut.sparkSession.read.parquet(path)
     # Without series columns there is one row per range, at most MAX_BUCKETS of them.
     return carry if series else F.broadcast(carry)
 

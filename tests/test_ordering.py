@@ -43,6 +43,16 @@ def test_global_row_number(frame, rows):
     assert sorted(got.select("id", "rn").collect()) == sorted(want.select("id", "rn").collect())
 
 
+def test_row_numbers_of_a_table_on_disk(spark, frame, tmp_path):
+    frame.write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    for keys in (["id"], ["v"], ["k", "id"]):
+        got = o.global_row_number(stored, keys, "rn", 300)
+        assert got.agg(F.count_distinct("rn"), F.min("rn"), F.max("rn")).first() == (5000, 1, 5000)
+        assert got.orderBy(*keys).select("rn").first()[0] == 1
+        assert o.global_row_number(stored.withColumn("n", F.lit(2)), keys, "rn", 300, "n").agg(F.max("rn")).first()[0] == 10000
+
+
 @pytest.mark.parametrize("rows", [5, 10_000])
 def test_exact_quantiles(spark, rows):
     rng = np.random.default_rng(3)
