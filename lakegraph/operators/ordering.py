@@ -24,6 +24,7 @@ BUCKET = "_bucket"
 ROWS_PER_BUCKET = 50_000
 MAX_BUCKETS = 16_384
 _OVERSAMPLE = 16
+_TREE = 63
 
 
 @dataclass(frozen=True)
@@ -40,20 +41,62 @@ class Ranges:
         return len(self.bounds) + 1
 
     def bucket(self) -> Column:
-        """Number of split points at or below the row's key, by binary search over a literal array."""
-        if not self.bounds:
-            return F.lit(0)
-        names = [f"k{i}" for i in range(len(self.keys))]
-        points = F.array(*[
-            F.struct(*[F.lit(v).cast(t).alias(n) for v, t, n in zip(b, self.types, names)]) for b in self.bounds
-        ])
-        key = F.struct(*[F.col(k).alias(n) for k, n in zip(self.keys, names)])
-        top = 1 << (len(self.bounds).bit_length() - 1)
-        steps = F.array(*[F.lit(top >> i) for i in range(top.bit_length())])
-        return F.aggregate(
-            steps, F.lit(0),
-            lambda pos, step: F.when(F.get(points, pos + step - 1) <= key, pos + step).otherwise(pos),
-        )
+        """Number of split points at or below the row's key.
+
+        Up to ``_TREE`` split points are a tree of plain comparisons, which compiles. Beyond that
+        the tree finds a stretch of split points and a binary search over literal arrays the rest.
+        """
+        n = len(self.bounds)
+        step = 1 << max(0, math.ceil(math.log2((n + 1) / (_TREE + 1))))
+        coarse = self._tree(self.bounds[step - 1::step])
+        if step == 1:
+            return coarse
+        literals = [F.array(*[F.lit(b[i]).cast(t) for b in self.bounds]) for i, t in enumerate(self.types)]
+        steps = F.array(*[F.lit(step >> i) for i in range(1, step.bit_length())])
+
+        def advance(pos, by):
+            at = pos + by - 1
+            reached = self._reaches([F.get(values, at) for values in literals])
+            return F.when((at < n) & reached, pos + by).otherwise(pos)
+
+        return F.aggregate(steps, coarse * step, advance)
+
+    def _tree(self, bounds, i: int = 0, base: int = 0) -> Column:
+        """``base`` plus the number of ``bounds`` at or below the key from its ``i``-th part on.
+
+        A node compares one part of the key with one value, and goes on to the next part only
+        where they are equal, which keeps the compiled method small enough for the JIT.
+        """
+        if not bounds or i == len(self.keys):
+            return F.lit(base + len(bounds))
+        key, groups = F.col(self.keys[i]), {}
+        for bound in bounds:
+            groups.setdefault(bound[i], []).append(bound)
+        nulls = groups.pop(None, [])
+        values = list(groups)
+        before = list(accumulate((len(groups[v]) for v in values), initial=base + len(nulls)))
+
+        def search(lo: int, hi: int) -> Column:
+            if lo < hi:
+                mid = (lo + hi) // 2
+                return F.when(key >= literal(values[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
+            if lo == 0 or i + 1 == len(self.keys):
+                return F.lit(before[lo])
+            v = values[lo - 1]
+            return F.when(key == literal(v), self._tree(groups[v], i + 1, before[lo - 1])).otherwise(F.lit(before[lo]))
+
+        literal = lambda v: F.lit(v).cast(self.types[i])
+        out = search(0, len(values))
+        return F.when(key.isNull(), self._tree(nulls, i + 1, base)).otherwise(out) if nulls else out
+
+    def _reaches(self, bound: list[Column]) -> Column:
+        """Key at or above the bound in Spark's order, nulls first; null counts as no."""
+        out = F.lit(True)
+        for name, value in reversed(list(zip(self.keys, bound))):
+            key = F.col(name)
+            above = (key > value) | (key.isNotNull() & value.isNull())
+            out = above | (key.eqNullSafe(value) & out)
+        return out
 
 
 def plan_ranges(df: DataFrame, keys: list[str], rows_per_bucket: int = ROWS_PER_BUCKET,

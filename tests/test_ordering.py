@@ -31,6 +31,16 @@ def test_ranges_follow_the_key_order(spark, frame):
     assert max(r["n"] for r in spans) < 400  # the hot key is spread
 
 
+@pytest.mark.parametrize("tree", [1, 3, 127])
+def test_tree_and_search_agree(frame, monkeypatch, tree):
+    ranges = o.plan_ranges(frame, ["k", "v"], 100)
+    monkeypatch.setattr(o, "_TREE", tree)
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    bounds = [key(b) for b in ranges.bounds]
+    for r in frame.select("k", "v", ranges.bucket().alias("b")).collect():
+        assert r["b"] == sum(b <= key((r["k"], r["v"])) for b in bounds)
+
+
 def test_a_repeated_key_is_reported_as_heavy(frame):
     assert o.plan_ranges(frame, ["k"], 100).heavy
     assert not o.plan_ranges(frame, ["k", "id"], 100).heavy
