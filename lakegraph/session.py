@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -36,13 +35,13 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for written intermediates.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only when that is unset (a local test run)
-    a temporary folder is made, which is right for one machine and nothing else.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, a folder beside the managed
+    tables (``spark.sql.warehouse.dir``) is used, which every executor reaches as well.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="lakegraph-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder

@@ -3,10 +3,12 @@
 import pytest
 from oracle import compare, connect
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from lakegraph.catalog import all_queries as queries
+from lakegraph.catalog import all_sql
 
 FOLDER = "/root/testdata/sf0.001"
-SQL = oracle_sql()
+SQL = all_sql()
 
 
 @pytest.fixture(scope="module")
