@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from lakegraph.llm import op2_bpe as op2
+from lakegraph.llm import op4_line_dedup as op4
+from lakegraph.llm import op6_decontaminate as op6
 from lakegraph.llm import op8_minhash_dedup as op8
 
 QUERIES = {
+    "op2_bpe": op2.op2_bpe,
+    "op4_line_dedup": op4.op4_line_dedup,
+    "op6_decontaminate": op6.op6_decontaminate,
     "op8_minhash_dedup": op8.op8_minhash_dedup,
 }
-SQL: dict[str, str] = {}
+SQL = {
+    "op4_line_dedup": op4.SQL,
+    "op6_decontaminate": op6.SQL,
+}
