@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakegraph.llm.shared import arrow_rows, table
+from lakegraph.llm.shared import table, with_arrow
 
 LONGEST = 256
 ROWS = 2048
@@ -237,22 +237,10 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
-def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0] + [len(a) for a in arrays])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*arrays, np.zeros(0, np.int32)]).astype(np.int32), kind))
-
-
-def _replace(df: DataFrame, source: str, target: str, kind: T.DataType, function) -> DataFrame:
-    """``df`` with the column ``target`` made from ``source`` by a function of an Arrow column."""
-    passed = [c for c in df.columns if c.lower() != target]
-    schema = T.StructType([df.schema[c] for c in passed] + [T.StructField(target, kind)])
-    names = schema.names
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], function(batch.column(0))], names)
-    arrow_rows(df.sparkSession)
-    return df.select(df[source], *[df[c] for c in passed]).mapInArrow(run, schema)
+    values = np.concatenate([*arrays, np.zeros(0, np.uint16)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -261,18 +249,18 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFr
     Each match of the pattern is merged on its own. A null or empty text has no ids. Every worker reads
     the rank file at ``path``.
     """
-    def ids(column: pa.Array) -> pa.Array:
-        return _lists(vocabulary(path, pattern).encode([t or "" for t in column.to_pylist()]), pa.int32())
-    return _replace(df, text, "ids", T.ArrayType(T.IntegerType()), ids)
+    def ids(column: pa.Array) -> list[pa.Array]:
+        return [_lists(vocabulary(path, pattern).encode([t or "" for t in column.to_pylist()]))]
+    return with_arrow(df, [text], [T.StructField("ids", T.ArrayType(T.IntegerType()))], ids)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """``df`` with ``decoded``, the bytes of the ids; null ids give no bytes. A column of that name is replaced."""
-    def raw(column: pa.Array) -> pa.Array:
+    def raw(column: pa.Array) -> list[pa.Array]:
         own = vocabulary(path, pattern)
         values, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *column.value_lengths().fill_null(0).to_pylist()])
-        return pa.array([own.decode(values[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.binary())
-    return _replace(df, ids, "decoded", T.BinaryType(), raw)
+        return [pa.array([own.decode(values[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.binary())]
+    return with_arrow(df, [ids], [T.StructField("decoded", T.BinaryType())], raw)
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
@@ -282,8 +270,8 @@ def tokenised(docs: DataFrame) -> DataFrame:
     return decode(encode(docs.select("doc_id", "text"), *file).select("doc_id", "ids"), *file)
 
 
-def digests(tokens: DataFrame) -> DataFrame:
-    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+def digests(tokens: DataFrame, *more: str) -> DataFrame:
+    return tokens.select("doc_id", *more, F.size("ids").cast("long").alias("n_tokens"),
                          F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                          F.sha2("decoded", 256).alias("decoded_sha256"))
 

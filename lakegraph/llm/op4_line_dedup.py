@@ -17,11 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakegraph.llm.shared import LOWER, SPACES, UPPER, arrow_rows, stored, table
+from lakegraph.llm.shared import LOWER, SPACES, UPPER, arrow_rows, stored, table, with_arrow
 
 MIN_CHARS, MIN_DOCS = 10, 2
 _STRIP = SPACES.decode()
-OUTPUTS = ("text", "n_lines", "n_dropped")
 
 
 def line_key(line: str, min_chars: int) -> bytes | None:
@@ -47,26 +46,24 @@ def _keys(min_chars: int):
     return run
 
 
-def _rest(min_chars: int, names: list[str]):
-    """Columns: the drop list, the text, then all that is passed on."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, lines, dropped = [], [], []
-            for drop, text in zip(batch.column(0), batch.column(1)):
-                parts = (text.as_py() or "").split("\n")
-                lines.append(len(parts))
-                if drop.is_valid:
-                    drop = set(drop.as_py())
-                    parts = [p for p in parts if line_key(p, min_chars) not in drop]
-                texts.append("\n".join(parts))
-                dropped.append(lines[-1] - len(parts))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[2:], pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names)
+def _rest(min_chars: int):
+    def run(drops: pa.Array, column: pa.Array) -> list[pa.Array]:
+        texts, lines, dropped = [], [], []
+        for drop, text in zip(drops, column):
+            parts = (text.as_py() or "").split("\n")
+            lines.append(len(parts))
+            if drop.is_valid:
+                drop = set(drop.as_py())
+                parts = [p for p in parts if line_key(p, min_chars) not in drop]
+            texts.append("\n".join(parts))
+            dropped.append(lines[-1] - len(parts))
+        return [pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
     return run
 
 
-def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with the lines that stay as ``text``, and ``n_lines``, ``n_dropped``.
+def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
+                      counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with the lines that stay as ``text``, and ``n_lines``, ``n_dropped`` or other names.
 
     Other columns pass; columns named like an output are replaced by it. A null or empty text is one
     empty line. Rows that share a doc_id are one document: none of them loses a line for another. Rows
@@ -79,11 +76,9 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
                     .filter(F.col("n") >= min_docs).select("key", "keeper"), "shared-lines")
     drops = stored(keys.join(shared, "key").filter("doc_id <> keeper")
                    .groupBy(F.col("doc_id").alias("_owner")).agg(F.collect_set("key").alias("_drop")), "drops")
-    passed = [c for c in docs.columns if c.lower() not in OUTPUTS]
-    joined = docs.join(drops.hint("shuffle_hash"), docs["doc_id"].cast("long") == drops["_owner"], "left")
-    schema = T.StructType([docs.schema[c] for c in passed] + [
-        T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return joined.select("_drop", docs["text"], *[docs[c] for c in passed]).mapInArrow(_rest(min_chars, schema.names), schema)
+    joined = docs.join(drops.hint("shuffle_hash"), docs["doc_id"].cast("long") == drops["_owner"], "left").drop("_owner")
+    outputs = [T.StructField("text", T.StringType()), *[T.StructField(c, T.LongType()) for c in counts]]
+    return with_arrow(joined, ["_drop", "text"], outputs, _rest(min_chars)).drop("_drop")
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

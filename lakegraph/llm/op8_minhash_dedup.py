@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakegraph.llm.components import components
-from lakegraph.llm.shared import SHINGLE_WORDS, arrow_rows, mix, shingle_sets, stored
+from lakegraph.llm.shared import SHINGLE_WORDS, arrow_rows, by_group, forest, mix, shingle_sets, stored
 
 BANDS, BAND_ROWS = 40, 5
 MINIMA = BANDS * BAND_ROWS
-TILE_ROWS, TILE_SHINGLES = 64, 1 << 15
+TILE_ROWS, TILE_SHINGLES = 128, 1 << 16
 # A similarity estimated from 200 minima is off by more than 0.15 once in about a million.
 MARGIN = 0.15
 # Nodes whose texts are fetched by a broadcast of their ids; more are fetched by a shuffle join.
@@ -148,50 +148,15 @@ def links_of(nodes: list[int], side: np.ndarray, marks: np.ndarray, sets: list[n
     rows = np.unique(np.concatenate([i, j]))
     shared = common([sets[r] for r in rows])[np.searchsorted(rows, i), np.searchsorted(rows, j)]
     linked = 100 * shared >= percent * (size[i] + size[j] - shared)
-    root: dict[int, int] = {}
-
-    def find(x):
-        while root.get(x, x) != x:
-            x = root[x] = root.get(root[x], root[x])
-        return x
-    found = []
-    for a, b in zip(i[linked].tolist(), j[linked].tolist()):
-        a, b = nodes[a], nodes[b]
-        x, y = find(a), find(b)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            found.append((a, b))
-    return found
+    return forest([nodes[r] for r in i[linked]], [nodes[r] for r in j[linked]])
 
 
 def _compare(percent: int):
-    """Rows come sorted by pair of tiles; each group of them is compared when it is complete."""
     def one(group: list[tuple]) -> list[tuple]:
         nodes, second, marks, sets = zip(*group)
         return links_of(list(nodes), np.array(second), np.array([np.frombuffer(m, np.uint32) for m in marks]),
                         [np.frombuffer(s, np.uint64) for s in sets], percent)
-
-    def batch_of(found: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()),
-                                           pa.array([y for _, y in found], pa.int64())], ["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, found = None, [], []
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for pair, *row in zip(*columns):
-                if pair != key:
-                    if len(group) > 1:
-                        found += one(group)
-                    key, group = pair, []
-                    if len(found) > 1000:
-                        yield batch_of(found)
-                        found = []
-                group.append(row)
-        if len(group) > 1:
-            found += one(group)
-        yield batch_of(found)
-    return run
+    return by_group(one, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
 def candidate_tiles(marks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -199,12 +164,22 @@ def candidate_tiles(marks: DataFrame) -> tuple[DataFrame, DataFrame]:
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(
         i, F.slice("marks", i * BAND_ROWS + 1, BAND_ROWS)))).alias("key")
     rows = stored(marks.select("node", "n_shingles", band), "bands")
-    buckets = stored(rows.groupBy("key").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("total"))
-                     .filter("size > 1"), "buckets")
+    buckets = stored(rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
     shared = stored(rows.join(buckets, "key"), "shared")
-    home = shared.groupBy("node").agg(F.max(F.struct("size", "key", "total")).alias("home"))
-    pieces = F.ceil(F.greatest(F.col("home.size") / TILE_ROWS, F.col("home.total") / TILE_SHINGLES))
-    tiles = stored(home.select("node", F.xxhash64("home.key", F.pmod(F.xxhash64("node"), pieces)).alias("tile")), "tiles")
+    first = stored(shared.groupBy("node").agg(F.max(F.struct("size", "key")).alias("h"), F.first("n_shingles").alias("n_shingles"))
+                   .select("node", "n_shingles", F.col("h.key").alias("home")), "first-homes")
+    # A node moves to the most crowded home that any bucket of it leads to, else stragglers of a large
+    # group would each bring a tile of their own to every tile of the group.
+    crowd = stored(first.groupBy("home").agg(F.count("*").alias("crowd")), "crowds")
+    at = stored(first.join(crowd, "home").select("node", "n_shingles", F.struct("crowd", "home").alias("h")), "at")
+    led = stored(shared.select("key", "node").join(at, "node"), "led")
+    best = stored(led.groupBy("key").agg(F.max("h").alias("best")), "best")
+    home = stored(led.join(best, "key").groupBy("node").agg(F.max("best").alias("h"), F.first("n_shingles").alias("n_shingles"))
+                  .select("node", "n_shingles", F.col("h.home").alias("home")), "homes")
+    pieces = F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum("n_shingles") / TILE_SHINGLES))
+    cut = stored(home.groupBy("home").agg(pieces.alias("pieces")), "pieces")
+    tiles = stored(home.join(cut, "home").select(
+        "node", F.xxhash64("home", F.pmod(F.xxhash64("node"), "pieces")).alias("tile")), "tiles")
     met = stored(shared.select("key", "node").join(tiles, "node").select("key", "tile").distinct(), "met")
     pairs = met.withColumnRenamed("tile", "t1").join(met.withColumnRenamed("tile", "t2"), "key").filter("t1 <= t2")
     return tiles, stored(pairs.select("t1", "t2").distinct(), "pairs")

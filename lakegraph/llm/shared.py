@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakegraph.session import work_path
 
@@ -162,3 +163,61 @@ def shingle_sets(column: pa.Array, k: int = SHINGLE_WORDS) -> Iterator[tuple[int
                 yield row, mix((words[a:b] * _PLACE[:b - a]).sum(keepdims=True) + _PLACE[k + b - a])
             else:
                 yield row, joined[:0]
+
+
+def with_arrow(df: DataFrame, inputs: list[str], outputs: list[T.StructField], function) -> DataFrame:
+    """``df`` with columns made by ``function(*input arrays) -> list of arrays``, batch by batch.
+
+    All other columns pass through; a column named like an output is replaced by it.
+    """
+    made = {f.name.lower() for f in outputs}
+    passed = [c for c in df.columns if c.lower() not in made]
+    schema = T.StructType([df.schema[c] for c in passed] + outputs)
+    n, names = len(inputs), schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[n:], *function(*batch.columns[:n])], names)
+    arrow_rows(df.sparkSession)
+    return df.select(*[df[c] for c in inputs], *[df[c] for c in passed]).mapInArrow(run, schema)
+
+
+def forest(a: list, b: list) -> list[tuple]:
+    """Those of the links (a, b) that join two parts which the links before did not."""
+    root: dict = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x] = root.get(root[x], root[x])
+        return x
+    kept = []
+    for x, y in zip(a, b):
+        p, q = find(x), find(y)
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            kept.append((x, y))
+    return kept
+
+
+def by_group(function, schema: pa.Schema):
+    """For mapInArrow over rows sorted by their first column: ``function(rows without it) -> tuples``."""
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*found)) or [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group, found = None, [], []
+        for batch in batches:
+            for head, *row in zip(*[c.to_pylist() for c in batch.columns]):
+                if head != key:
+                    if len(group) > 1:
+                        found += function(group)
+                    key, group = head, []
+                    if len(found) > 4096:
+                        yield batch_of(found)
+                        found = []
+                group.append(row)
+        if len(group) > 1:
+            found += function(group)
+        yield batch_of(found)
+    return run
