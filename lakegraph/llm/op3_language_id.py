@@ -28,7 +28,7 @@ BUCKETS = 1 << BITS
 LONGEST_GRAM = 4
 STEPS, RATE, MOMENTUM, DECAY = 80, 4.0, 0.9, 1e-5
 # The loss is scaled by this before the softmax; two losses closer than this are ambiguous.
-SHARPNESS, AMBIGUOUS = 4.0, 0.05
+SHARPNESS, AMBIGUOUS = 4.0, 0.02
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _FOLD = np.arange(256, dtype=np.uint32)
