@@ -1,17 +1,15 @@
 """Cutting an ordered table into key ranges, so that ordered work never lands in one task.
 
-A table is cut at split points taken from a bounded sample of its ordering keys. The sample only
-decides where the cuts are; the results of everything built on top are exact. The ranges follow
-the full ordering key (series, time, tie-break), so a series that holds a third of the rows is
-spread over many ranges, and a series of ten rows stays in one.
+The table is written once, then dealt by ``repartitionByRange`` over the full ordering key (series,
+time, tie-break, row hash) and written again with its partition number as a column. That column is the
+range from then on. So a series that holds a third of the rows is spread over many ranges, a series of
+ten rows stays in one, and the code is the same at every size: a small table just has one range.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 from functools import reduce
-from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,102 +20,66 @@ from ..session import work_path
 
 BUCKET = "_bucket"
 ROWS_PER_BUCKET = 50_000
-MAX_BUCKETS = 16_384
-_OVERSAMPLE = 16
-_TREE = 63
-
-
-@dataclass(frozen=True)
-class Ranges:
-    """Split points over ``keys``. ``heavy``: one key value fills more than a whole range."""
-
-    keys: tuple[str, ...]
-    types: tuple[T.DataType, ...]
-    bounds: tuple[tuple, ...]
-    heavy: bool
-
-    @property
-    def count(self) -> int:
-        return len(self.bounds) + 1
-
-    def bucket(self) -> Column:
-        """Number of split points at or below the row's key.
-
-        Up to ``_TREE`` split points are a tree of plain comparisons, which compiles. Beyond that
-        the tree finds a stretch of split points and a binary search over literal arrays the rest.
-        """
-        n = len(self.bounds)
-        step = 1 << max(0, math.ceil(math.log2((n + 1) / (_TREE + 1))))
-        coarse = self._tree(self.bounds[step - 1::step])
-        if step == 1:
-            return coarse
-        literals = [F.array(*[F.lit(b[i]).cast(t) for b in self.bounds]) for i, t in enumerate(self.types)]
-        steps = F.array(*[F.lit(step >> i) for i in range(1, step.bit_length())])
-
-        def advance(pos, by):
-            at = pos + by - 1
-            reached = self._reaches([F.get(values, at) for values in literals])
-            return F.when((at < n) & reached, pos + by).otherwise(pos)
-
-        return F.aggregate(steps, coarse * step, advance)
-
-    def _tree(self, bounds, i: int = 0, base: int = 0) -> Column:
-        """``base`` plus the number of ``bounds`` at or below the key from its ``i``-th part on.
-
-        A node compares one part of the key with one value, and goes on to the next part only
-        where they are equal, which keeps the compiled method small enough for the JIT.
-        """
-        if not bounds or i == len(self.keys):
-            return F.lit(base + len(bounds))
-        key, groups = F.col(self.keys[i]), {}
-        for bound in bounds:
-            groups.setdefault(bound[i], []).append(bound)
-        nulls = groups.pop(None, [])
-        values = list(groups)
-        before = list(accumulate((len(groups[v]) for v in values), initial=base + len(nulls)))
-
-        def search(lo: int, hi: int) -> Column:
-            if lo < hi:
-                mid = (lo + hi) // 2
-                return F.when(key >= literal(values[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
-            if lo == 0 or i + 1 == len(self.keys):
-                return F.lit(before[lo])
-            v = values[lo - 1]
-            return F.when(key == literal(v), self._tree(groups[v], i + 1, before[lo - 1])).otherwise(F.lit(before[lo]))
-
-        literal = lambda v: F.lit(v).cast(self.types[i])
-        out = search(0, len(values))
-        return F.when(key.isNull(), self._tree(nulls, i + 1, base)).otherwise(out) if nulls else out
-
-    def _reaches(self, bound: list[Column]) -> Column:
-        """Key at or above the bound in Spark's order, nulls first; null counts as no."""
-        out = F.lit(True)
-        for name, value in reversed(list(zip(self.keys, bound))):
-            key = F.col(name)
-            above = (key > value) | (key.isNotNull() & value.isNull())
-            out = above | (key.eqNullSafe(value) & out)
-        return out
-
-
-def plan_ranges(df: DataFrame, keys: list[str], rows_per_bucket: int = ROWS_PER_BUCKET,
-                max_buckets: int = MAX_BUCKETS, seed: int = 11) -> Ranges:
-    """Split points for ``keys``: a count and one sampled pass over the key columns only.
-
-    At most about ``max_buckets * 16`` keys reach the driver, whatever the size of the table.
-    Key columns must be numbers, strings, booleans or dates; pass times as epoch micros.
+# A row that stands for more copies than this is made again in pieces of so many, in several tasks.
+COPIES_AT_ONCE = 100_000
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_ranges(df: DataFrame, keys: list[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """``df``, a stored table, with its range of ``keys`` as ``_bucket``; ranges are numbered in key order.
+
+    A range has about ``rows_per_bucket`` rows, or the square root of the table's if that is more: then
+    neither a range nor the summaries with a row per range outgrow one task.
     """
-    narrow = df.select(*keys)
-    types = tuple(f.dataType for f in narrow.schema.fields)
-    n = narrow.count()
-    buckets = min(max_buckets, math.ceil(n / rows_per_bucket)) if n else 1
-    if buckets <= 1:
-        return Ranges(tuple(keys), types, (), False)
-    fraction = min(1.0, buckets * _OVERSAMPLE / n)
-    sample = narrow.sample(fraction=fraction, seed=seed) if fraction < 1 else narrow
-    rows = [tuple(r) for r in sample.orderBy(*keys).collect()]
-    cuts = [rows[i * len(rows) // buckets] for i in range(1, buckets)] if rows else []
-    bounds = tuple(dict.fromkeys(cuts))
-    return Ranges(tuple(keys), types, bounds, len(bounds) < len(cuts))
+    n = df.count()
+    size = max(rows_per_bucket, math.isqrt(n))
+    ranges = df.repartitionByRange(max(1, math.ceil(n / size)), *keys).withColumn(BUCKET, F.spark_partition_id())
+    return stored(ranges, "ranges")
+
+
+def collapse_copies(df: DataFrame) -> DataFrame:
+    """Distinct rows with their number as ``_copies``, so that no key value can fill more than a range."""
+    maps = [f.name for f in df.schema.fields if isinstance(f.dataType, T.MapType)]
+    keys = [F.array_sort(F.map_entries(c)).alias(f"_e_{c}") if c in maps else F.col(c) for c in df.columns]
+    out = df.groupBy(*keys).agg(F.count("*").alias("_copies"), *[F.first(c).alias(c) for c in maps])
+    return out.select(*df.columns, "_copies")
+
+
+def expand_copies(df: DataFrame, most: int, name: str = "_i") -> DataFrame:
+    """One row per copy again, numbered from 1 as ``_i``. ``most`` is the largest number of copies."""
+    if most > COPIES_AT_ONCE:
+        pieces = F.ceil(F.col("_copies") / COPIES_AT_ONCE).cast("long")
+        df = df.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
+        df = df.repartition(F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")]))
+    else:
+        df = df.withColumn("_piece", F.lit(0).cast("long"))
+    first = F.col("_piece") * COPIES_AT_ONCE + 1
+    last = F.least(F.col("_copies"), first + COPIES_AT_ONCE - 1)
+    return df.withColumn(name, F.explode(F.sequence(first, last))).drop("_piece")
+
+
+def same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
+    """Equality of columns in which null equals null, as for the windows."""
+    return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in columns], F.lit(True))
+
+
+def crossing(ranges: DataFrame, series: list[str]) -> DataFrame:
+    """The series that lie in more than one range: at most one for each border."""
+    return ranges.groupBy(*series).agg(F.min(BUCKET).alias("_lo"), F.max(BUCKET).alias("_hi")).filter("_lo < _hi").select(*series)
+
+
+def of_crossing(df: DataFrame, ranges: DataFrame, series: list[str]) -> DataFrame:
+    """Rows of ``df`` whose series crosses a border; all rows if there are no series."""
+    if not series:
+        return df
+    over = stored(crossing(ranges, series), "crossing")
+    return df.join(over, same(df, over, series), "left_semi")
 
 
 def time_key(df: DataFrame, col: str) -> Column:
@@ -132,45 +94,44 @@ def time_key(df: DataFrame, col: str) -> Column:
     return F.col(col)
 
 
-def with_halo(df: DataFrame, ranges: Ranges, series: list[str], order: list[str], rows: int) -> DataFrame:
+def with_halo(ranges: DataFrame, series: list[str], order: list[str], rows: int) -> DataFrame:
     """Add to each range the ``rows`` rows that precede it, marked ``_halo``.
 
-    The tail of a range is found with a grouped top-k that Spark already applies before the
-    shuffle, so the first pass moves ``rows`` rows per task and range. Each tail row then looks
-    at the next ``rows`` tail rows of its series to see which later ranges need it: per series
-    at most ``rows * ranges.count`` rows, a bound that does not grow with the table.
+    Only series that cross a border have any. The tail of a range is found with a grouped top-k that
+    Spark already applies before the shuffle; each tail row then looks at the next ``rows`` tail rows of
+    its series to see which later ranges need it. Per series that is at most ``rows`` for each range.
     """
-    cut = df.withColumn(BUCKET, ranges.bucket())
-    if ranges.count == 1:
-        return cut.withColumn("_halo", F.lit(False))
     last = Window.partitionBy(*series, BUCKET).orderBy(*[F.desc(c) for c in order])
-    tails = cut.withColumn("_pos", F.row_number().over(last)).filter(F.col("_pos") <= rows).drop("_pos")
+    tails = of_crossing(ranges, ranges, series)
+    tails = tails.withColumn("_pos", F.row_number().over(last)).filter(F.col("_pos") <= rows).drop("_pos")
     ahead = Window.partitionBy(*(series or [F.lit(0)])).orderBy(*order).rowsBetween(1, rows)
     halo = (
         tails.withColumn("_next", F.array_except(F.collect_set(BUCKET).over(ahead), F.array(BUCKET)))
         .withColumn(BUCKET, F.explode("_next")).drop("_next")
         .withColumn("_halo", F.lit(True))
     )
-    return cut.withColumn("_halo", F.lit(False)).unionByName(halo)
+    return ranges.withColumn("_halo", F.lit(False)).unionByName(halo)
+
+
+def before_ranges(ranges: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """``_bucket`` and, per name, the sum over all earlier ranges: one row per range."""
+    each = ranges.groupBy(BUCKET).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    earlier = Window.partitionBy(F.lit(0)).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    return each.select(BUCKET, *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in sums])
 
 
 def global_row_number(df: DataFrame, order: list[str], name: str, rows_per_bucket: int = ROWS_PER_BUCKET,
                       weight: str | None = None) -> DataFrame:
     """``row_number`` over the whole table (or a running sum of ``weight``), range by range.
 
-    The sizes of the ranges, at most ``MAX_BUCKETS`` numbers, are read first and become a literal.
+    ``df`` is written once. ``order`` should tell rows apart; rows that agree on it share a range.
     """
-    ranges = plan_ranges(df, order, rows_per_bucket)
-    cut = df.withColumn(BUCKET, ranges.bucket())
+    ranges = cut_ranges(stored(df, "to-number"), order, rows_per_bucket)
     step = F.col(weight) if weight else F.lit(1)
     inside = Window.partitionBy(BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    numbered = cut.withColumn(name, F.sum(step).over(inside).cast("bigint"))
-    if ranges.count == 1:
-        return numbered.drop(BUCKET)
-    sizes = {r[0]: r[1] for r in cut.groupBy(BUCKET).agg(F.sum(step)).collect()}
-    before = accumulate((sizes.get(b, 0) for b in range(ranges.count)), initial=0)
-    offsets = F.array(*[F.lit(n).cast("bigint") for n in before])
-    return numbered.withColumn(name, F.col(name) + F.get(offsets, F.col(BUCKET))).drop(BUCKET)
+    numbered = ranges.withColumn(name, F.sum(step).over(inside).cast("bigint"))
+    before = stored(before_ranges(ranges, {"_before": step}), "before")
+    return numbered.join(before, BUCKET).withColumn(name, F.col(name) + F.col("_before").cast("bigint")).drop(BUCKET, "_before")
 
 
 def exact_quantiles(df: DataFrame, col: str, probabilities: list[float],
@@ -179,8 +140,8 @@ def exact_quantiles(df: DataFrame, col: str, probabilities: list[float],
 
     Two passes over the table. A bounded sketch brackets each quantile to within half a percent
     of the ranks; then values inside a bracket are counted one by one and all others only by
-    their side of the brackets. That small table is written once, cut into ranges and ordered
-    where the wanted rank is. Returns one value per probability, ``[]`` for no values.
+    their side of the brackets. That small table is written once, cut into ranges, and each rank is
+    found inside its range. Returns one value per probability, ``[]`` for no values.
     """
     values = df.filter(F.col(col).isNotNull()).select(F.col(col).alias("_v"))
     if isinstance(values.schema["_v"].dataType, (T.FloatType, T.DoubleType)):
@@ -190,43 +151,21 @@ def exact_quantiles(df: DataFrame, col: str, probabilities: list[float],
     if not edges:
         return []
     brackets = list(zip(edges[::2], edges[1::2]))
-    inside = reduce(lambda a, b: a | b, [F.col("_v").between(lo, hi) for lo, hi in brackets])
+    inside = [F.col("_v").between(lo, hi) for lo, hi in brackets]
     below = [(F.col("_v") < lo).alias(f"_b{i}") for i, (lo, _) in enumerate(brackets)]
-    path = work_path(df.sparkSession, "quantiles")
-    values.groupBy(F.when(inside, F.col("_v")).alias("_v"), *below).agg(F.count("*").alias("_n")).write.parquet(path)
-    cells = df.sparkSession.read.parquet(path)
-    total, single, *under = cells.agg(F.sum("_n"), F.count("_v"), *[
+    cells = stored(values.groupBy(F.when(reduce(lambda a, b: a | b, inside), F.col("_v")).alias("_v"), *below)
+                   .agg(F.count("*").alias("_n")), "quantiles")
+    total, *under = cells.agg(F.sum("_n"), *[
         F.coalesce(F.sum(F.when(F.col(f"_b{i}"), F.col("_n"))), F.lit(0)) for i in range(len(brackets))]).first()
     ranks = [max(1, math.ceil(p * total - 1e-9)) - under[i] for i, p in enumerate(probabilities)]
-    if single <= rows_per_bucket:
-        return _at_ranks(cells, brackets, ranks)
-    return [_at_rank(cells.filter(F.col("_v").between(lo, hi)).select("_v", "_n"), rank, rows_per_bucket)
-            for rank, (lo, hi) in zip(ranks, brackets)]
-
-
-_BRACKET = 0.002
-
-
-def _at_ranks(cells: DataFrame, brackets: list[tuple], ranks: list[int]) -> list:
-    """All ranks at once, for cells few enough to be one range."""
-    running = Window.partitionBy(F.lit(0)).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    inside = [F.col("_v").between(lo, hi) for lo, hi in brackets]
-    cumulated = cells.filter("_v IS NOT NULL").withColumns({
-        f"_c{i}": F.sum(F.when(here, F.col("_n"))).over(running) for i, here in enumerate(inside)})
-    return list(cumulated.agg(*[
-        F.min(F.when(here & (F.col(f"_c{i}") >= rank), F.col("_v"))).alias(f"q{i}")
+    ranges = cut_ranges(cells.filter("_v IS NOT NULL"), ["_v"], rows_per_bucket)
+    counted = {f"_c{i}": F.when(here, F.col("_n")).otherwise(0) for i, here in enumerate(inside)}
+    running = Window.partitionBy(BUCKET).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    before = stored(before_ranges(ranges, counted), "before").withColumnsRenamed({n: f"{n}_before" for n in counted})
+    reached = ranges.withColumns({n: F.sum(c).over(running) for n, c in counted.items()}).join(before, BUCKET)
+    return list(reached.agg(*[
+        F.min(F.when(here & (F.col(f"_c{i}") + F.col(f"_c{i}_before") >= rank), F.col("_v"))).alias(f"q{i}")
         for i, (here, rank) in enumerate(zip(inside, ranks))]).first())
 
 
-def _at_rank(counts: DataFrame, rank: int, rows_per_bucket: int):
-    ranges = plan_ranges(counts, ["_v"], rows_per_bucket)
-    cut = counts.withColumn(BUCKET, ranges.bucket())
-    if ranges.count > 1:
-        # At most MAX_BUCKETS sums; they tell which range holds the rank.
-        for bucket, n in sorted(cut.groupBy(BUCKET).agg(F.sum("_n")).collect()):
-            if rank <= n:
-                break
-            rank -= n
-        cut = cut.filter(F.col(BUCKET) == bucket)
-    running = Window.partitionBy(BUCKET).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    return cut.withColumn("_cum", F.sum("_n").over(running)).filter(F.col("_cum") >= rank).agg(F.min("_v")).first()[0]
+_BRACKET = 0.002

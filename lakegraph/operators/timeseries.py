@@ -1,9 +1,10 @@
 """Time-series operators over ordered rows, with or without series columns.
 
-Every ordered pass runs inside key ranges (see ``ordering``). Row frames get the few rows that
-precede a range as a halo; open-ended frames get the nearest value outside the range from a
-summary with one row per series and range. Results equal those of one window over the whole
-table. Ties on the time column follow ``tiebreak``.
+Every ordered pass runs inside key ranges (see ``ordering``), whatever the size of the table. Copies of
+a row are one row with a count until the end. Row frames get the few rows that precede a range as a
+halo; open-ended frames get the nearest value outside the range from a summary with one row per range
+of the series that cross a border. Results equal those of one window over the whole table, null series
+keys included. Ties on the time column follow ``tiebreak``.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..session import work_path
-from .ordering import BUCKET, ROWS_PER_BUCKET, plan_ranges, time_key, with_halo
+from .ordering import (BUCKET, ROWS_PER_BUCKET, collapse_copies, cut_ranges, expand_copies, of_crossing, same, stored,
+                       time_key, with_halo)
 from .profile import numeric_columns
 
 
@@ -25,18 +26,14 @@ def lag_diff(df: DataFrame, col: str, ts: str, partition_cols=(), tiebreak=(), n
     """Increase over the previous row in time, 0 for the first row and where it is unknown."""
     series, name = list(partition_cols), name or f"increase_{col}"
     keyed, order = _ordered(df, ts, [*(tiebreak or [col]), _row_hash(df)])
-    ranges = plan_ranges(keyed, series + order, rows_per_bucket)
-    if ranges.heavy:
-        keyed = _collapse_copies(keyed)
-        ranges = plan_ranges(keyed, series + order, rows_per_bucket)
+    rows = stored(collapse_copies(keyed), "rows")
+    ranges = cut_ranges(rows, series + order, rows_per_bucket)
     w = Window.partitionBy(*series, BUCKET).orderBy(*order)
     diff = F.coalesce(F.col(col) - F.lag(col, 1).over(w), _zero(df, col))
-    out = with_halo(keyed, ranges, series, order, 1).withColumn(name, diff).filter(~F.col("_halo"))
-    if "_copies" in keyed.columns:
-        # Copies of a row follow each other, so only the first one can differ from its predecessor.
-        out = out.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-        out = out.withColumn(name, F.when(F.col("_i") == 1, F.col(name)).otherwise(_zero(df, col)))
-    return out.select(*df.columns, name)
+    out = with_halo(ranges, series, order, 1).withColumn(name, diff).filter(~F.col("_halo"))
+    # Copies of a row follow each other, so only the first one can differ from its predecessor.
+    out = expand_copies(out, _most(rows))
+    return out.withColumn(name, F.when(F.col("_i") == 1, F.col(name)).otherwise(_zero(df, col))).select(*df.columns, name)
 
 
 def rolling_iqr_outliers(df: DataFrame, col: str, ts: str, window_size: int = 7, k: float = 7.5,
@@ -50,24 +47,19 @@ def rolling_iqr_outliers(df: DataFrame, col: str, ts: str, window_size: int = 7,
     increase, flag = f"increase_{col}", f"is_outlier_{col}"
     rows = df.select(*series, ts, F.col(col).alias("_v"))
     rows, order = _ordered(rows, ts, ["_v"])
-    ranges = plan_ranges(rows, series + order, rows_per_bucket)
-    if ranges.heavy:
-        # More copies than a frame can see change nothing: the first one gives the result row,
-        # the last ``window_size`` are all that later frames reach.
-        rows = (
-            rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least(F.col("_n"), F.lit(window_size + 1)).cast("int"))))
-            .drop("_n")
-        )
-        order = order + ["_copy"]
-        ranges = plan_ranges(rows, series + order, rows_per_bucket)
+    # More copies than a frame can see change nothing: the first one gives the result row,
+    # the last ``window_size`` are all that later frames reach.
+    copies = F.sequence(F.lit(1), F.least(F.col("_copies"), F.lit(window_size + 1)).cast("int"))
+    rows = collapse_copies(rows).withColumn("_copy", F.explode(copies)).drop("_copies")
+    order = order + ["_copy"]
+    ranges = cut_ranges(stored(rows, "rows"), series + order, rows_per_bucket)
     w = Window.partitionBy(*series, BUCKET).orderBy(*order)
     frame = w.rowsBetween(-(window_size - 1), 0)
     sorted_frame = F.array_sort(F.collect_list(increase).over(frame))
     diff = F.coalesce(F.col("_v") - F.lag("_v", 1).over(w), _zero(df, col))
     is_first = (F.row_number().over(w) == 1) | ~F.lag("_t", 1).over(w).eqNullSafe(F.col("_t"))
     return (
-        with_halo(rows, ranges, series, order, window_size)
+        with_halo(ranges, series, order, window_size)
         .withColumns({increase: diff, "_first": is_first})
         .withColumn("_frame", sorted_frame)
         .filter(~F.col("_halo") & F.col("_first"))
@@ -77,9 +69,26 @@ def rolling_iqr_outliers(df: DataFrame, col: str, ts: str, window_size: int = 7,
     )
 
 
+def outliers_of_columns(df: DataFrame, cols: list[str], ts: str, window_size: int = 7, k: float = 7.5,
+                        partition_cols=(), rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """``rolling_iqr_outliers`` of several columns in one pass: a flag per column, by series and time.
+
+    The columns are stacked and their names are one more series column, so there is one set of ranges.
+    """
+    series = list(partition_cols)
+    stacked = df.select(*series, ts, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value")) for c in cols])))
+    flags = rolling_iqr_outliers(stacked, "_value", ts, window_size, k, ["_column", *series], rows_per_bucket)
+    return flags.groupBy(*series, ts).agg(*[
+        F.max(F.when(F.col("_column") == c, F.col("is_outlier__value"))).alias(f"is_outlier_{c}") for c in cols])
+
+
 def attach_outlier_flags(df: DataFrame, flags: DataFrame, ts: str, partition_cols=()) -> DataFrame:
-    """Add the flag columns to every row by time, left outer."""
-    return df.join(flags, [*partition_cols, ts], "left")
+    """Add the flag columns to every row by series and time, left outer; null keys meet null keys."""
+    keys = [*partition_cols, ts]
+    named = flags.withColumnsRenamed({c: f"_flag_{c}" for c in keys})
+    on = [df[c].eqNullSafe(named[f"_flag_{c}"]) for c in keys]
+    return df.join(named, on, "left").drop(*[f"_flag_{c}" for c in keys])
 
 
 def interpolate_missing(df: DataFrame, ts: str, cols: list[str] | None = None, partition_cols=(), tiebreak=(),
@@ -99,7 +108,7 @@ def interpolate_impute(df: DataFrame, cols: list[str], ts: str, next_value: str
     one, wherever a later value exists.
     """
     if next_value not in ("adjacent", "latest"):
-        raise ValueError(f"Invalid next_value: {next_value}. Choose 'adjacent' or 'latest'")
+        raise ValueError(f"next_value is {next_value!r}; it must be one of: adjacent, latest")
     return _fill(df, ts, cols, partition_cols, tiebreak, rows_per_bucket, 0.0, next_value)
 
 
@@ -127,12 +136,9 @@ def _fill(df, ts, cols, partition_cols, tiebreak, rows_per_bucket, fallback, nex
     series = list(partition_cols)
     cols = cols or [c for c in numeric_columns(df) if c != ts and c not in series]
     keyed, order = _ordered(df, ts, [*tiebreak, _row_hash(df)])
-    ranges = plan_ranges(keyed, series + order, rows_per_bucket)
-    if ranges.heavy:
-        # Copies of a row get the same value, so one of them stands for all until the end.
-        keyed = _collapse_copies(keyed)
-        ranges = plan_ranges(keyed, series + order, rows_per_bucket)
-    cut = keyed.withColumn(BUCKET, ranges.bucket())
+    # Copies of a row get the same value, so one of them stands for all until the end.
+    rows = stored(collapse_copies(keyed), "rows")
+    ranges = cut_ranges(rows, series + order, rows_per_bucket)
     w = Window.partitionBy(*series, BUCKET).orderBy(*order)
     # "After" is "before" in reverse order: a growing frame costs one step per row, whereas a
     # shrinking one would be read anew for every row.
@@ -143,17 +149,13 @@ def _fill(df, ts, cols, partition_cols, tiebreak, rows_per_bucket, fallback, nex
     for i, c in enumerate(cols):
         near[f"_p{i}"] = F.last(c, ignorenulls=True).over(before)
         near[f"_n{i}"] = F.last(c, ignorenulls=True).over(after)
-        if ranges.count == 1 and next_value == "latest":
-            near[f"_l{i}"] = F.last(c, ignorenulls=True).over(whole)
-    out = cut.withColumns(near)
-    if ranges.count > 1:
-        out = out.join(_carry(cut, ranges, series, order, cols), [*series, BUCKET], "left")
-        out = out.withColumns({
-            **{f"_p{i}": F.coalesce(f"_p{i}", f"_cp{i}") for i in range(len(cols))},
-            **{f"_n{i}": F.coalesce(f"_n{i}", f"_cn{i}") for i in range(len(cols))},
-        })
-    if "_copies" in keyed.columns:
-        out = out.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+        near[f"_l{i}"] = F.last(c, ignorenulls=True).over(whole)
+    carry = _carry(ranges, series, order, cols)
+    out = ranges.withColumns(near)
+    out = out.join(carry, same(out, carry, [*series, BUCKET]), "left").drop(*[carry[c] for c in [*series, BUCKET]])
+    out = out.withColumns({f"_{x}{i}": F.coalesce(*parts) for i in range(len(cols)) for x, parts in (
+        ("p", (f"_p{i}", f"_cp{i}")), ("n", (f"_n{i}", f"_cn{i}")), ("l", (f"_cl{i}", f"_l{i}")))})
+    out = expand_copies(out, _most(rows))
     at = {c: i for i, c in enumerate(cols)}
     return out.select(*[_filled(c, at[c], fallback, next_value).alias(c) if c in at else F.col(c) for c in df.columns])
 
@@ -166,16 +168,13 @@ def _filled(c, i, fallback, next_value):
     return F.coalesce(F.col(c).cast("double"), (prev + nxt) / 2, prev, nxt, *last_resort)
 
 
-def _carry(cut, ranges, series, order, cols):
-    """Per series and range: nearest known values outside it, and the series' last known value.
-
-    The summary has a row per series and range it touches; per series at most ``ranges.count``.
-    """
+def _carry(ranges, series, order, cols):
+    """Per range of a series that crosses a border: nearest known values outside it, and the series' last."""
     key = F.struct(*order)
     known = {c: F.when(F.col(c).isNotNull(), key) for c in cols}
     aggs = [a for i, c in enumerate(cols) for a in (
         F.min_by(c, known[c]).alias(f"_f{i}"), F.max_by(c, known[c]).alias(f"_e{i}"))]
-    summary = cut.groupBy(*series, BUCKET).agg(*aggs)
+    summary = of_crossing(ranges, ranges, series).groupBy(*series, BUCKET).agg(*aggs)
     w = Window.partitionBy(*(series or [F.lit(0)])).orderBy(BUCKET)
     back = Window.partitionBy(*(series or [F.lit(0)])).orderBy(F.desc(BUCKET))
     before, after = (x.rowsBetween(Window.unboundedPreceding, -1) for x in (w, back))
@@ -183,13 +182,8 @@ def _carry(cut, ranges, series, order, cols):
     carry = summary.select(*series, BUCKET, *[x for i in range(len(cols)) for x in (
         F.last(f"_e{i}", ignorenulls=True).over(before).alias(f"_cp{i}"),
         F.last(f"_f{i}", ignorenulls=True).over(after).alias(f"_cn{i}"),
-        F.last(f"_e{i}", ignorenulls=True).over(whole).alias(f"_l{i}"))])
-    # Written, so that the join below meets a table of its own and not a second copy of its input.
-    path = work_path(cut.sparkSession, "carry")
-    carry.write.parquet(path)
-    carry = cut.sparkSession.read.parquet(path)
-    # Without series columns there is one row per range, at most MAX_BUCKETS of them.
-    return carry if series else F.broadcast(carry)
+        F.last(f"_e{i}", ignorenulls=True).over(whole).alias(f"_cl{i}"))])
+    return stored(carry, "carry")
 
 
 def _ordered(df: DataFrame, ts: str, tiebreak) -> tuple[DataFrame, list[str]]:
@@ -204,8 +198,8 @@ def _row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)])
 
 
-def _collapse_copies(df: DataFrame) -> DataFrame:
-    return df.groupBy(*df.columns).agg(F.count("*").alias("_copies"))
+def _most(rows: DataFrame) -> int:
+    return rows.agg(F.max("_copies")).first()[0] or 0
 
 
 def _zero(df: DataFrame, col: str) -> Column:

@@ -15,35 +15,34 @@ def frame(spark):
 
 
 def test_one_range_for_a_small_table(spark):
-    ranges = o.plan_ranges(spark.range(10).toDF("k"), ["k"])
-    assert ranges.count == 1 and not ranges.heavy
-    assert o.plan_ranges(spark.range(0).toDF("k"), ["k"]).count == 1
+    for n in (0, 10):
+        ranges = o.cut_ranges(o.stored(spark.range(n).toDF("k"), "t"), ["k"])
+        assert ranges.count() == n and ranges.select(o.BUCKET).distinct().count() <= 1
 
 
 def test_ranges_follow_the_key_order(spark, frame):
-    ranges = o.plan_ranges(frame, ["k", "v"], 100)
-    cut = frame.withColumn("b", ranges.bucket())
-    spans = cut.groupBy("b").agg(F.min(F.struct("k", "v")).alias("lo"), F.max(F.struct("k", "v")).alias("hi"),
-                                 F.count("*").alias("n")).orderBy("b").collect()
+    cut = o.cut_ranges(o.stored(frame, "t"), ["k", "v"], 100)
+    spans = cut.groupBy(o.BUCKET).agg(F.min(F.struct("k", "v")).alias("lo"), F.max(F.struct("k", "v")).alias("hi"),
+                                      F.count("*").alias("n")).orderBy(o.BUCKET).collect()
     key = lambda r: (r["k"] is not None, r["k"], r["v"])
-    assert len(spans) == ranges.count > 20
+    assert len(spans) > 20
     assert all(key(a["hi"]) < key(b["lo"]) for a, b in zip(spans, spans[1:]))
     assert max(r["n"] for r in spans) < 400  # the hot key is spread
 
 
-@pytest.mark.parametrize("tree", [1, 3, 127])
-def test_tree_and_search_agree(frame, monkeypatch, tree):
-    ranges = o.plan_ranges(frame, ["k", "v"], 100)
-    monkeypatch.setattr(o, "_TREE", tree)
-    key = lambda r: tuple((x is not None, x or 0) for x in r)
-    bounds = [key(b) for b in ranges.bounds]
-    for r in frame.select("k", "v", ranges.bucket().alias("b")).collect():
-        assert r["b"] == sum(b <= key((r["k"], r["v"])) for b in bounds)
+def test_ranges_grow_with_the_root_of_the_table(spark, frame):
+    assert o.cut_ranges(o.stored(frame, "t"), ["id"], 1).select(o.BUCKET).distinct().count() <= 72
 
 
-def test_a_repeated_key_is_reported_as_heavy(frame):
-    assert o.plan_ranges(frame, ["k"], 100).heavy
-    assert not o.plan_ranges(frame, ["k", "id"], 100).heavy
+@pytest.mark.parametrize("at_once", [3, 1000])
+def test_copies_are_counted_and_made_again(spark, monkeypatch, at_once):
+    monkeypatch.setattr(o, "COPIES_AT_ONCE", at_once)
+    rows = [(1, None, {"a": 1, "b": 2})] * 7 + [(1, None, {"b": 2, "a": 1}), (2, "x", None), (2, "x", None), (3, None, {})]
+    df = spark.createDataFrame(rows, "k int, s string, m map<string,int>")
+    few = o.collapse_copies(df)
+    assert sorted(r["_copies"] for r in few.collect()) == [1, 2, 8]
+    again = o.expand_copies(few, 8).collect()
+    assert sorted((r["k"], r["_i"]) for r in again) == [(1, i) for i in range(1, 9)] + [(2, 1), (2, 2), (3, 1)]
 
 
 @pytest.mark.parametrize("rows", [100, 10_000])

@@ -16,7 +16,7 @@ def _series(spark, seed, n=400, crowded=False):
     for i in range(n):
         t = 100 if crowded and i % 3 == 0 else rng.randrange(n // 2)
         v = None if rng.random() < 0.4 or 120 < t < 160 else float(rng.randrange(5 if crowded else 1000))
-        rows.append((rng.choice("ab"), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=t), i, v))
+        rows.append((rng.choice(["a", "b", None]), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=t), i, v))
     if crowded:
         rows += [("a", dt.datetime(2024, 1, 1, 1), 9999, 3.0)] * n
     return spark.createDataFrame(rows, "g string, ts timestamp, id int, v double")
@@ -38,7 +38,7 @@ def _plain_outliers(df, series, window=7):
 def test_outliers_equal_one_window(spark, series, crowded, rows):
     df = _series(spark, 1, crowded=crowded)
     got = ts.rolling_iqr_outliers(df, "v", "ts", partition_cols=series, rows_per_bucket=rows)
-    assert sorted(got.collect()) == sorted(_plain_outliers(df, series).collect())
+    assert sorted(got.collect(), key=str) == sorted(_plain_outliers(df, series).collect(), key=str)
 
 
 @pytest.mark.parametrize("series", [[], ["g"]])
@@ -112,6 +112,16 @@ def test_flags_are_added_to_every_row(spark):
     assert out.count() == 4 and out.columns == ["DATE", "x", "increase_x", "is_outlier_x"]
 
 
+def test_outliers_of_several_columns(spark):
+    df = _series(spark, 5).withColumn("u", (F.col("v") * 7 % 11).cast("int"))
+    both = ts.outliers_of_columns(df, ["v", "u"], "ts", partition_cols=["g"], rows_per_bucket=40)
+    for c in ("v", "u"):
+        one = ts.rolling_iqr_outliers(df.withColumn(c, F.col(c).cast("double")), c, "ts", partition_cols=["g"], rows_per_bucket=40)
+        assert sorted(map(str, both.select("g", "ts", f"is_outlier_{c}").collect())) == sorted(
+            map(str, one.select("g", "ts", f"is_outlier_{c}").collect()))
+    assert ts.attach_outlier_flags(df, both, "ts", ["g"]).filter("is_outlier_v IS NULL").count() == 0
+
+
 def test_missing_dates(spark):
     days = lambda *d: spark.createDataFrame([(x,) for x in d], "d string")
     gap = ts.check_missing_dates(days("2024-01-01", "2024-01-04", "2024-01-04"), "d")
