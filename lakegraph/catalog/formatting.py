@@ -15,7 +15,7 @@ def _clean_sql(c):
 
 @query(f"SELECT doc_id, {_clean_sql('text')}, {_clean_sql('lang')}, {_clean_sql('source')} FROM documents")
 def clean_strings(t):
-    return text.clean_strings(t.spread("documents", "doc_id", "text", "lang", "source"))
+    return text.clean_strings(t.documents.select("doc_id", "text", "lang", "source"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN NULL ELSE o_orderpriority END AS priority
@@ -34,7 +34,7 @@ def _accents_sql():
 
 @query(_accents_sql())
 def strip_accents(t):
-    return t.spread("documents", "doc_id", "text").select("doc_id", text.strip_accents(F.col("text")).alias("text"))
+    return t.documents.select("doc_id", "text").select("doc_id", text.strip_accents(F.col("text")).alias("text"))
 
 
 @query("""WITH t AS (SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN p_name
@@ -117,7 +117,7 @@ def project_nested(t):
         return F.struct(F.col(i).alias("id"), F.col(p).alias("popularity"), F.col("l_returnflag").alias("overview"))
 
     works = F.array(record("l_partkey", "l_quantity"), F.lit(None), record("l_suppkey", "l_tax"))
-    cut = t.spread("lineitem").select("l_orderkey", "l_linenumber", values.project_nested(works, "id", "popularity").alias("works"))
+    cut = t.lineitem.select("l_orderkey", "l_linenumber", values.project_nested(works, "id", "popularity").alias("works"))
     rows = values.explode_list(cut, "works", "work")
     return rows.select("l_orderkey", "l_linenumber", "work.id", "work.popularity")
 

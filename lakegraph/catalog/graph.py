@@ -4,10 +4,14 @@ from pyspark.sql import functions as F
 
 from ..operators import analytics
 from ..operators.bgp import bgp_match as match
+from ..operators.bgp import predicate_counts
 from ..operators.entail import rdfs_entail
 from ..operators.triples import (BASE, RDF_TYPE, XSD, Attr, Link, Mapping, Node, Source, Type, VirtualGraph,
-                                 merge_triples, rows_to_triples, to_ntriples)
+                                 merge_triples, rows_to_triples, to_ntriples, union_triples)
 from ..plans import movies as m
+from ..session import work_path
+from ..sources.readers import read_table
+from ..sources.sinks import write_triples
 from . import query
 from .quality import CREW_DETAIL_SQL, PEOPLE_SQL, TITLE_CREW_SQL, TITLES_SQL, crew_detail, people, ratings, title_crew, titles
 
@@ -161,7 +165,7 @@ UNION SELECT o, {typed}, ran, 'iri', NULL FROM base JOIN onto ON base.p = onto.p
 @query(_entail_sql())
 def entail_types(t):
     """Only links and attributes are given; the types follow from them."""
-    graph = merge_triples(rows_to_triples(titles(t), m.titles_mapping()), rows_to_triples(people(t), m.people_mapping()))
+    graph = union_triples(rows_to_triples(titles(t), m.titles_mapping()), rows_to_triples(people(t), m.people_mapping()))
     return rdfs_entail(graph, m.ontology())
 
 
@@ -232,6 +236,16 @@ def genre_evolution(t):
     return analytics.genre_evolution(order_graph(t))
 
 
+@query(_EVOLUTION + 'SELECT decade, "genreName", count FROM c')
+def stored_genre_evolution(t):
+    """The same question of the graph stored by predicate: each pattern reads one folder, the rarest first."""
+    path = work_path(t.spark, "graph")
+    write_triples(order_graph(t).scan(), path)
+    graph = read_table(t.spark, path)
+    counts = predicate_counts(graph, [BASE + p for p in ("startYear", "has_genre", "genre_name")])
+    return analytics.genre_evolution(graph, counts=counts, entailed=m.ontology())
+
+
 @query(_EVOLUTION + 'SELECT decade, "genreName", count FROM c WHERE "genreName" IN (SELECT "genreName" FROM top)')
 def decade_topk(t):
     """The flagship. Every work has its type from the same row as its year, so the pattern is implied."""

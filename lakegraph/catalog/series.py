@@ -7,12 +7,16 @@ from . import query
 
 
 def events(t):
-    """Error events carry no reading."""
+    """Error events carry no reading; a tenth of the users are not known, and together are one series."""
     reading = F.when(F.col("event_type") != "error", F.col("value"))
-    return t.events.select("event_id", "user_id", "ts", reading.alias("value"))
+    user = F.when(F.col("user_id") % 10 != 3, F.col("user_id"))
+    return t.events.select("event_id", user.alias("user_id"), "ts", reading.alias("value"))
 
 
-_EVENTS = "SELECT event_id, user_id, ts, CASE WHEN event_type <> 'error' THEN value END AS value FROM events"
+# Several ranges even for the smallest tables.
+ROWS = 2_000
+_EVENTS = """SELECT event_id, CASE WHEN user_id % 10 <> 3 THEN user_id END AS user_id, ts,
+  CASE WHEN event_type <> 'error' THEN value END AS value FROM events"""
 _MOMENT = "strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts"
 
 
@@ -28,13 +32,13 @@ def _lag_sql(by):
 
 @query(_lag_sql(""))
 def lag_diff(t):
-    out = ts.lag_diff(events(t), "value", "ts", tiebreak=["value", "event_id"])
+    out = ts.lag_diff(events(t), "value", "ts", tiebreak=["value", "event_id"], rows_per_bucket=ROWS)
     return _text_time(out).withColumn("increase_value", F.round("increase_value", 6))
 
 
 @query(_lag_sql("PARTITION BY user_id"))
 def lag_diff_by_user(t):
-    out = ts.lag_diff(events(t), "value", "ts", ["user_id"], ["value", "event_id"])
+    out = ts.lag_diff(events(t), "value", "ts", ["user_id"], ["value", "event_id"], rows_per_bucket=ROWS)
     return _text_time(out).withColumn("increase_value", F.round("increase_value", 6))
 
 
@@ -51,24 +55,37 @@ FROM q WHERE pos = 1"""
 
 @query(_outlier_sql("", ""))
 def ts_outliers(t):
-    out = ts.rolling_iqr_outliers(events(t), "value", "ts")
+    out = ts.rolling_iqr_outliers(events(t), "value", "ts", rows_per_bucket=ROWS)
     return _text_time(out).withColumn("increase_value", F.round("increase_value", 6))
 
 
 @query(_outlier_sql("user_id, ", "user_id"))
 def ts_outliers_by_user(t):
-    out = ts.rolling_iqr_outliers(events(t), "value", "ts", partition_cols=["user_id"])
+    out = ts.rolling_iqr_outliers(events(t), "value", "ts", partition_cols=["user_id"], rows_per_bucket=ROWS)
     return _text_time(out).withColumn("increase_value", F.round("increase_value", 6))
 
 
 @query(f"""WITH f AS ({_outlier_sql("", "")}) SELECT event_id, f.* FROM (SELECT event_id, {_MOMENT} FROM events) e
 LEFT JOIN f USING (ts)""")
 def attach_outliers(t):
-    flags = ts.rolling_iqr_outliers(events(t), "value", "ts")
+    flags = ts.rolling_iqr_outliers(events(t), "value", "ts", rows_per_bucket=ROWS)
     out = ts.attach_outlier_flags(events(t).select("event_id", "ts"), flags, "ts")
     return _text_time(out).withColumn("increase_value", F.round("increase_value", 6))
 
 
+_TWO = "SELECT event_id, user_id, ts, {} AS value FROM (SELECT *, value IS NULL AS gone FROM (" + _EVENTS + "))"
+
+
+@query(f"""WITH a AS ({_outlier_sql("user_id, ", "user_id")}), b AS (
+{_outlier_sql("user_id, ", "user_id").replace(_EVENTS, _TWO.format("(event_id * 7919 % 1000)::DOUBLE"))})
+SELECT user_id, ts, a.is_outlier_value AS is_outlier_value, b.is_outlier_value AS is_outlier_code
+FROM a JOIN b ON a.ts = b.ts AND a.user_id IS NOT DISTINCT FROM b.user_id""".replace("SELECT user_id, ts, a.is", "SELECT a.user_id, a.ts, a.is"))
+def outliers_of_columns(t):
+    """Readings and a code, each judged in its own order of values, in one pass."""
+    both = events(t).withColumn("code", (F.col("event_id") * 7919 % 1000).cast("double"))
+    return _text_time(ts.outliers_of_columns(both, ["value", "code"], "ts", partition_cols=["user_id"], rows_per_bucket=ROWS))
+
+
 def _fill_sql(by, fallback, latest=False):
     p = f"PARTITION BY {by}" if by else ""
     order = f"OVER ({p} ORDER BY ts, event_id ROWS BETWEEN"
@@ -86,22 +103,22 @@ def _filled(df):
 
 @query(_fill_sql("", ""))
 def interpolate(t):
-    return _filled(ts.interpolate_missing(events(t), "ts", ["value"], tiebreak=["event_id"]))
+    return _filled(ts.interpolate_missing(events(t), "ts", ["value"], tiebreak=["event_id"], rows_per_bucket=ROWS))
 
 
 @query(_fill_sql("user_id", ""))
 def interpolate_by_user(t):
-    return _filled(ts.interpolate_missing(events(t), "ts", ["value"], ["user_id"], ["event_id"]))
+    return _filled(ts.interpolate_missing(events(t), "ts", ["value"], ["user_id"], ["event_id"], ROWS))
 
 
 @query(_fill_sql("", ", 0"))
 def interpolate_zero(t):
-    return _filled(ts.interpolate_impute(events(t), ["value"], "ts", tiebreak=["event_id"]))
+    return _filled(ts.interpolate_impute(events(t), ["value"], "ts", tiebreak=["event_id"], rows_per_bucket=ROWS))
 
 
 @query(_fill_sql("", ", 0", latest=True))
 def interpolate_latest(t):
-    return _filled(ts.interpolate_impute(events(t), ["value"], "ts", "latest", tiebreak=["event_id"]))
+    return _filled(ts.interpolate_impute(events(t), ["value"], "ts", "latest", tiebreak=["event_id"], rows_per_bucket=ROWS))
 
 
 @query("""WITH d AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders

@@ -32,7 +32,7 @@ def read_gzip_tsv(t):
     rows = _orders(t).withColumn("status", F.concat(F.lit('"'), "status"))
     rows.write.option("sep", "\t").option("header", True).option("quote", "").option("compression", "gzip").csv(path)
     schema = "o_orderkey bigint, priority int, status string"
-    return readers.read_delimited(t.spark, path, schema, "\t", header=True, partitions=8)
+    return readers.read_delimited(t.spark, path, schema, "\t", header=True)
 
 
 @query(_ORDERS)
@@ -62,7 +62,7 @@ def read_json_map(t):
     full = F.to_json(F.create_map(key, record))
     empty = F.when(F.col("l_linestatus") == "O", F.concat(F.lit('{"'), key, F.lit('": null}')))
     documents = F.filter(F.array(full, empty), lambda x: x.isNotNull())
-    t.spread("lineitem").select(F.explode(documents).alias("value")).write.text(path)
+    t.lineitem.select(F.explode(documents).alias("value")).write.text(path)
     schema = T._parse_datatype_string("id bigint, known_for array<struct<id bigint, popularity double>>")
     rows = readers.read_json_map(t.spark, path, schema, lines=True)
     works = rows.select("key", "value.id", F.explode_outer("value.known_for").alias("w"))
@@ -120,25 +120,42 @@ def changed_files(t):
     return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "status")
 
 
-@query(_values([f"('{n}.parquet', 'unchanged')" for n in _ALL_FILES], "name, status"))
-def changed_files_first_chunk(t):
-    """Hashes of the first 8 KiB, the mode for sources that are compared before they are fetched."""
-    files = [t.path(n) for n in _ALL_FILES]
-    found = incremental.detect_changed_files(t.spark, files, incremental.file_hashes(t.spark, files, 8192), 8192)
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "status")
+@query("""SELECT 's_nationkey=' || n_nationkey AS name FROM nation
+WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000 AND s_nationkey IS NOT NULL)""")
+def missing_inputs(t):
+    """Rich suppliers stored by nation; the nations that should have a folder and have none."""
+    path = work_path(t.spark, "by-nation")
+    t.supplier.filter("s_acctbal > 5000").write.partitionBy("s_nationkey").parquet(path)
+    return incremental.missing_inputs(t.spark, t.nation.select(F.concat(F.lit("s_nationkey="), "n_nationkey").alias("name")), path, -2)
 
 
-@query(_values(["('title.crew.parquet')", "('title.basics.parquet')"], "name"))
-def missing_inputs(t):
-    expected = [f"{n}.parquet" for n in (*_ALL_FILES, "title.crew", "title.basics")]
-    return incremental.missing_inputs(t.spark, expected, t.folder)
+@query("""WITH old AS (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey)
+SELECT o_custkey, o_orderkey FROM old UNION ALL
+SELECT o_custkey, min(o_orderkey) FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM old) GROUP BY o_custkey""")
+def merge_new_keys(t):
+    """Customers known by their last finished order; of those not known, one of all their orders is added."""
+    known = t.orders.filter("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey"))
+    return incremental.incremental_merge(known, t.orders.select("o_custkey", "o_orderkey"), "o_custkey")
+
+
+@query("""SELECT count(*) AS documents, count(*) FILTER (l_returnflag = 'R') AS unparsed FROM lineitem""")
+def unparsed_documents(t):
+    """A document per line item; those of returned items break off."""
+    path = work_path(t.spark, "json")
+    whole = F.to_json(F.create_map(F.col("l_orderkey").cast("string"), F.struct("l_suppkey")))
+    text = F.when(F.col("l_returnflag") == "R", F.concat(F.lit('{"'), "l_orderkey")).otherwise(whole)
+    t.lineitem.select(text.alias("value")).write.text(path)
+    return readers.unparsed_documents(t.spark, path, T._parse_datatype_string("l_suppkey bigint"), lines=True)
 
 
-@query()
+@query("SELECT true AS shrinks, true AS as_defined")
 def storage_footprint(t):
-    """Text of all line items against the same rows as Parquet."""
+    """Text of all line items against the same rows as Parquet: smaller, and the saving is what its definition says."""
     before, after = work_path(t.spark, "before"), work_path(t.spark, "after")
     rows = t.lineitem.withColumn("l_shipdate", F.col("l_shipdate").cast("string"))
     sinks.write_csv(rows, before)
     sinks.write_table(rows, after)
-    return sinks.storage_footprint(t.spark, before, after)
+    size = sinks.storage_footprint(t.spark, before, after)
+    saved = 100 * (F.col("before_bytes") - F.col("after_bytes")) / F.col("before_bytes")
+    return size.select(((F.col("after_bytes") > 0) & (F.col("after_bytes") < F.col("before_bytes"))).alias("shrinks"),
+                       (F.abs(F.col("saved_pct") - saved) < 1e-6).alias("as_defined"))

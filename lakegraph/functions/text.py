@@ -24,6 +24,18 @@ ASCII_MULTI = {
     "—": "--", "…": "...", "«": "<<", "»": ">>",
 }
 
+# Greek and Cyrillic letters in Latin ones, lower case; capitals follow.
+SCRIPT_SINGLE = {
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n",
+    "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "u", "ω": "o",
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "з": "z", "и": "i", "к": "k", "л": "l", "м": "m", "н": "n",
+    "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "ы": "y", "э": "e", "і": "i", "ь": "'", "ъ": "'",
+}
+SCRIPT_MULTI = {
+    "θ": "th", "φ": "ph", "χ": "kh", "ψ": "ps", "ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch",
+    "ю": "iu", "я": "ia", "є": "ie",
+}
+
 
 def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
@@ -50,13 +62,15 @@ def clean_strings(df: DataFrame, na_tokens=NA_TOKENS, cols: list[str] | None = N
 
 @lru_cache(maxsize=1)
 def _accent_table() -> tuple[str, str]:
-    """Letters that decompose to one ASCII letter plus marks; the marks themselves are deleted."""
+    """Letters that decompose to one Latin, Greek or Cyrillic letter plus marks; the marks themselves are deleted."""
+    single = SCRIPT_SINGLE | {k.upper(): v.upper() for k, v in SCRIPT_SINGLE.items() if k.upper() != k and k != "ς"}
     src, dst = [], []
-    for code in [*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)]:
+    for code in [*range(0x00C0, 0x0250), *range(0x0370, 0x0460), *range(0x1E00, 0x2000)]:
         base = "".join(ch for ch in unicodedata.normalize("NFD", chr(code)) if not unicodedata.combining(ch))
-        if base != chr(code) and len(base) == 1 and base.isascii():
+        latin = single.get(base, base)
+        if latin != chr(code) and len(base) == 1 and latin.isascii():
             src.append(chr(code))
-            dst.append(base)
+            dst.append(latin)
     for ch, ascii_ch in ASCII_SINGLE.items():
         src.append(ch)
         dst.append(ascii_ch)
@@ -65,31 +79,21 @@ def _accent_table() -> tuple[str, str]:
 
 
 def strip_accents(col: Column) -> Column:
-    """Latin text to ASCII; null or empty gives null. Other scripts are left as they are."""
+    """Latin, Greek and Cyrillic text to ASCII; null or empty gives null. Other scripts are left as they are."""
     src, dst = _accent_table()
     out = F.translate(col, src, dst)
     for ch, ascii_text in ASCII_MULTI.items():
         out = F.replace(out, F.lit(ch), F.lit(ascii_text))
+    spelt = out
+    for ch, latin in SCRIPT_MULTI.items():
+        for ch, latin in ((ch, latin), (ch.upper(), latin.capitalize())):
+            spelt = F.replace(spelt, F.lit(ch), F.lit(latin))
+    out = F.when(out.rlike(r"[\u0370-\u04FF]"), spelt).otherwise(out)
     # Pure ASCII text skips the passes above.
     out = F.when(col.rlike(r"[^\x00-\x7F]"), out).otherwise(col)
     return F.when(col != "", out)
 
 
-def transliterate(col: Column) -> Column:
-    """Any script to ASCII by the ``unidecode`` package where the cluster has it (Arrow batches)."""
-    try:
-        from unidecode import unidecode
-    except ImportError as e:
-        raise ImportError("transliterate() needs the unidecode package; strip_accents() does not") from e
-    import pandas as pd
-
-    @F.pandas_udf(T.StringType())
-    def to_ascii(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: unidecode(x) if x else None)
-
-    return to_ascii(col)
-
-
 def prefix_id(col: Column, prefix: str) -> Column:
     return F.concat(F.lit(prefix), col)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,27 +17,34 @@ def rdfs_entail(triples: DataFrame, ontology: list[dict]) -> DataFrame:
 
     ``ontology`` is a list of ``{property, domain, range, range_is_literal}`` kept in the code,
     not a table that grows; its size is checked and it becomes two literal maps, so inference is
-    a projection. Without subclass or subproperty statements one pass is the fixpoint.
+    a projection: each row gives itself and its types, so the input is read once. A property may have
+    several domains and ranges. Without subclass or subproperty statements one pass is the fixpoint.
     ``triples`` may hold repeats: the one ``distinct`` at the end makes the set.
     """
     if len(ontology) > MAX_PROPERTIES:
         raise ValueError(f"ontology has {len(ontology)} properties, more than {MAX_PROPERTIES}")
-    domain = _lookup({r["property"]: r["domain"] for r in ontology if r["domain"]})
-    range_ = _lookup({r["property"]: r["range"] for r in ontology if r["range"] and not r["range_is_literal"]})
+    domains, ranges = defaultdict(list), defaultdict(list)
+    for r in ontology:
+        if r["domain"]:
+            domains[r["property"]].append(r["domain"])
+        if r["range"] and not r["range_is_literal"]:
+            ranges[r["property"]].append(r["range"])
     is_iri = F.col("o_kind") == "iri"
-    typed = F.filter(F.array(
-        _type(F.col("s"), domain),
-        _type(F.when(is_iri, F.col("o")), range_),
-    ), lambda t: t["s"].isNotNull() & t["o"].isNotNull())
-    inferred = triples.select(F.inline(typed))
-    return triples.select(*COLUMNS).unionByName(inferred).distinct()
-
-
-def _lookup(pairs: dict[str, str]):
-    if not pairs:
-        return F.lit(None).cast("string")
-    literal = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
-    return F.try_element_at(literal, F.col("p"))
+    made = F.concat(
+        F.array(F.struct(*COLUMNS)),
+        F.transform(_lookup(domains), lambda c: _type(F.col("s"), c)),
+        F.transform(F.when(is_iri, _lookup(ranges)).otherwise(F.array().cast("array<string>")), lambda c: _type(F.col("o"), c)),
+    )
+    return triples.select(F.inline(made)).distinct()
+
+
+def _lookup(classes: dict[str, list[str]]):
+    """The classes of the row's property, as an array."""
+    none = F.array().cast("array<string>")
+    if not classes:
+        return none
+    literal = F.create_map(*[x for p, cs in classes.items() for x in (F.lit(p), F.array(*map(F.lit, dict.fromkeys(cs))))])
+    return F.coalesce(F.try_element_at(literal, F.col("p")), none)
 
 
 def _type(subject, cls):

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from ..operators.analytics import (genre_evolution, genre_table, profession_gender_counts, profession_gender_table,
                                    top_genres)
+from ..operators.bgp import predicate_counts
 from ..operators.entail import rdfs_entail
 from ..operators.profile import (column_completeness, descriptive_profile, profile_report, redundancy_ratio,
                                  relation_completeness)
 from ..operators.relational import semi_join, union_distinct
-from ..operators.triples import rows_to_triples, union_triples
+from ..operators.triples import BASE, rows_to_triples, union_triples
 from ..sources.readers import read_csv, read_delimited, read_json_map, read_table
 from ..sources.sinks import write_table, write_triples
 from . import movies as m
@@ -102,13 +103,23 @@ def build_graph(trusted: dict[str, DataFrame]) -> DataFrame:
     return rdfs_entail(union_triples(*parts), m.ontology())
 
 
-def answers(graph: DataFrame) -> dict[str, DataFrame]:
-    professions, genres = profession_gender_counts(graph), genre_evolution(graph)
+def answers(graph: DataFrame, keep=lambda name, df: df) -> dict[str, DataFrame]:
+    """The two questions and their tables. ``graph`` is stored by predicate and has its inferred types.
+
+    ``keep(name, frame)`` writes a frame and gives back what was written; counts are kept before the
+    tables are made of them, so each question is asked once.
+    """
+    asked = [BASE + p for p in ("gender", "primary_profession", "profession_name", "startYear", "has_genre", "genre_name")]
+    options = {"counts": predicate_counts(graph, asked), "entailed": m.ontology()}
+    professions = keep("profession_gender", profession_gender_counts(graph, **options))
+    genres = keep("genre_evolution", genre_evolution(graph, **options))
+    top = keep("top_genres", top_genres(genres))
+    named = [r[0] for r in top.select("genreName").distinct().orderBy("genreName").collect()]  # at most five
     return {
         "profession_gender": professions,
-        "profession_gender_table": profession_gender_table(professions, list(m.STATED_GENDERS)),
+        "profession_gender_table": keep("profession_gender_table", profession_gender_table(professions, list(m.STATED_GENDERS))),
         "genre_evolution": genres,
-        "top_genre_table": genre_table(top_genres(genres)),
+        "top_genre_table": keep("top_genre_table", genre_table(top, named)),
     }
 
 
@@ -120,7 +131,8 @@ def run_stages(spark: SparkSession, lake: Lake, as_of_year: int | None = None) -
             write_table(df, f"{layer}/{name}")
         return {name: read_table(spark, f"{layer}/{name}") for name in tables}
 
-    formatted = store(format_all(read_landing(spark, lake.landing)), lake.formatted)
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))  # gzip files come as one task each
+    formatted = store(format_all(read_landing(spark, lake.landing, spread)), lake.formatted)
     trusted = store(constrain_all(formatted, as_of_year), lake.trusted)
     write_triples(build_graph(trusted), lake.graph)
-    return store(answers(read_table(spark, lake.graph)), lake.analysis)
+    return answers(read_table(spark, lake.graph), lambda name, df: store({name: df}, lake.analysis)[name])

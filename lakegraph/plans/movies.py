@@ -198,7 +198,7 @@ def constrain_crew_detail(df: DataFrame, popularity_null_ratio: float | None = N
 
 def _clean_lists(df: DataFrame, null_arrays: str, *cols: str) -> DataFrame:
     if null_arrays not in ("empty", "drop"):
-        raise ValueError(f"Invalid null_arrays: {null_arrays}. Choose 'empty' or 'drop'")
+        raise ValueError(f"null_arrays is {null_arrays!r}; it must be one of: drop, empty")
     df = df.withColumns({c: text.clean_array(F.col(c)) for c in cols})
     if null_arrays == "drop":
         return df.filter(" AND ".join(f"{c} IS NOT NULL" for c in cols))

@@ -6,24 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MANIFEST_SCHEMA = "path string, md5 string"
+MAX_BYTES = 2**31 - 16
 
 
-def file_hashes(spark: SparkSession, paths, prefix_bytes: int | None = None) -> DataFrame:
-    """(path, md5) of whole files, or of their first ``prefix_bytes`` bytes."""
-    content = F.col("content")
-    if prefix_bytes:
-        content = F.substring(content, 1, prefix_bytes)
+def file_hashes(spark: SparkSession, paths) -> DataFrame:
+    """(path, md5) of whole files. A file that does not fit one value (2 GB) is an error, not a wrong hash."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-    return files.select("path", F.md5(content).alias("md5"))
+    too_long = F.raise_error(F.concat(F.lit("cannot hash a file of 2 GB or more: "), F.col("path")))
+    return files.select("path", F.when(F.col("length") > MAX_BYTES, too_long).otherwise(F.md5("content")).alias("md5"))
 
 
-def detect_changed_files(spark: SparkSession, paths, manifest: DataFrame | None = None,
-                         prefix_bytes: int | None = None) -> DataFrame:
+def detect_changed_files(spark: SparkSession, paths, manifest: DataFrame | None = None) -> DataFrame:
     """(path, md5, status): ``new``, ``changed`` or ``unchanged`` against the stored hashes.
 
     Store the new hashes with ``update_manifest`` only after the files are processed.
     """
-    now = file_hashes(spark, paths, prefix_bytes)
+    now = file_hashes(spark, paths)
     if manifest is None:
         manifest = spark.createDataFrame([], MANIFEST_SCHEMA)
     known = manifest.select("path", F.col("md5").alias("_old"))
@@ -39,14 +37,20 @@ def update_manifest(manifest: DataFrame, processed: DataFrame) -> DataFrame:
     return manifest.join(fresh, "path", "left_anti").select("path", "md5").unionByName(fresh)
 
 
-def missing_inputs(spark: SparkSession, expected: list[str], paths) -> DataFrame:
-    """Names in ``expected`` that no file under ``paths`` has."""
-    want = spark.createDataFrame([(e,) for e in expected], "name string")
+def missing_inputs(spark: SparkSession, expected: DataFrame, paths, level: int = -1) -> DataFrame:
+    """Names in ``expected(name)`` that no file under ``paths`` has, or no folder ``level`` steps from the end."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-    have = files.select(F.element_at(F.split("path", "/"), -1).alias("name"))
-    return want.join(have, "name", "left_anti")
+    have = files.select(F.element_at(F.split("path", "/"), level).alias("name")).distinct()
+    return expected.select("name").join(have, "name", "left_anti")
 
 
 def incremental_merge(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Existing keys stay as they are (also those whose lookup found nothing); new keys are added."""
-    return existing.unionByName(new.join(existing.select(key), key, "left_anti").select(*existing.columns))
+    """Existing keys stay as they are (also those whose lookup found nothing); new keys are added.
+
+    Of several new rows with one key the first in the order of the other columns is added, nulls first.
+    """
+    columns = existing.columns
+    added = new.join(existing.select(key), key, "left_anti")
+    one = added.groupBy(key).agg(F.min(F.struct(*[c for c in columns if c != key])).alias("_row"))
+    fresh = one.select(*[F.col(c) if c == key else F.col("_row")[c].alias(c) for c in columns])
+    return existing.unionByName(fresh)

@@ -31,25 +31,26 @@ def read_json_map(spark: SparkSession, path, value_schema: T.StructType, lines:
     """``{key: record}`` documents to rows ``(key, value)``; a null record gives a null value.
 
     A whole-file document is one row for one task. ``lines=True`` reads one such document per
-    line, which splits over tasks.
+    line, which splits over tasks. A document that does not parse gives no rows; count them with
+    ``unparsed_documents``.
     """
-    text = spark.read.text(path, wholetext=not lines)
-    parsed = F.from_json("value", T.MapType(T.StringType(), value_schema))
-    return text.select(F.explode(parsed).alias("key", "value"))
+    return _documents(spark, path, value_schema, lines).select(F.explode("parsed").alias("key", "value"))
+
 
+def unparsed_documents(spark: SparkSession, path, value_schema: T.StructType, lines: bool = False) -> DataFrame:
+    """One row: how many documents there are and how many do not parse; blank lines are no documents."""
+    documents = _documents(spark, path, value_schema, lines).filter(F.trim("value") != "")
+    bad = F.col("parsed").isNull()
+    return documents.agg(F.count("*").alias("documents"), F.count_if(bad).alias("unparsed"))
 
-def read_table(spark: SparkSession, path, spread: bool = False) -> DataFrame:
-    df = spark.read.parquet(path)
-    return spread_rows(df) if spread else df
 
+def _documents(spark, path, value_schema, lines):
+    text = spark.read.text(path, wholetext=not lines)
+    return text.select("value", F.from_json("value", T.MapType(T.StringType(), value_schema)).alias("parsed"))
 
-def spread_rows(df: DataFrame) -> DataFrame:
-    """Rows of a few files over all cores, for work that is heavy per row; ``df`` is a plain scan.
 
-    A table with at least as many splits as cores, which is any large one, is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def read_table(spark: SparkSession, path) -> DataFrame:
+    return spark.read.parquet(path)
 
 
 def read_triples_tsv(spark: SparkSession, path) -> DataFrame:

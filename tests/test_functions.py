@@ -17,7 +17,8 @@ def test_whitespace(spark, raw, want):
 
 @pytest.mark.parametrize("raw, want", [
     ("À la carte é", "A la carte e"), ("Straße œuvre Æsir", "Strasse oeuvre AEsir"), ("Łódź ø", "Lodz o"),
-    ("é", "e"), ("“x” – y…", '"x" - y...'), ("ascii", "ascii"), ("", None), (None, None), ("日本", "日本")])
+    ("é", "e"), ("“x” – y…", '"x" - y...'), ("ascii", "ascii"), ("", None), (None, None), ("日本", "日本"),
+    ("Θεός Ἀθήνα Ψυχή", "Theos Athena Psukhe"), ("Юрий Щукин ёж Чехов", "Iurii Shchukin ezh Chekhov")])
 def test_accents(spark, raw, want):
     assert _one(spark, raw, text.strip_accents(F.col("x"))) == want
 

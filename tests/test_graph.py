@@ -132,3 +132,11 @@ def test_top_genres_breaks_ties_by_name(spark):
 def test_person_without_profession_is_not_counted(spark):
     graph = _graph(spark, ("p", RDF_TYPE, BASE + "Person"), ("p", BASE + "gender", "=Male"))
     assert analytics.profession_gender_counts(graph).count() == 0
+
+
+def test_every_domain_and_range_counts(spark):
+    ontology = [{"property": "p", "domain": d, "range": r, "range_is_literal": False} for d, r in (("A", "X"), ("B", "Y"), ("A", "X"))]
+    one = spark.createDataFrame([("s", "p", "o", "iri", None)] * 2, "s string, p string, o string, o_kind string, o_datatype string")
+    got = {(r["s"], r["o"]) for r in rdfs_entail(one, ontology).collect()}
+    assert got == {("s", "o"), ("s", "A"), ("s", "B"), ("o", "X"), ("o", "Y")}
+    assert rdfs_entail(one, []).collect() == [("s", "p", "o", "iri", None)]
