@@ -53,4 +53,4 @@ def all_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import embedding, formatting, graph, quality, relational, series, storage  # noqa: F401
+    from . import embedding, formatting, graph, quality, relational, series, storage, whole  # noqa: F401

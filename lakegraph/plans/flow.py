@@ -123,8 +123,12 @@ def answers(graph: DataFrame, keep=lambda name, df: df) -> dict[str, DataFrame]:
     }
 
 
-def run_stages(spark: SparkSession, lake: Lake, as_of_year: int | None = None) -> dict[str, DataFrame]:
-    """Every stage from landing to answers, each layer written before the next one starts."""
+def run_stages(spark: SparkSession, lake: Lake, as_of_year: int | None = None,
+               detail_lines: bool = False) -> dict[str, DataFrame]:
+    """Every stage from landing to answers, each layer written before the next one starts.
+
+    ``detail_lines``: the people lookups are one JSON document per line, which splits over tasks.
+    """
 
     def store(tables: dict[str, DataFrame], layer: str) -> dict[str, DataFrame]:
         for name, df in tables.items():
@@ -132,7 +136,7 @@ def run_stages(spark: SparkSession, lake: Lake, as_of_year: int | None = None) -
         return {name: read_table(spark, f"{layer}/{name}") for name in tables}
 
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))  # gzip files come as one task each
-    formatted = store(format_all(read_landing(spark, lake.landing, spread)), lake.formatted)
+    formatted = store(format_all(read_landing(spark, lake.landing, spread, detail_lines)), lake.formatted)
     trusted = store(constrain_all(formatted, as_of_year), lake.trusted)
     write_triples(build_graph(trusted), lake.graph)
     return answers(read_table(spark, lake.graph), lambda name, df: store({name: df}, lake.analysis)[name])
