@@ -7,7 +7,8 @@ from ..operators.bgp import bgp_match as match
 from ..operators.bgp import predicate_counts
 from ..operators.entail import rdfs_entail
 from ..operators.triples import (BASE, RDF_TYPE, XSD, Attr, Link, Mapping, Node, Source, Type, VirtualGraph,
-                                 merge_triples, rows_to_triples, to_ntriples, union_triples)
+                                 ForEach, merge_triples, rows_to_triples, to_ntriples, union_triples)
+from ..operators.triples import rejected_triples as rejected
 from ..plans import movies as m
 from ..session import work_path
 from ..sources.readers import read_table
@@ -169,6 +170,20 @@ def entail_types(t):
     return rdfs_entail(graph, m.ontology())
 
 
+@query(f"""SELECT '{RDF_TYPE}' AS p, 0 AS rejected UNION ALL
+SELECT '{BASE}title', count(*) FILTER (o_orderstatus = 'P') FROM orders UNION ALL
+SELECT '{BASE}has_country', count(*) FILTER (o_orderstatus = 'P' AND year(o_orderdate) > 1995) FROM orders UNION ALL
+SELECT '{BASE}has_genre', coalesce(sum(len(string_split(o_orderpriority, '-'))) FILTER (o_orderstatus = 'P'), 0) FROM orders""")
+def rejected_triples(t):
+    """Pending orders have no name; every triple that needs one is counted."""
+    name = F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority"))
+    rows = t.orders.select("o_orderkey", "o_orderdate", name.alias("name"), F.split("o_orderpriority", "-").alias("genres"))
+    work = Node("Movie", "o_orderkey")
+    return rejected(rows, Mapping((
+        Type(work), Attr(work, "title", "name"), Link(work, "has_country", Node("Country", "name"), when=F.year("o_orderdate") > 1995),
+        ForEach("genres", (Link(Node("Movie", "name"), "has_genre", Node("Genre", "$item")),)))))
+
+
 def customer_graph(t):
     """Customers as people: the segment is the gender, the nation the profession."""
     person, nation = Node("Person", "c_custkey"), Node("Profession", "n_name")

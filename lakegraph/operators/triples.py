@@ -168,6 +168,45 @@ def rows_to_triples(df: DataFrame, mapping: Mapping) -> DataFrame:
     return out.filter("s IS NOT NULL AND o IS NOT NULL")
 
 
+def rejected_triples(df: DataFrame, mapping: Mapping) -> DataFrame:
+    """(p, rejected): triples that the mapping would make and leaves out, because a key or value is null.
+
+    One pass with partial sums. A step whose ``when`` is not true asks for no triple, and neither does
+    an empty list element, so they reject none. Every property has a row, also with 0.
+    """
+    if mapping.when is not None:
+        df = df.filter(mapping.when)
+    counted: dict[str, list[Column]] = {}
+
+    def count(step, times: Column) -> None:
+        needed = [k for node in _nodes(step) for k in node.key] + ([step.value] if isinstance(step, Attr) else [])
+        lacking = reduce(lambda a, b: a | b, [_value(k).isNull() for k in needed if not _is_item(k)], F.lit(False))
+        asked = lacking if step.when is None else lacking & F.coalesce(step.when, F.lit(False))
+        prop = RDF_TYPE if isinstance(step, Type) else mapping.base + step.prop
+        counted.setdefault(prop, []).append(F.when(asked, times).otherwise(0))
+
+    for step in mapping.steps:
+        if not isinstance(step, ForEach):
+            count(step, F.lit(1))
+            continue
+        items = F.filter(F.col(step.array), lambda x: x.isNotNull() & (x.cast("string") != ""))
+        if step.when is not None:
+            items = F.when(step.when, items)
+        size = F.coalesce(F.size(items), F.lit(0))
+        size = F.greatest(size, F.lit(0))
+        for inner in step.steps:
+            position = getattr(inner, "position", None)
+            some = {"first": F.least(size, F.lit(1)), "rest": F.greatest(size - 1, F.lit(0))}.get(position, size)
+            count(inner, some)
+    sums = {p: F.coalesce(F.sum(reduce(lambda a, b: a + b, parts)), F.lit(0)).cast("bigint") for p, parts in counted.items()}
+    row = df.agg(*[c.alias(f"_r{i}") for i, c in enumerate(sums.values())])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"_r{i}").alias("rejected")) for i, p in enumerate(sums)])))
+
+
+def _is_item(key) -> bool:
+    return isinstance(key, str) and key == ITEM
+
+
 def union_triples(*frames: DataFrame) -> DataFrame:
     """All triples of all frames, repeats included."""
     return reduce(lambda a, b: a.unionByName(b), frames).select(*COLUMNS)

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from lakegraph.operators import analytics
 from lakegraph.operators.bgp import bgp_match, predicate_counts
+from lakegraph.operators import triples as tr
 from lakegraph.operators.entail import rdfs_entail
 from lakegraph.operators.triples import (BASE, ITEM, RDF_TYPE, SCHEMA, XSD, Attr, ForEach, Link, Mapping, Node, Source, Type,
                                          VirtualGraph, encode_iri_part, merge_triples, only, rows_to_triples, to_ntriples)
@@ -140,3 +141,15 @@ def test_every_domain_and_range_counts(spark):
     got = {(r["s"], r["o"]) for r in rdfs_entail(one, ontology).collect()}
     assert got == {("s", "o"), ("s", "A"), ("s", "B"), ("o", "X"), ("o", "Y")}
     assert rdfs_entail(one, []).collect() == [("s", "p", "o", "iri", None)]
+
+
+def test_rejected_triples_are_those_not_made(spark):
+    df = spark.createDataFrame([("a", "x", ["1", "", "2"]), ("b", None, ["1"]), (None, "y", ["1", "2", None]), (None, None, None)],
+                               "k string, v string, l array<string>")
+    node = tr.Node("Movie", "k")
+    mapping = tr.Mapping((tr.Type(node), tr.Attr(node, "title", "v"), tr.Attr(node, "some", "v", when=F.col("k") == "b"), tr.ForEach("l", (
+        tr.Link(node, "all", tr.Node("Genre", tr.ITEM)), tr.Link(node, "first", tr.Node("Genre", tr.ITEM), "first"),
+        tr.Link(node, "rest", tr.Node("Genre", tr.ITEM), "rest"), tr.Type(tr.Node("Genre", tr.ITEM))))))
+    got = {r["p"].split("/")[-1].split("#")[-1]: r["rejected"] for r in tr.rejected_triples(df, mapping).collect()}
+    assert got == {"type": 2, "title": 3, "some": 1, "all": 2, "first": 1, "rest": 1}
+    assert {r["rejected"] for r in tr.rejected_triples(df.limit(0), mapping).collect()} == {0}
