@@ -29,7 +29,7 @@ LONGEST = 256
 ROWS = 2048
 # Distinct pieces a worker remembers in each of two generations, and characters (or pieces of one long
 # text) it cuts at a time.
-REMEMBERED, CHARS, PIECES = 1 << 18, 1 << 20, 1 << 16
+REMEMBERED, CHARS, PIECES = 1 << 17, 1 << 20, 1 << 16
 NO_RANK = np.uint32(0xFFFFFFFF)
 
 

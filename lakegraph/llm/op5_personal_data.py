@@ -173,7 +173,9 @@ def op5_personal_data(spark, sf_dir: str) -> DataFrame:
 
     def joined(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    def count(kind):
+        return F.size(F.filter(pii, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     pii = F.col("pii")
-    counts = [F.size(F.filter(pii, lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    counts = [count(kind) for kind in KINDS]
     base = F.filter(pii, lambda s: s["kind"].isin(*BASE))
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(pii).alias("spans"))

@@ -237,6 +237,18 @@ def test_personal_data(docs, none):
     assert op5.find_personal_data(none).count() == 0
 
 
+def test_personal_data_query(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    seen = 0
+    for r in op5.op5_personal_data(spark, "/root/testdata/sf0.01").collect():
+        base = brute_personal_data(texts[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in op5.BASE] == [sum(s[2] == k for s in base) for k in op5.BASE]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in base).encode()).hexdigest()
+        assert r["spans"] == ",".join(f"{k}:{a}:{b}" for a, b, k in op5.find(texts[r["doc_id"]]))
+        seen += len(base)
+    assert seen > 20
+
+
 def test_language(spark, docs, none):
     rng = random.Random(4)
     sounds = {"aa": "ka lo mi tu", "bb": "sch rein ung ver", "cc": "tion eau ille ou", "dd": "ñ ando illo cia", "ee": "zw ij aa oe", "ff": "ssa ko lla en", "gg": "gwy dd ll yn"}
