@@ -14,7 +14,7 @@ def events(t):
 
 
 # Several ranges even for the smallest tables.
-ROWS = 2_000
+ROWS = 4_000
 _EVENTS = """SELECT event_id, CASE WHEN user_id % 10 <> 3 THEN user_id END AS user_id, ts,
   CASE WHEN event_type <> 'error' THEN value END AS value FROM events"""
 _MOMENT = "strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts"
