@@ -12,6 +12,9 @@ from lakegraph.llm import op7_embedding_dedup as op7
 from lakegraph.llm import op8_minhash_dedup as op8
 from lakegraph.llm import op9_warc as op9
 from lakegraph.llm import op10_url_filter as op10
+from lakegraph.llm import op11_filter_audit as op11
+from lakegraph.llm import op12_fill_in_middle as op12
+from lakegraph.llm import op13_sentencepiece as op13
 
 QUERIES = {
     "op1_quality": op1.op1_quality,
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_minhash_dedup": op8.op8_minhash_dedup,
     "op9_warc": op9.op9_warc,
     "op10_url_filter": op10.op10_url_filter,
+    "op11_filter_audit": op11.op11_filter_audit,
+    "op12_fill_in_middle": op12.op12_fill_in_middle,
+    "op13_sentencepiece": op13.op13_sentencepiece,
 }
 # Models, byte-pair merges, personal data with its added kinds and shingle similarity of all pairs have
 # none; tests compare them with brute force or measure them on held-out rows.
@@ -33,4 +39,6 @@ SQL = {
     "op7_embedding_dedup": op7.SQL,
     "op9_warc": op9.SQL,
     "op10_url_filter": op10.SQL,
+    "op11_filter_audit": op11.SQL,
+    "op12_fill_in_middle": op12.SQL,
 }
