@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from ..operators import analytics
 from ..operators.bgp import bgp_match as match
 from ..operators.bgp import predicate_counts
+from ..operators import entail_plus as plus
+from ..operators.closure import transitive_closure
 from ..operators.entail import rdfs_entail
 from ..operators.triples import (BASE, RDF_TYPE, XSD, Attr, Link, Mapping, Node, Source, Type, VirtualGraph,
                                  ForEach, merge_triples, rows_to_triples, to_ntriples, union_triples)
@@ -275,3 +277,105 @@ _TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
     f"coalesce(sum(count) FILTER (\"genreName\" = '{x}'), 0)::BIGINT AS \"{x}\"" for x in _TYPES) + " FROM c GROUP BY decade")
 def genre_table(t):
     return analytics.genre_table(analytics.genre_evolution(order_graph(t), entailed=m.ontology()), list(_TYPES))
+
+
+def _triple(s, p, o, kind="iri", datatype=None):
+    return F.struct(s.cast("string").alias("s"), F.lit(BASE + p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"),
+                    F.lit(datatype).cast("string").alias("o_datatype"))
+
+
+def _node(cls, *key):
+    parts = [F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in key]
+    return F.concat(F.lit(f"{BASE}{cls}/"), *[x for k in parts for x in (k, F.lit("_"))][:-1])
+
+
+_RULES = {
+    "subp": [("lives_in", "located_in"), ("based_in", "located_in"), ("part_of", "located_in")],
+    "inv": [("located_in", "contains"), ("follows", "precedes")],
+    "sym": ["trades_with"],
+    "tra": ["located_in", "follows"],
+    "dom": [("lives_in", "Customer"), ("based_in", "Supplier"), ("name", "Named"), ("follows", "Line")],
+    "ran": [("part_of", "Region"), ("located_in", "Place")],
+    "subc": [("Customer", "Person"), ("Person", "Agent"), ("Supplier", "Company"), ("Company", "Agent"), ("Region", "Place")],
+}
+_SCHEMA = plus.Schema(*[tuple(tuple(BASE + x for x in pair) for pair in _RULES[k]) for k in ("dom", "ran", "subc", "subp", "inv")],
+                      *[tuple(BASE + x for x in _RULES[k]) for k in ("sym", "tra")])
+
+
+def trade_graph(t):
+    """Places, traders, the lines of an order in a row, and traders that are known under several names."""
+    customer, supplier = _node("Customer", "c_custkey"), _node("Supplier", "s_suppkey")
+    same = lambda a, b: _triple(a, "", b).withField("p", F.lit(plus.SAME))
+    users = t.events.select("user_id").distinct().join(t.customer, F.col("user_id") == F.col("c_custkey"), "left_semi")
+    doubles = t.supplier.join(t.customer, F.col("s_suppkey") == F.col("c_custkey"), "left_semi")
+    lines, before = t.lineitem.select("l_orderkey", "l_linenumber").distinct(), F.col("l_linenumber") - 1
+    held = lines.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"))
+    trades = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").distinct()
+    parts = [
+        t.customer.select(F.inline(F.array(_triple(customer, "lives_in", _node("Nation", "c_nationkey")),
+                                           _triple(customer, "name", F.col("c_name"), "literal", XSD + "string")))),
+        t.supplier.select(F.inline(F.array(_triple(supplier, "based_in", _node("Nation", "s_nationkey"))))),
+        t.nation.select(F.inline(F.array(_triple(_node("Nation", "n_nationkey"), "part_of", _node("Region", "n_regionkey"))))),
+        lines.join(held, ["l_orderkey", "l_linenumber"]).select(F.inline(F.array(
+            _triple(_node("Line", "l_orderkey", "l_linenumber"), "follows", _node("Line", "l_orderkey", before))))),
+        trades.select(F.inline(F.array(_triple(_node("Customer", "o_custkey"), "trades_with", _node("Supplier", "l_suppkey"))))),
+        users.select(F.inline(F.array(same(_node("User", "user_id"), _node("Customer", "user_id"))))),
+        doubles.select(F.inline(F.array(same(_node("Customer", "s_suppkey"), supplier)))),
+    ]
+    return union_triples(*parts)
+
+
+def _plus_sql():
+    iri = lambda cls, key: f"'{BASE}{cls}/' || {key}"
+    pairs = lambda k: ", ".join(f"('{BASE}{a}', '{BASE}{b}')" for a, b in _RULES[k])
+    ones = lambda k: ", ".join(f"('{BASE}{a}')" for a in _RULES[k])
+    lit = lambda s, p, o, frm: f"SELECT {s} AS s, '{p}' AS p, {o} AS o, 'iri' AS k, NULL::VARCHAR AS d FROM {frm}"
+    base = " UNION ".join([
+        lit(iri("Customer", "c_custkey"), BASE + "lives_in", iri("Nation", "c_nationkey"), "customer"),
+        f"SELECT {iri('Customer', 'c_custkey')}, '{BASE}name', c_name, 'literal', '{XSD}string' FROM customer",
+        lit(iri("Supplier", "s_suppkey"), BASE + "based_in", iri("Nation", "s_nationkey"), "supplier"),
+        lit(iri("Nation", "n_nationkey"), BASE + "part_of", iri("Region", "n_regionkey"), "nation"),
+        lit(iri("Line", "a.l_orderkey || '_' || a.l_linenumber"), BASE + "follows", iri("Line", "b.l_orderkey || '_' || b.l_linenumber"),
+            "lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber + 1"),
+        lit(iri("Customer", "o_custkey"), BASE + "trades_with", iri("Supplier", "l_suppkey"), "lineitem JOIN orders ON l_orderkey = o_orderkey"),
+        lit(iri("User", "user_id"), plus.SAME, iri("Customer", "user_id"), "events WHERE user_id IN (SELECT c_custkey FROM customer)"),
+        lit(iri("Customer", "s_suppkey"), plus.SAME, iri("Supplier", "s_suppkey"), "supplier WHERE s_suppkey IN (SELECT c_custkey FROM customer)"),
+    ])
+    return f"""WITH RECURSIVE subp(a, b) AS (VALUES {pairs('subp')}), inv(a, b) AS (VALUES {pairs('inv')}), sym(a) AS (VALUES {ones('sym')}),
+tra(a) AS (VALUES {ones('tra')}), dom(a, b) AS (VALUES {pairs('dom')}), ran(a, b) AS (VALUES {pairs('ran')}), subc(a, b) AS (VALUES {pairs('subc')}),
+base AS ({base}),
+step AS (SELECT a, b, false AS f FROM subp UNION SELECT a, b, true FROM inv UNION SELECT b, a, true FROM inv UNION SELECT a, a, true FROM sym),
+reach(a, b, f) AS (SELECT p, p, false FROM (SELECT p FROM base UNION SELECT a FROM step) UNION SELECT r.a, s.b, r.f <> s.f FROM reach r JOIN step s ON r.b = s.a),
+one AS (SELECT DISTINCT CASE WHEN f THEN o ELSE s END AS s, b AS p, CASE WHEN f THEN s ELSE o END AS o, k, d
+        FROM base JOIN reach ON p = a WHERE NOT f OR k = 'iri'),
+near AS (SELECT s, o FROM one WHERE p = '{plus.SAME}' UNION SELECT o, s FROM one WHERE p = '{plus.SAME}'),
+linked(s, o) AS (SELECT s, o FROM near UNION SELECT l.s, n.o FROM linked l JOIN near n ON l.o = n.s),
+least AS (SELECT s, least(s, min(o)) AS r FROM linked GROUP BY s),
+two AS (SELECT DISTINCT coalesce(a.r, x.s) AS s, p, coalesce(b.r, x.o) AS o, k, d FROM one x LEFT JOIN least a ON x.s = a.s
+        LEFT JOIN least b ON x.o = b.s AND k = 'iri' WHERE p <> '{plus.SAME}'
+        UNION SELECT s, '{plus.SAME}', r, 'iri', NULL FROM least WHERE s <> r),
+path(p, s, o) AS (SELECT p, s, o FROM two JOIN tra ON p = a UNION SELECT path.p, path.s, t.o FROM path JOIN two t ON path.p = t.p AND path.o = t.s),
+three AS (SELECT * FROM two UNION SELECT CASE WHEN f THEN o ELSE s END, b, CASE WHEN f THEN s ELSE o END, 'iri', NULL FROM path JOIN reach ON p = a),
+up(a, b) AS (SELECT a, a FROM subc UNION SELECT b, b FROM subc UNION SELECT b, b FROM dom UNION SELECT b, b FROM ran
+             UNION SELECT u.a, c.b FROM up u JOIN subc c ON u.b = c.a)
+SELECT s, p, o, k AS o_kind, d AS o_datatype FROM three
+UNION SELECT s, '{RDF_TYPE}', up.b, 'iri', NULL FROM three JOIN dom ON p = dom.a JOIN up ON dom.b = up.a
+UNION SELECT o, '{RDF_TYPE}', up.b, 'iri', NULL FROM three JOIN ran ON p = ran.a JOIN up ON ran.b = up.a WHERE k = 'iri'"""
+
+
+@query(_plus_sql())
+def entail_plus(t):
+    """Hierarchies, inverse, symmetric and transitive properties, and equal names over the trade graph."""
+    return plus.entail_plus(trade_graph(t), _SCHEMA)
+
+
+@query("""WITH RECURSIVE n AS (SELECT l_partkey AS s, l_suppkey + 1000000000 AS o FROM lineitem WHERE l_quantity > 49
+  UNION SELECT l_suppkey + 1000000000, min(l_partkey) FROM lineitem GROUP BY l_suppkey),
+w(s, o, steps) AS (SELECT s, o, 1 FROM n UNION SELECT w.s, n.o, w.steps + 1 FROM w JOIN n ON w.o = n.s WHERE w.steps < 40)
+SELECT s, o, min(steps)::BIGINT AS steps FROM w GROUP BY s, o""")
+def transitive_ways(t):
+    """Parts lead to the suppliers that ship most of them, suppliers to their first part: ways with cycles."""
+    big = F.col("l_suppkey") + 1000000000
+    down = t.lineitem.filter("l_quantity > 49").select(F.col("l_partkey").alias("s"), big.alias("o"))
+    back = t.lineitem.groupBy(big.alias("s")).agg(F.min("l_partkey").alias("o"))
+    return transitive_closure(down.union(back))[0]
