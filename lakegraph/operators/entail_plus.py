@@ -15,11 +15,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .closure import representatives, transitive_closure
 from .ordering import stored
-from .triples import COLUMNS, RDF_TYPE, SCHEMA
+from .triples import COLUMNS, RDF_TYPE
 
 log = logging.getLogger(__name__)
 
@@ -128,9 +127,7 @@ def entail_plus(triples: DataFrame, schema: Schema | None = None) -> DataFrame:
     """
     schema = schema_of_triples(triples) if schema is None else schema
     spark = triples.sparkSession
-    links = _table(spark, [(p, literal, q, turned) for literal in (False, True) for p, qs in schema.implied(literal).items()
-                           for q, turned in sorted(qs - {(p, False)})],
-                   "p string, literal boolean, q string, turned boolean", "p", "implied")
+    links = _links(spark, schema)
     every = stored(_with_implied(triples.select(*COLUMNS), links), "implied")
 
     pairs = every.filter((F.col("p") == SAME) & (F.col("o_kind") == "iri") & (F.col("s") != F.col("o"))).select("s", "o")
@@ -153,33 +150,32 @@ def all_names(triples: DataFrame) -> DataFrame:
     return same.select(F.col("s").alias("name"), F.col("o").alias("representative")).union(same.select("o", "o")).distinct()
 
 
-def _table(spark, rows: list[tuple], schema: str, key: str, name: str) -> DataFrame:
-    """Rules by ``key``, the other columns as a list: small by its checked number of rows."""
+def _table(spark, rows: list[tuple], schema: str) -> DataFrame:
+    """Rules of the schema: small by their checked number."""
     if len(rows) > MAX_RULES:
         raise ValueError(f"{len(rows)} rules follow from the schema, more than {MAX_RULES}")
-    packed: dict[str, list[tuple]] = defaultdict(list)
-    for first, *rest in rows:
-        packed[first].append(tuple(rest))
-    fields = T._parse_datatype_string(schema).fields[1:]
-    kind = T.StructType([T.StructField(key, T.StringType()), T.StructField(f"_{name}", T.ArrayType(T.StructType(fields)))])
-    return F.broadcast(spark.createDataFrame(list(packed.items()), kind))
+    return F.broadcast(spark.createDataFrame(rows, schema))
 
 
-def _applies(x):
-    """Whether a rule is for the kind of object that the triple has; a null part has no rules."""
-    return (x["literal"] != (F.col("o_kind") == "iri")) & F.col("s").isNotNull() & F.col("o").isNotNull()
+def _keyed(triples: DataFrame) -> DataFrame:
+    """Triples with what rules are looked up by; a triple with a null part has no rules."""
+    whole = F.col("s").isNotNull() & F.col("o").isNotNull()
+    return triples.select(*COLUMNS, F.when(whole, F.col("p")).alias("_p"), (F.col("o_kind") != "iri").alias("_literal"))
+
+
+def _links(spark, schema: Schema) -> DataFrame:
+    """(_p, _literal, q, turned): what a property implies, itself included."""
+    rows = [(p, literal, q, turned) for literal in (False, True) for p, qs in schema.implied(literal).items()
+            for q, turned in sorted(qs)]
+    return _table(spark, rows, "_p string, _literal boolean, q string, turned boolean")
 
 
 def _with_implied(triples: DataFrame, links: DataFrame) -> DataFrame:
-    """Every triple and those of the properties it implies: one pass."""
-    own = F.struct(*[F.col(c).cast("string").alias(c) for c in COLUMNS])
-    some = F.filter("_implied", _applies)
-    made = F.transform(some, lambda x: F.struct(
-        F.when(x["turned"], F.col("o")).otherwise(F.col("s")).alias("s"), x["q"].alias("p"),
-        F.when(x["turned"], F.col("s")).otherwise(F.col("o")).alias("o"), F.col("o_kind").alias("o_kind"),
-        F.col("o_datatype").alias("o_datatype")))
-    none = F.array().cast(f"array<{SCHEMA.simpleString()}>")
-    return triples.join(links, "p", "left").select(F.inline(F.concat(F.array(own), F.coalesce(made, none))))
+    """Every triple and those of the properties it implies: one pass, a triple without rules gives itself."""
+    turned = F.coalesce("turned", F.lit(False))
+    return _keyed(triples).join(links, ["_p", "_literal"], "left").select(
+        F.when(turned, F.col("o")).otherwise(F.col("s")).alias("s"), F.coalesce("q", "p").alias("p"),
+        F.when(turned, F.col("s")).otherwise(F.col("o")).alias("o"), "o_kind", "o_datatype")
 
 
 def _renamed(triples: DataFrame, names: DataFrame) -> DataFrame:
@@ -196,19 +192,18 @@ def _renamed(triples: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def _with_types(triples: DataFrame, schema: Schema) -> DataFrame:
-    """Every triple, the classes of its ends, and the classes above a stated one: one pass."""
+    """Every triple, the classes of its ends, and the classes above a stated one."""
     spark = triples.sparkSession
     ends = [(p, literal, c, i == 1) for literal in (False, True) for p, both in schema.classes_of_ends(literal).items()
             for i in (0, 1) if not (literal and i) for c in sorted(both[i])]
-    ends = _table(spark, ends, "p string, literal boolean, c string, of_object boolean", "p", "ends")
-    above = _table(spark, [(c, d) for c, ds in schema.super_classes().items() for d in sorted(ds)], "o string, d string", "o", "above")
-    kind = lambda node, c: F.struct(node.alias("s"), F.lit(RDF_TYPE).alias("p"), c.alias("o"), F.lit("iri").alias("o_kind"),
-                                    F.lit(None).cast("string").alias("o_datatype"))
-    none = F.array().cast(f"array<{SCHEMA.simpleString()}>")
-    is_iri, is_type = F.col("o_kind") == "iri", F.col("p") == RDF_TYPE
-    known = F.filter("_ends", _applies)
-    made = F.concat(
-        F.array(F.struct(*COLUMNS)),
-        F.coalesce(F.transform(known, lambda x: kind(F.when(x["of_object"], F.col("o")).otherwise(F.col("s")), x["c"])), none),
-        F.coalesce(F.when(is_type & is_iri & F.col("s").isNotNull(), F.transform("_above", lambda x: kind(F.col("s"), x["d"]))), none))
-    return triples.join(ends, "p", "left").join(above, "o", "left").select(F.inline(made))
+    own = sorted({(p, literal, None, False) for p, literal, *_ in ends})
+    ends = _table(spark, own + ends, "_p string, _literal boolean, c string, of_object boolean")
+    above = [(c, d) for c, ds in schema.super_classes().items() for d in sorted(ds)]
+    made = F.col("c").isNotNull()
+    out = _keyed(triples).join(ends, ["_p", "_literal"], "left").select(
+        F.when(F.col("of_object"), F.col("o")).otherwise(F.col("s")).alias("s"), F.when(made, RDF_TYPE).otherwise(F.col("p")).alias("p"),
+        F.coalesce("c", "o").alias("o"), F.when(made, "iri").otherwise(F.col("o_kind")).alias("o_kind"),
+        F.when(~made, F.col("o_datatype")).alias("o_datatype"))
+    stated = triples.filter((F.col("p") == RDF_TYPE) & (F.col("o_kind") == "iri") & F.col("s").isNotNull())
+    more = stated.join(_table(spark, above, "o string, d string"), "o").select("s", "p", F.col("d").alias("o"), "o_kind", "o_datatype")
+    return out.unionByName(more)

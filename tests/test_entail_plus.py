@@ -99,7 +99,7 @@ def test_rules_from_records():
                                      {"property": "q", "domain": None, "range": "string", "range_is_literal": True}], inverses=(("p", "q"),))
     assert schema.classes_of_ends() == {"p": ({"C"}, {"D"}), "q": ({"D"}, {"C"})}
     with pytest.raises(ValueError):
-        plus._table(None, [("a", "b")] * (plus.MAX_RULES + 1), "a string, b string", "a", "x")
+        plus._table(None, [("a", "b")] * (plus.MAX_RULES + 1), "a string, b string")
 
 
 def test_closure_finds_shortest_ways_in_few_rounds(spark):
