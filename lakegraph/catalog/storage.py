@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 from ..operators.triples import merge_triples, rows_to_triples
 from ..plans import movies as m
 from ..session import work_path
-from ..sources import incremental, readers, sinks
+from ..sources import incremental, json_map, readers, sinks
 from . import query
 from .quality import titles
 from .graph import TITLE_PARTS, _TITLES, _set
@@ -94,30 +94,45 @@ def read_entity_map(t):
     return readers.read_entity_map(t.spark, path)
 
 
-_ALL_FILES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
-              "embeddings", "pages", "benchmark", "labels", "conversations")
-
-
-def _values(rows, columns):
-    return f"SELECT * FROM (VALUES {', '.join(rows)}) t({columns})"
-
-
-_KNOWN = _ALL_FILES[:7]
-
-
-def _status(name):
-    return "new" if name not in _KNOWN else "changed" if name == "orders" else "unchanged"
-
-
-@query(_values([f"('{n}.parquet', '{_status(n)}')" for n in _ALL_FILES], "name, status"))
+@query("""SELECT 'nation=' || c_nationkey AS name, CASE WHEN c_nationkey >= 20 THEN 'new'
+  WHEN max(c_acctbal) > 9800 OR min(c_custkey) < 5 THEN 'changed' ELSE 'unchanged' END AS status FROM customer GROUP BY c_nationkey""")
 def changed_files(t):
-    """All table files against a manifest that knows half of them and has an old hash of one."""
-    files = [t.path(n) for n in _ALL_FILES]
-    known = incremental.file_hashes(t.spark, [t.path(n) for n in _KNOWN])
-    old = F.col("path").endswith("/orders.parquet")
-    manifest = known.withColumn("md5", F.when(old, "0").otherwise(F.col("md5")))
-    found = incremental.detect_changed_files(t.spark, files, manifest)
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "status")
+    """Customers in one file per nation, twice: rich ones change their segment, the first ones change places.
+
+    The first load had no nation above 19. Files are told apart by their folder, so the second load is
+    compared by content and not by the names that its files happen to get.
+    """
+    def load(rows, place):
+        path = work_path(t.spark, "customers")
+        line = F.concat_ws("|", "c_custkey", "c_name", "segment")
+        dealt = rows.select(F.concat(F.lit("nation="), "c_nationkey").alias("folder"), line.alias("line"), place.alias("place"))
+        dealt.repartition("folder").sortWithinPartitions("folder", "place", "line").select("line", F.col("folder").alias("f")).write.partitionBy("f").text(path)
+        return path
+    segment, rich = F.col("c_mktsegment"), F.col("c_acctbal") > 9800
+    first = load(t.customer.filter("c_nationkey < 20").withColumn("segment", segment), F.col("c_custkey"))
+    second = load(t.customer.withColumn("segment", F.when(rich, F.concat(segment, F.lit("!"))).otherwise(segment)),
+                  F.when(F.col("c_custkey") < 5, 1 << 40).otherwise(0) + F.col("c_custkey"))
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -2), "^f=|%3D", "")
+    manifest = incremental.detect_changed_files(t.spark, first, name=name)
+    found = incremental.detect_changed_files(t.spark, second, manifest.select("name", "length", "modified", "digest"), name)
+    return found.select(F.regexp_replace("name", "^nation", "nation=").alias("name"), "status")
+
+
+@query("""SELECT 'order ' || o_orderkey AS key, o_custkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'a "} , {' || o_orderstatus END AS note, o_totalprice AS price FROM orders UNION ALL SELECT 'none ' || o_orderkey, NULL, NULL, NULL FROM orders WHERE o_orderstatus = 'P'""")
+def read_json_map_whole(t):
+    """All orders as one document in one file, pretty-printed, with braces in texts and entries without a record."""
+    path = work_path(t.spark, "document")
+    note = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('a "} , {'), "o_orderstatus"))
+    record = F.struct(F.col("o_custkey").alias("id"), F.struct(note.alias("note"), F.col("o_totalprice").alias("price")).alias("more"))
+    entry = F.concat(F.lit('"order '), "o_orderkey", F.lit('" : '), F.to_json(record))
+    empty = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit('"none '), "o_orderkey", F.lit('": null')))
+    lines = t.orders.select(F.col("o_orderkey").alias("n"), F.concat_ws(",\n", entry, empty).alias("line"))
+    first = t.orders.agg(F.min("o_orderkey")).scalar()
+    lines = lines.select("n", F.concat(F.when(F.col("n") == first, "{ ").otherwise(","), "line").alias("value"))
+    close = t.spark.range(1).select((F.lit(1 << 62)).alias("n"), F.lit("}").alias("value"))
+    lines.union(close).repartitionByRange(1, "n").sortWithinPartitions("n").select("value").write.text(path)
+    schema = T._parse_datatype_string("id bigint, more struct<note string, price double>")
+    return json_map.read_json_map_whole(t.spark, path, schema).select("key", "value.id", "value.more.note", "value.more.price")
 
 
 @query("""SELECT 's_nationkey=' || n_nationkey AS name FROM nation

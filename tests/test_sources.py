@@ -1,10 +1,13 @@
+import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakegraph.operators.triples import SCHEMA
-from lakegraph.sources import incremental, readers, sinks
+from lakegraph.sources import incremental, json_map, readers, sinks
 
 
 def _triples(spark, n):
@@ -19,12 +22,69 @@ def test_changed_files(spark, tmp_path):
     status = lambda df: {os.path.basename(r["path"]): r["status"] for r in df.collect()}
     first = incremental.detect_changed_files(spark, str(tmp_path))
     assert status(first) == {"a": "new", "b": "new", "c": "new"}
-    manifest = spark.createDataFrame(first.filter(~F.col("path").endswith("c")).select("path", "md5").collect(), incremental.MANIFEST_SCHEMA)
+    kept = first.filter(~F.col("path").endswith("c")).select("name", "length", "modified", "digest").collect()
+    manifest = spark.createDataFrame(kept, incremental.MANIFEST_SCHEMA)
     (tmp_path / "b").write_text("b" * 10 + "!")
+    os.utime(tmp_path / "a", (1, 1))  # touched, not changed
     second = incremental.detect_changed_files(spark, str(tmp_path), manifest)
     assert status(second) == {"a": "unchanged", "b": "changed", "c": "new"}
-    updated = incremental.update_manifest(manifest, second.filter("status <> 'unchanged'"))
+    updated = incremental.update_manifest(manifest, second.filter("status <> 'unchanged' OR name LIKE '%a'"))
     assert updated.count() == 3
+    third = incremental.detect_changed_files(spark, str(tmp_path), updated)
+    assert set(status(third).values()) == {"unchanged"}
+
+
+def test_digests_do_not_depend_on_splits(spark, tmp_path):
+    rng = random.Random(1)
+    lines = [bytes(rng.randrange(256) for _ in range(rng.randrange(40))).replace(b"\n", b"") for _ in range(400)]
+    variants = {"same": lines, "again": lines, "moved": lines[1:] + lines[:1], "swapped": lines[:10] + [lines[11], lines[10]] + lines[12:],
+                "fewer": lines[:-1], "more": lines + [b""], "changed of 1%20": lines[:200] + [b"x"] + lines[201:], "none": []}
+    for name, rows in variants.items():
+        (tmp_path / name).write_bytes(b"".join(r + b"\n" for r in rows))
+    digests = []
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("128m", "700b", "3000b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+            digests.append({os.path.basename(r["path"]): r["digest"] for r in incremental.file_digests(spark, str(tmp_path)).collect()})
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert digests[0] == digests[1] == digests[2] and digests[0].keys() == variants.keys() - {"none"}
+    assert digests[0]["same"] == digests[0]["again"] and len(set(digests[0].values())) == len(variants) - 2
+
+
+@pytest.mark.parametrize("size", ["128m", "90b", "333b"])
+def test_json_map_is_read_by_many_tasks(spark, tmp_path, size):
+    rng = random.Random(4)
+    ugly = ['"', "}", "{", "\\", "\\\"", " ", "é", "a", "\n", ",", "},{"]
+    word = lambda: "".join(rng.choice(ugly) for _ in range(rng.randrange(7)))
+    want = []
+    for d in range(3):
+        document = {f"{i} {word()}": None if rng.random() < 0.2 else
+                    {"x": word(), "y": [{"z": rng.randrange(9)} for _ in range(rng.randrange(3))]} for i in range((0, 60, 25)[d])}
+        text = json.dumps(document, indent=(None, 2, None)[d], ensure_ascii=bool(d))
+        (tmp_path / f"{d}.json").write_text(text + ("", "\n", " \n ")[d])
+        want += [(k, v and (v["x"], [r["z"] for r in v["y"]])) for k, v in document.items()]
+    (tmp_path / "4.json").write_text('{"cut": {"x": "off"}, "b": {"x": "')
+    (tmp_path / "5.json").write_text('{"cut": {"x": "off"}, "b": {"x": 1')
+    (tmp_path / "6.json").write_text('{"bad": {"x": "1", ]}, "good": {"x": "2", "y": []}}')
+    (tmp_path / "7.json").write_text("")
+    want.append(("good", ("2", [])))
+    schema = T._parse_datatype_string("x string, y array<struct<z int>>")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        got = json_map.read_json_map_whole(spark, str(tmp_path), schema).collect()
+        counts = json_map.unparsed_records(spark, str(tmp_path), schema).first()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    got = [(r["key"], r["value"] and (r["value"]["x"], [y["z"] for y in r["value"]["y"]])) for r in got]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert (counts["documents"], counts["broken"], counts["unparsed"]) == (6, 2, 1)
 
 
 def test_missing_inputs(spark, tmp_path):
