@@ -7,9 +7,8 @@ from ..operators.bgp import bgp_match as match
 from ..operators.bgp import predicate_counts
 from ..operators import entail_plus as plus
 from ..operators.closure import transitive_closure
-from ..operators.entail import rdfs_entail
 from ..operators.triples import (BASE, RDF_TYPE, XSD, Attr, Link, Mapping, Node, Source, Type, VirtualGraph,
-                                 ForEach, merge_triples, rows_to_triples, to_ntriples, union_triples)
+                                 ForEach, set_of_triples, to_ntriples, union_triples)
 from ..operators.triples import rejected_triples as rejected
 from ..plans import movies as m
 from ..session import work_path
@@ -40,7 +39,7 @@ def _set(with_, *parts):
 
 
 def _graph_set(df, mapping):
-    return merge_triples(rows_to_triples(df, mapping))
+    return set_of_triples((df, mapping))
 
 
 _M, _G = _iri("Movie", "tconst"), _iri("Genre", "genre")
@@ -144,7 +143,7 @@ def ratings_to_triples(t):
 @query(_set(f"{_TITLES}, {_PEOPLE}", *TITLE_PARTS, *PEOPLE_PARTS))
 def merge_graphs(t):
     """Titles and people meet in the works people are known for."""
-    return merge_triples(rows_to_triples(titles(t), m.titles_mapping()), rows_to_triples(people(t), m.people_mapping()))
+    return set_of_triples((titles(t), m.titles_mapping()), (people(t), m.people_mapping()))
 
 
 @query("""SELECT CASE WHEN o_kind = 'iri' THEN '<' || s || '> <' || p || '> <' || o || '> .'
@@ -168,8 +167,7 @@ UNION SELECT o, {typed}, ran, 'iri', NULL FROM base JOIN onto ON base.p = onto.p
 @query(_entail_sql())
 def entail_types(t):
     """Only links and attributes are given; the types follow from them."""
-    graph = union_triples(rows_to_triples(titles(t), m.titles_mapping()), rows_to_triples(people(t), m.people_mapping()))
-    return rdfs_entail(graph, m.ontology())
+    return set_of_triples((titles(t), m.titles_mapping()), (people(t), m.people_mapping()), ontology=m.ontology())
 
 
 @query(f"""SELECT '{RDF_TYPE}' AS p, 0 AS rejected UNION ALL

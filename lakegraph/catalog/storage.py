@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.triples import merge_triples, rows_to_triples
+from ..operators.triples import set_of_triples
 from ..plans import movies as m
 from ..session import work_path
 from ..sources import incremental, json_map, readers, sinks
@@ -73,14 +73,14 @@ def read_json_map(t):
 def store_triples(t):
     """A graph stored by predicate and read back."""
     path = work_path(t.spark, "graph")
-    sinks.write_triples(merge_triples(rows_to_triples(titles(t), m.titles_mapping())), path)
+    sinks.write_triples(set_of_triples((titles(t), m.titles_mapping())), path)
     return readers.read_table(t.spark, path).select("s", "p", "o", "o_kind", "o_datatype")
 
 
 @query("SELECT s AS head, p AS relation, o AS tail FROM (" + _set(_TITLES, *TITLE_PARTS) + ") WHERE o_kind = 'iri'")
 def triples_tsv(t):
     path = work_path(t.spark, "triples")
-    sinks.write_triples_tsv(merge_triples(rows_to_triples(titles(t), m.titles_mapping())), path)
+    sinks.write_triples_tsv(set_of_triples((titles(t), m.titles_mapping())), path)
     return readers.read_triples_tsv(t.spark, path)
 
 

@@ -128,6 +128,14 @@ def rows_to_triples(df: DataFrame, mapping: Mapping) -> DataFrame:
     """
     if not mapping.steps:
         return df.sparkSession.createDataFrame([], SCHEMA)
+    return _evaluate(df, mapping, True, lambda step, iri: _fields(step, mapping.base, iri))
+
+
+def _evaluate(df: DataFrame, mapping: Mapping, whole: bool, fields) -> DataFrame:
+    """A row of ``fields(step, columns of its nodes)`` for every triple, ``s`` and ``o`` among them.
+
+    ``whole``: a node's column is its IRI, else only its key.
+    """
     if mapping.when is not None:
         df = df.filter(mapping.when)
     plain = tuple(s for s in mapping.steps if not isinstance(s, ForEach))
@@ -144,12 +152,12 @@ def rows_to_triples(df: DataFrame, mapping: Mapping) -> DataFrame:
     df = _encoded(df, dict(keys.items()))
     iris = {}
     for (part, _), (name, (node, parts)) in nodes.entries():
-        iri = F.concat(F.lit(f"{mapping.base}{node.cls}/"), *_between(parts))
+        iri = F.concat(*[F.lit(_prefix(node, mapping.base))] * whole, *_between(parts))
         iris[name] = F.when(F.col(PART) == part, iri) if lists else iri
     df = df.withColumns(iris)
 
-    def triple(part, step):
-        return _fields(step, mapping.base, lambda node: F.col(nodes.name((part, _identity(node)))))
+    def made(part, step):
+        return fields(step, lambda node: F.col(nodes.name((part, _identity(node)))))
 
     if len(groups) == 1 and len(groups[0][1]) == 1:
         # No generator needed, so filters and pruning go straight through to the scan.
@@ -157,13 +165,13 @@ def rows_to_triples(df: DataFrame, mapping: Mapping) -> DataFrame:
         needed = [F.col(k) for node in _nodes(step) for k in node.key if isinstance(k, str)]
         needed += [_value(step.value)] if isinstance(step, Attr) else []
         out = df.filter(reduce(lambda a, b: a & b, [c.isNotNull() for c in needed], F.lit(True)))
-        out = out.select(*triple(part, step))
+        out = out.select(*made(part, step))
     else:
         triples = None
         for part, steps in groups:
-            made = F.array(*[F.struct(*triple(part, s)) for s in steps])
+            rows = F.array(*[F.struct(*made(part, s)) for s in steps])
             here = F.col(PART) == part if lists else F.lit(True)
-            triples = F.when(here, made) if triples is None else triples.when(here, made)
+            triples = F.when(here, rows) if triples is None else triples.when(here, rows)
         out = df.select(F.inline(triples))
     return out.filter("s IS NOT NULL AND o IS NOT NULL")
 
@@ -217,6 +225,51 @@ def merge_triples(*frames: DataFrame) -> DataFrame:
     return union_triples(*frames).distinct()
 
 
+def set_of_triples(*sources: tuple[DataFrame, Mapping], ontology: list[dict] | None = None) -> DataFrame:
+    """The set of triples of tables with their mappings, and with the types that follow from an ontology.
+
+    Repeats are dropped before there are any IRIs. A triple is a number, for everything that is the same in
+    all triples of a step (property, kind, datatype, the IRIs up to the keys), and two keys. That
+    makes a third of the bytes to hash and to shuffle; the five columns are put together afterwards. Types are
+    numbers and keys too, so those that a table implies again and again are dropped on the map side.
+    Where keys could be told apart only by their IRIs, the triples themselves are made distinct.
+    """
+    codes: dict[tuple, int] = {}
+    number = lambda *key: codes.setdefault(key, len(codes))
+    frames = []
+    for df, mapping in sources:
+        if mapping.steps:
+            frames.append(_evaluate(df, mapping, False, lambda step, key, base=mapping.base: _keyed(step, base, key, number)))
+    spark = sources[0][0].sparkSession
+    if not frames:
+        return spark.createDataFrame([], SCHEMA)
+    implied: dict[int, list[tuple[int, bool]]] = {}
+    types = lambda prop, end: dict.fromkeys(r[end] for r in ontology or () if r["property"] == prop and r[end] and not (end == "range" and r["range_is_literal"]))
+    for (s, p, kind, o, _), code in list(codes.items()):
+        found = [(number(s, RDF_TYPE, "iri", c, None), False) for c in types(p, "domain")]
+        if kind == "iri":
+            found += [(number(o, RDF_TYPE, "iri", c, None), True) for c in types(p, "range")]
+        if found:
+            implied[code] = found
+    if _confusable(list(codes)):
+        from .entail import rdfs_entail
+        every = union_triples(*[rows_to_triples(df, mapping) for df, mapping in sources])
+        return rdfs_entail(every, ontology) if ontology else every.distinct()
+
+    keyed = reduce(lambda a, b: a.unionByName(b), frames)
+    if implied:
+        entry = lambda code, of_object, is_type: F.struct(
+            F.lit(code).alias("c"), F.lit(of_object).alias("of_object"), F.lit(is_type).alias("is_type"))
+        lists = [F.array(entry(code, False, False), *[entry(t, of_object, True) for t, of_object in implied.get(code, ())])
+                 for code in range(len(codes))]
+        opened = keyed.select("s", "o", F.explode(F.array(*lists)[F.col("code")]).alias("e"))
+        keyed = opened.select(F.col("e.c").alias("code"), F.when(F.col("e.of_object"), F.col("o")).otherwise(F.col("s")).alias("s"),
+                              F.when(F.col("e.is_type"), "").otherwise(F.col("o")).alias("o"))
+    part = lambda i: F.array(*[F.lit(key[i]).cast("string") for key in codes])[F.col("code")]
+    return keyed.distinct().select(F.concat(part(0), "s").alias("s"), part(1).alias("p"), F.concat(part(3), "o").alias("o"),
+                                   part(2).alias("o_kind"), part(4).alias("o_datatype"))
+
+
 def to_ntriples(triples: DataFrame, name: str = "line") -> DataFrame:
     """One N-Triples line per triple."""
     text = F.col("o")
@@ -323,6 +376,37 @@ def _fields(step, base: str, iri) -> list[Column]:
     return [f.cast("string").alias(c) for f, c in zip(fields, COLUMNS)]
 
 
+def _prefix(node: Node, base: str) -> str:
+    return f"{base}{node.cls}/"
+
+
+def _confusable(codes: list[tuple]) -> bool:
+    """Whether two numbers can stand for one triple: what they share ends in the midst of the other's."""
+    nested = lambda a, b: a.startswith(b) or b.startswith(a)
+    for i, (s, p, kind, o, datatype) in enumerate(codes):
+        for t, q, other, x, d in codes[:i]:
+            if (p, kind, datatype) == (q, other, d) and nested(s, t) and (o == x if p == RDF_TYPE else nested(o, x)):
+                return True
+    return False
+
+
+def _keyed(step, base: str, key, number) -> list[Column]:
+    """``code, s, o`` of a step: what all its triples share as a number, and the keys of its ends."""
+    subject = _prefix(step.node, base)
+    s = key(step.node)
+    if isinstance(step, Type):
+        code, o = number(subject, RDF_TYPE, "iri", base + step.node.cls, None), F.lit("")
+    elif isinstance(step, Attr):
+        code, o = number(subject, base + step.prop, "literal", "", XSD + step.datatype), _value(step.value).cast("string")
+    else:
+        if step.position:
+            s = F.when(F.col(INDEX) == 0 if step.position == "first" else F.col(INDEX) > 0, s)
+        code, o = number(subject, base + step.prop, "iri", _prefix(step.target, base), None), key(step.target)
+    if step.when is not None:
+        s = F.when(step.when, s)
+    return [F.lit(code).alias("code"), s.cast("string").alias("s"), o.cast("string").alias("o")]
+
+
 def _between(parts: list[str]) -> list[Column]:
     out: list[Column] = []
     for name in parts:

@@ -14,11 +14,10 @@ from pyspark.sql import functions as F
 from ..operators.analytics import (genre_evolution, genre_table, profession_gender_counts, profession_gender_table,
                                    top_genres)
 from ..operators.bgp import predicate_counts
-from ..operators.entail import rdfs_entail
 from ..operators.profile import (column_completeness, descriptive_profile, profile_report, redundancy_ratio,
                                  relation_completeness)
 from ..operators.relational import semi_join, union_distinct
-from ..operators.triples import BASE, rows_to_triples, union_triples
+from ..operators.triples import BASE, set_of_triples
 from ..sources.readers import read_csv, read_delimited, read_json_map, read_table
 from ..sources.sinks import write_table, write_triples
 from . import movies as m
@@ -99,8 +98,7 @@ def quality_report(df: DataFrame, approx: bool = False) -> dict[str, DataFrame]:
 
 def build_graph(trusted: dict[str, DataFrame]) -> DataFrame:
     """All mapped tables as one set of triples with their inferred types."""
-    parts = [rows_to_triples(trusted[name], mapping()) for name, mapping in m.MAPPINGS.items()]
-    return rdfs_entail(union_triples(*parts), m.ontology())
+    return set_of_triples(*[(trusted[name], mapping()) for name, mapping in m.MAPPINGS.items()], ontology=m.ontology())
 
 
 def answers(graph: DataFrame, keep=lambda name, df: df) -> dict[str, DataFrame]:

@@ -6,7 +6,7 @@ from lakegraph.operators.bgp import bgp_match, predicate_counts
 from lakegraph.operators import triples as tr
 from lakegraph.operators.entail import rdfs_entail
 from lakegraph.operators.triples import (BASE, ITEM, RDF_TYPE, SCHEMA, XSD, Attr, ForEach, Link, Mapping, Node, Source, Type,
-                                         VirtualGraph, encode_iri_part, merge_triples, only, rows_to_triples, to_ntriples)
+                                         VirtualGraph, encode_iri_part, merge_triples, only, rows_to_triples, set_of_triples, to_ntriples, union_triples)
 from lakegraph.plans import movies as m
 
 
@@ -153,3 +153,20 @@ def test_rejected_triples_are_those_not_made(spark):
     got = {r["p"].split("/")[-1].split("#")[-1]: r["rejected"] for r in tr.rejected_triples(df, mapping).collect()}
     assert got == {"type": 2, "title": 3, "some": 1, "all": 2, "first": 1, "rest": 1}
     assert {r["rejected"] for r in tr.rejected_triples(df.limit(0), mapping).collect()} == {0}
+
+
+def test_sets_by_keys_are_sets_of_triples(spark):
+    """Repeats within and between tables, keys that need encoding, nulls, lists, and prefixes that cannot be told apart."""
+    rows = [("a b", "t", ["x", "y", None, ""], 1), ("a b", "t", ["x"], 1), ("c", None, None, None), (None, "t", ["x"], 2), ("é/d", "a b", [], 3)]
+    df = spark.createDataFrame(rows, "k string, v string, xs array<string>, n int")
+    work, genre = Node("Movie", "k"), Node("Genre", "$item")
+    one = Mapping((Type(work), Attr(work, "title", "v"), Attr(work, "n", "n", "integer", when=F.col("n") < 3), Link(work, "same", Node("Movie", "v")),
+                   ForEach("xs", (Type(genre), Link(work, "first_genre", genre, position="first"), Attr(genre, "name", "$item")))))
+    two = Mapping((Type(Node("Movie", "v")), Attr(Node("Movie", "v"), "title", "k")))
+    nested = Mapping((Link(Node("Movie/x", "k"), "same", Node("Movie", "v")),))
+    ontology = [{"property": BASE + p, "domain": BASE + d, "range": r and BASE + r, "range_is_literal": literal} for p, d, r, literal in (
+        ("title", "Movie", "string", True), ("same", "Work", "Other", False), ("first_genre", "Movie", "Genre", False), ("name", "Genre", None, False))]
+    for sources in ([(df, one)], [(df, one), (df, two)], [(df, two), (df.limit(2), nested)], [(df.limit(0), one)], [(df, Mapping(()))]):
+        plain = union_triples(*[rows_to_triples(x, m) for x, m in sources])
+        assert sorted(set_of_triples(*sources).collect(), key=str) == sorted(plain.distinct().collect(), key=str)
+        assert sorted(set_of_triples(*sources, ontology=ontology).collect(), key=str) == sorted(rdfs_entail(plain, ontology).collect(), key=str)
