@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -30,6 +31,8 @@ MIN_REVISIT = 1000
 # Compressed bytes after which an archive ends, records its dictionary is trained on, dictionary size.
 ARCHIVE_BYTES, TRAINED_ON, DICTIONARY = 4 << 20, 64, 16 << 10
 BROADCAST_ROWS = 2_000_000
+# A record that unpacks to more than this is an error.
+MOST_BYTES = 1 << 30
 # Fixed values of the formats.
 SKIPPABLE, DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A50, 0x184D2A5D, 0xFD2FB528
 SEPARATOR = "P*M\x18\x00\x00\x00\x00"
@@ -133,51 +136,109 @@ def frames_of(data: bytes) -> Iterator[tuple[int, memoryview]]:
         at = end
 
 
+def headers(lines: list[str]) -> dict[str, str]:
+    """Values by lower-cased name; a line that begins with white space goes on with the one before."""
+    found: dict[str, str] = {}
+    name = None
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            found[name] = f"{found[name]} {line.strip()}".strip()
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            name = name.strip().lower()
+            found[name] = value.strip()
+    return found
+
+
+def _digest(labelled: str | None) -> tuple[str, bytes] | None:
+    """Algorithm and value of ``name:value`` in base32 or hex; None for what cannot be checked."""
+    name, _, value = (labelled or "").partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    size = hashlib.new(name).digest_size
+    value = value.strip()
+    return name, bytes.fromhex(value) if len(value) == 2 * size else base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+
+
+def _check(what: str, digest: tuple[str, bytes] | None, data: bytes) -> None:
+    if digest and hashlib.new(digest[0], data).digest() != digest[1]:
+        raise BadRecord(f"{what} differs from its length or digest")
+
+
 def parse(raw: bytes) -> dict:
-    """The fields of one record; raises BadRecord where headers or lengths are wrong."""
+    """The fields of one record of any type; raises BadRecord where headers, lengths or digests are wrong.
+
+    Names are read in any case. Only a response or revisit of HTTP has an HTTP head; its payload is what
+    follows, that of another record the whole block. Lengths and digests are checked where they are
+    given, but for a payload that is truncated or transfer-encoded. ``payload_digest`` is the SHA-1 of the
+    payload, of a revisit the one that it states; a revisit has no payload here.
+    """
     head, gap, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    if not gap or lines[0] not in ("WARC/1.0", "WARC/1.1"):
+    lines = head.decode("utf-8", "replace").split("\r\n")
+    if not gap or not re.fullmatch(r"WARC/\d+\.\d+", lines[0]):
         raise BadRecord("no WARC header")
-    fields = dict(line.split(": ", 1) for line in lines[1:] if ": " in line)
-    missing = {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} - set(fields)
-    if missing:
-        raise BadRecord(f"no {min(missing)}")
-    size = int(fields["Content-Length"])
+    fields = headers(lines[1:])
+    for name in ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"):
+        if name.lower() not in fields:
+            raise BadRecord(f"no {name}")
+    size, kind = int(fields["content-length"]), fields["warc-type"].lower()
     if len(rest) != size + 4 or rest[size:] != b"\r\n\r\n":
         raise BadRecord("record length differs from Content-Length")
-    http, gap, payload = rest[:size].partition(b"\r\n\r\n")
-    length = [int(line.split(b":")[1]) for line in http.split(b"\r\n") if line.lower().startswith(b"content-length:")]
-    name, digest = fields.get("WARC-Payload-Digest", ":").split(":", 1)
-    if not gap or not length or name != "sha1":
-        raise BadRecord("no HTTP head or payload digest")
-    digest = base64.b32decode(digest).hex()
-    kind = fields["WARC-Type"]
-    if kind == "response" and (len(payload) != length[0] or hashlib.sha1(payload).hexdigest() != digest):
-        raise BadRecord("payload differs from its length or digest")
-    if kind == "revisit" and "WARC-Refers-To" not in fields:
-        raise BadRecord("no WARC-Refers-To")
-    return {"record_id": fields["WARC-Record-ID"].strip("<>"), "record_type": kind, "target_uri": fields.get("WARC-Target-URI"),
-            "payload_bytes": length[0], "payload_digest": digest, "refers_to": fields.get("WARC-Refers-To", "").strip("<>") or None,
-            "payload": payload if kind == "response" else None, "error": None}
+    block = rest[:size]
+    _check("block", _digest(fields.get("warc-block-digest")), block)
+    payload, stated = block, None
+    if kind in ("response", "revisit") and fields.get("content-type", "").lower().startswith("application/http"):
+        http, gap, payload = block.partition(b"\r\n\r\n")
+        if not gap and (kind == "response" or block):
+            raise BadRecord("no HTTP head")
+        http = headers(http.decode("latin-1").split("\r\n")[1:])
+        stated = int(http["content-length"]) if http.get("content-length", "").isdigit() else None
+        whole = "warc-truncated" not in fields and "transfer-encoding" not in http
+        if kind == "response" and whole and stated not in (None, len(payload)):
+            raise BadRecord("payload differs from its length or digest")
+    digest = _digest(fields.get("warc-payload-digest"))
+    if kind == "revisit":
+        if not {"warc-refers-to", "warc-refers-to-target-uri"} & fields.keys():
+            raise BadRecord("no WARC-Refers-To")
+        own, length, payload = digest[1].hex() if digest and digest[0] == "sha1" else None, stated, None
+    else:
+        if "warc-truncated" not in fields:
+            _check("payload", digest, payload)
+        own, length = hashlib.sha1(payload).hexdigest(), len(payload)
+    return {"record_id": fields["warc-record-id"].strip("<>"), "record_type": kind, "target_uri": fields.get("warc-target-uri"),
+            "payload_bytes": length, "payload_digest": own, "refers_to": fields.get("warc-refers-to", "").strip("<>") or None,
+            "payload": payload, "error": None}
+
+
+def _unpacked(frame: memoryview, dictionary: zstandard.ZstdCompressionDict | None) -> bytes:
+    """What a frame holds; frames of streaming compressors do not say how much that is."""
+    reader = zstandard.ZstdDecompressor(dict_data=dictionary).stream_reader(bytes(frame)) if dictionary else \
+        zstandard.ZstdDecompressor().stream_reader(bytes(frame))
+    data = reader.read(MOST_BYTES + 1)
+    if len(data) > MOST_BYTES:
+        raise BadRecord(f"a record of more than {MOST_BYTES} bytes")
+    return data
 
 
 def read_archive(data: bytes) -> Iterator[dict]:
-    """Records of one archive. A bad record, or the bad rest of an archive, is a row with only ``error``."""
+    """Records of one archive, with or without a dictionary frame at its start.
+
+    A bad record, or the bad rest of an archive, is a row with only ``error``.
+    """
     nothing = dict.fromkeys(c.split()[0] for c in RECORD.split(", "))
-    decompress = None
+    own, begun = None, False
     try:
         for magic, frame in frames_of(data):
-            if magic == DICTIONARY_MAGIC and decompress is None:
-                own = bytes(frame[8:])
-                if own[:4] == struct.pack("<I", FRAME_MAGIC):
-                    own = zstandard.ZstdDecompressor().decompress(own)
-                decompress = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(own)).decompress
+            if magic == DICTIONARY_MAGIC and not begun:
+                content = bytes(frame[8:])
+                if content[:4] == struct.pack("<I", FRAME_MAGIC):
+                    content = _unpacked(memoryview(content), None)
+                own = zstandard.ZstdCompressionDict(content)
             elif magic == FRAME_MAGIC:
-                if decompress is None:
-                    raise BadRecord("no dictionary before the first record")
+                begun = True
                 try:
-                    yield parse(decompress(frame))
+                    yield parse(_unpacked(frame, own))
                 except (ValueError, zstandard.ZstdError) as e:
                     yield nothing | {"error": str(e)}
     except (BadRecord, zstandard.ZstdError) as e:
@@ -233,6 +294,7 @@ def archive_pages(pages: DataFrame, path: str) -> None:
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
+    """Every row of pages written as a record and read back; a null html is an empty payload."""
     path = work_path(spark, "archives")
     archive_pages(table(spark, sf_dir, "pages"), path)
     records = read_archives(spark, path)
