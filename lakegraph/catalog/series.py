@@ -42,14 +42,14 @@ def lag_diff_by_user(t):
     return _text_time(out).withColumn("increase_value", F.round("increase_value", 6))
 
 
-def _outlier_sql(columns, by):
+def _outlier_sql(columns, by, size=7, k="7.5"):
     p = f"PARTITION BY {by}" if by else ""
     first = f"row_number() OVER (PARTITION BY {by + ', ' if by else ''}ts ORDER BY value NULLS FIRST)"
-    w = f"OVER ({p} ORDER BY ts, value NULLS FIRST ROWS 6 PRECEDING)"
+    w = f"OVER ({p} ORDER BY ts, value NULLS FIRST ROWS {size - 1} PRECEDING)"
     return f"""WITH d AS (SELECT *, coalesce(value - lag(value) OVER ({p} ORDER BY ts, value NULLS FIRST), 0) AS inc,
   {first} AS pos FROM ({_EVENTS})),
 q AS (SELECT *, quantile_disc(inc, 0.25) {w} AS q1, quantile_disc(inc, 0.75) {w} AS q3 FROM d)
-SELECT {columns}{_MOMENT}, round(inc, 6) AS increase_value, inc > q3 + 7.5::DOUBLE * (q3 - q1) AS is_outlier_value
+SELECT {columns}{_MOMENT}, round(inc, 6) AS increase_value, inc > q3 + {k}::DOUBLE * (q3 - q1) AS is_outlier_value
 FROM q WHERE pos = 1"""
 
 
@@ -65,6 +65,13 @@ def ts_outliers_by_user(t):
     return _text_time(out).withColumn("increase_value", F.round("increase_value", 6))
 
 
+@query(_outlier_sql("", "", 5_000, "1.5"))
+def ts_outliers_long(t):
+    """A frame of 5,000 rows, longer than a range."""
+    out = ts.rolling_iqr_outliers(events(t), "value", "ts", 5_000, 1.5, rows_per_bucket=ROWS)
+    return _text_time(out).withColumn("increase_value", F.round("increase_value", 6))
+
+
 @query(f"""WITH f AS ({_outlier_sql("", "")}) SELECT event_id, f.* FROM (SELECT event_id, {_MOMENT} FROM events) e
 LEFT JOIN f USING (ts)""")
 def attach_outliers(t):

@@ -104,10 +104,12 @@ def with_halo(ranges: DataFrame, series: list[str], order: list[str], rows: int)
     last = Window.partitionBy(*series, BUCKET).orderBy(*[F.desc(c) for c in order])
     tails = of_crossing(ranges, ranges, series)
     tails = tails.withColumn("_pos", F.row_number().over(last)).filter(F.col("_pos") <= rows).drop("_pos")
-    ahead = Window.partitionBy(*(series or [F.lit(0)])).orderBy(*order).rowsBetween(1, rows)
+    ahead = Window.partitionBy(*(series or [F.lit(0)])).orderBy(*order)
+    end = F.max(BUCKET).over(ahead.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    # Ranges are numbered in order, so the range of the last row in reach is the last that needs this one.
     halo = (
-        tails.withColumn("_next", F.array_except(F.collect_set(BUCKET).over(ahead), F.array(BUCKET)))
-        .withColumn(BUCKET, F.explode("_next")).drop("_next")
+        tails.withColumn("_last", F.coalesce(F.lead(BUCKET, rows).over(ahead), end)).filter(F.col("_last") > F.col(BUCKET))
+        .withColumn(BUCKET, F.explode(F.sequence(F.col(BUCKET) + 1, "_last"))).drop("_last")
         .withColumn("_halo", F.lit(True))
     )
     return ranges.withColumn("_halo", F.lit(False)).unionByName(halo)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,10 @@ from pyspark.sql.window import Window
 from .ordering import (BUCKET, ROWS_PER_BUCKET, collapse_copies, cut_ranges, expand_copies, of_crossing, same, stored,
                        time_key, with_halo)
 from .profile import numeric_columns
+from .sliding import frame_elements
+
+# Rows of a frame that are collected and sorted for every row.
+SHORT_FRAME = 64
 
 
 def lag_diff(df: DataFrame, col: str, ts: str, partition_cols=(), tiebreak=(), name: str | None = None,
@@ -42,6 +47,8 @@ def rolling_iqr_outliers(df: DataFrame, col: str, ts: str, window_size: int = 7,
 
     Quartiles are taken over the increases of the last ``window_size`` rows, the row itself
     included (the element at rank ``ceil(q * n)``). Of rows with one time the first by value stays.
+    A frame of at most ``SHORT_FRAME`` rows is sorted for each row in compiled code; a longer one slides over
+    a range in sorted blocks, so that a row costs little more however long the frame is.
     """
     series = list(partition_cols)
     increase, flag = f"increase_{col}", f"is_outlier_{col}"
@@ -54,19 +61,37 @@ def rolling_iqr_outliers(df: DataFrame, col: str, ts: str, window_size: int = 7,
     order = order + ["_copy"]
     ranges = cut_ranges(stored(rows, "rows"), series + order, rows_per_bucket)
     w = Window.partitionBy(*series, BUCKET).orderBy(*order)
-    frame = w.rowsBetween(-(window_size - 1), 0)
-    sorted_frame = F.array_sort(F.collect_list(increase).over(frame))
     diff = F.coalesce(F.col("_v") - F.lag("_v", 1).over(w), _zero(df, col))
     is_first = (F.row_number().over(w) == 1) | ~F.lag("_t", 1).over(w).eqNullSafe(F.col("_t"))
-    return (
-        with_halo(ranges, series, order, window_size)
-        .withColumns({increase: diff, "_first": is_first})
-        .withColumn("_frame", sorted_frame)
-        .filter(~F.col("_halo") & F.col("_first"))
-        .withColumns({"_q1": _disc(F.col("_frame"), 0.25), "_q3": _disc(F.col("_frame"), 0.75)})
-        .select(*series, ts, increase,
-                (F.col(increase) > F.col("_q3") + F.lit(k) * (F.col("_q3") - F.col("_q1"))).alias(flag))
-    )
+    rows = with_halo(ranges, series, order, window_size).withColumns({increase: diff, "_first": is_first})
+    if window_size <= SHORT_FRAME:
+        frame = F.array_sort(F.collect_list(increase).over(w.rowsBetween(-(window_size - 1), 0)))
+        rows = rows.withColumn("_frame", frame).filter(~F.col("_halo") & F.col("_first")).withColumns(
+            {"_q1": _disc(F.col("_frame"), 0.25), "_q3": _disc(F.col("_frame"), 0.75)})
+    else:
+        rows = _sliding_quartiles(rows, increase, w, series, ts, window_size)
+    return rows.select(*series, ts, increase,
+                       (F.col(increase) > F.col("_q3") + F.lit(k) * (F.col("_q3") - F.col("_q1"))).alias(flag))
+
+
+def _sliding_quartiles(rows: DataFrame, increase: str, w, series: list[str], ts: str, window_size: int) -> DataFrame:
+    """Rows that are first of their time with ``_q1`` and ``_q3`` of their frames; one group per range and series."""
+    keys = [f"_s{i}" for i in range(len(series))]
+    numbered = rows.withColumn("_n", F.row_number().over(w)).select(
+        BUCKET, *[F.col(c).alias(k) for c, k in zip(series, keys)], F.col(ts).alias("_ts"), F.col(increase).alias("_x"), "_n",
+        (~F.col("_halo") & F.col("_first")).alias("_asked"))
+    kept = [*keys, "_ts", "_x"]
+    schema = T.StructType([numbered.schema[c] for c in kept] + [T.StructField(q, numbered.schema["_x"].dataType) for q in ("_q1", "_q3")])
+
+    def quartiles(group: pa.Table) -> pa.Table:
+        group = group.sort_by("_n")
+        kind = group.schema.field("_x").type
+        found = [pa.array(q, kind) for q in frame_elements(group["_x"].to_pylist(), window_size, (0.25, 0.75))]
+        group = group.select([*kept, "_asked"]).append_column("_q1", found[0]).append_column("_q3", found[1])
+        return group.filter(group["_asked"]).select([*kept, "_q1", "_q3"])
+
+    out = numbered.groupBy(BUCKET, *keys).applyInArrow(quartiles, schema)
+    return out.select(*[F.col(k).alias(c) for c, k in zip(series, keys)], F.col("_ts").alias(ts), F.col("_x").alias(increase), "_q1", "_q3")
 
 
 def outliers_of_columns(df: DataFrame, cols: list[str], ts: str, window_size: int = 7, k: float = 7.5,

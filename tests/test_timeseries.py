@@ -1,6 +1,7 @@
 """Range-wise results against one plain window over the whole table."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lakegraph.operators import timeseries as ts
+from lakegraph.operators.sliding import SortedBlocks, frame_elements
 
 
 def _series(spark, seed, n=400, crowded=False):
@@ -27,7 +29,7 @@ def _plain_outliers(df, series, window=7):
     first = F.row_number().over(Window.partitionBy(*series, "ts").orderBy("v"))
     inc = df.withColumn("inc", F.coalesce(F.col("v") - F.lag("v", 1).over(w), F.lit(0.0))).withColumn("first", first)
     frame = w.rowsBetween(-(window - 1), 0)
-    q = lambda p: F.expr(f"percentile_approx(inc, {p}, 100)").over(frame)
+    q = lambda p: F.expr(f"percentile_approx(inc, {p}, 1000000)").over(frame)
     out = inc.withColumns({"q1": q(0.25), "q3": q(0.75)}).filter("first = 1")
     return out.select(*series, "ts", F.col("inc").alias("increase_v"), (F.col("inc") > F.col("q3") + 7.5 * (F.col("q3") - F.col("q1"))).alias("is_outlier_v"))
 
@@ -41,6 +43,38 @@ def test_outliers_equal_one_window(spark, series, crowded, rows):
     assert sorted(got.collect(), key=str) == sorted(_plain_outliers(df, series).collect(), key=str)
 
 
+@pytest.mark.parametrize("series", [[], ["g"]])
+@pytest.mark.parametrize("rows", [40, 100_000])
+def test_long_frames_equal_one_window(spark, series, rows, monkeypatch):
+    for window in (7, 90, 1000):
+        monkeypatch.setattr(ts, "SHORT_FRAME", 6)
+        df = _series(spark, 3, 300, crowded=window == 90)
+        got = ts.rolling_iqr_outliers(df, "v", "ts", window, partition_cols=series, rows_per_bucket=rows)
+        assert sorted(got.collect(), key=str) == sorted(_plain_outliers(df, series, window).collect(), key=str)
+
+
+def test_elements_of_sliding_frames():
+    rng = random.Random(2)
+    values = [rng.choice([1.5, -2.0, float("nan"), float("inf"), 3.0, rng.random()]) for _ in range(400)]
+    for size in (1, 3, 50, 1000):
+        got = frame_elements(values, size, (0.25, 0.5, 1.0))
+        for i in range(len(values)):
+            frame = sorted(values[max(0, i - size + 1):i + 1], key=lambda x: (x != x, x))
+            want = [frame[math.ceil(q * len(frame)) - 1] for q in (0.25, 0.5, 1.0)]
+            assert str([g[i] for g in got]) == str(want)
+    blocks, kept = SortedBlocks(4), []
+    for i in range(3000):
+        if kept and rng.random() < 0.45:
+            blocks.remove(kept.pop(rng.randrange(len(kept))))
+        else:
+            kept.append(rng.randrange(60))
+            blocks.add(kept[-1])
+        if kept:
+            k = rng.randrange(len(kept))
+            assert blocks.at_rank(k + 1) == sorted(kept)[k]
+    assert max(map(len, blocks.blocks)) <= 8
+
+
 @pytest.mark.parametrize("series", [[], ["g"]])
 @pytest.mark.parametrize("crowded", [False, True])
 @pytest.mark.parametrize("rows", [15, 100_000])
