@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from ..operators import constraints as con
-from ..operators import impute, profile
+from ..operators import impute, profile, states
 from ..plans import movies as m
+from ..session import work_path
 from . import query
 
 
@@ -298,3 +299,43 @@ def impute_mode(t):
     """The nulls may be the most frequent value, and one column has nothing but nulls."""
     df = gappy_orders(t).withColumn("empty", F.when(F.col("o_orderstatus") == "Z", "x"))
     return impute.impute_with_mode(df).drop("price")
+
+
+_SUMS = " UNION ALL ".join(
+    f"SELECT '{c}' AS column, unnest(['row_count', 'missing_ratio', 'count', 'mean', 'stddev', 'min', 'max']) AS metric, "
+    f"unnest([count(*), 1 - count({c}) / count(*), count({c}), avg({c}), stddev_samp({c}), min({c}), max({c})]::DOUBLE[]) AS value FROM f"
+    for c in ("o_totalprice", "o_custkey"))
+
+
+@query(f"""WITH f AS (SELECT o_orderstatus, o_custkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS o_totalprice FROM orders),
+r AS ({_SUMS} UNION ALL SELECT 'o_orderstatus', unnest(['row_count', 'missing_ratio']), unnest([count(*), 0]::DOUBLE[]) FROM f)
+SELECT "column", metric, round(value, 4) AS value, true AS close FROM r
+UNION ALL SELECT c, m, NULL, true FROM (VALUES ('o_totalprice'), ('o_custkey')) a(c), (VALUES ('distinct'), ('q25'), ('q50'), ('q75')) b(m)
+UNION ALL SELECT 'o_orderstatus', 'distinct', NULL, true""")
+def profile_of_loads(t):
+    """Orders in a load per year, each profiled once; the report comes from the stored states alone.
+
+    Estimates show only whether they are within their stated error of what all rows say.
+    """
+    rows = t.orders.select(F.year("o_orderdate").alias("load"), "o_orderstatus", "o_custkey",
+                           F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("o_totalprice"))
+    path = work_path(t.spark, "states")
+    states.profile_states(rows, ("load",)).write.partitionBy("load").parquet(path)
+    report = states.states_report(states.merge_states(t.spark.read.parquet(path)))
+    return _with_closeness(report, rows.drop("load"))
+
+
+def _with_closeness(report, rows):
+    shares = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    ends = lambda c: F.struct(*[F.percentile(c, p + e).alias(f"{m}_{i}") for m, p in shares.items() for i, e in enumerate((-states.RANK_ERROR, states.RANK_ERROR))])
+    truth = rows.agg(*[F.struct(F.count_distinct(c).alias("n"), F.max(F.col(c).isNull()).cast("long").alias("gap"),
+                                *([ends(F.col(c)).alias("ends")] if c != "o_orderstatus" else [])).alias(c) for c in rows.columns])
+    close = F.lit(True)
+    for c in rows.columns:
+        n = F.col(f"{c}.n") + F.col(f"{c}.gap")
+        close = F.when((F.col("column") == c) & (F.col("metric") == "distinct"), F.abs(F.col("value") - n) <= states.DISTINCT_ERROR * n + 0.5).otherwise(close)
+        for m in shares if c != "o_orderstatus" else ():
+            close = F.when((F.col("column") == c) & (F.col("metric") == m), F.col("value").between(F.col(f"{c}.ends.{m}_0"), F.col(f"{c}.ends.{m}_1"))).otherwise(close)
+    exact = ~F.col("metric").isin("distinct", *shares)
+    one = F.lit(1).alias("_one")  # the statistics of all rows are one row
+    return report.select("*", one).join(F.broadcast(truth.select("*", one)), "_one").select("column", "metric", F.when(exact, F.round("value", 4)).alias("value"), close.alias("close"))
