@@ -12,8 +12,9 @@ from ..operators.triples import (BASE, RDF_TYPE, XSD, Attr, Link, Mapping, Node,
 from ..operators.triples import rejected_triples as rejected
 from ..plans import movies as m
 from ..session import work_path
+from ..sources.readers import ontology_frame as ontology_rows
 from ..sources.readers import read_table
-from ..sources.sinks import write_triples
+from ..sources.sinks import write_graph_by_subject, write_triples
 from . import query
 from .quality import CREW_DETAIL_SQL, PEOPLE_SQL, TITLE_CREW_SQL, TITLES_SQL, crew_detail, people, ratings, title_crew, titles
 
@@ -377,3 +378,34 @@ def transitive_ways(t):
     down = t.lineitem.filter("l_quantity > 49").select(F.col("l_partkey").alias("s"), big.alias("o"))
     back = t.lineitem.groupBy(big.alias("s")).agg(F.min("l_partkey").alias("o"))
     return transitive_closure(down.union(back))[0]
+
+
+def _records_sql():
+    rows = ", ".join(f"('{r['property']}', '{r['domain']}', '{r['range']}', {r['range_is_literal']})" for r in m.ontology())
+    return f"(VALUES {rows}) ontology(property, domain, range, range_is_literal)"
+
+
+@query(f"""WITH base AS ({_set(_TITLES, *TITLE_PARTS)})
+SELECT property, domain, range, range_is_literal, count(base.s) AS triples FROM {_records_sql()} LEFT JOIN base ON base.p = property GROUP BY ALL""")
+def ontology_frame(t):
+    """The properties of the ontology with the number of triples that the titles have of each."""
+    counts = set_of_triples((titles(t), m.titles_mapping())).groupBy("p").agg(F.count("*").alias("triples"))
+    rows = ontology_rows(t.spark, m.ontology()).join(counts.withColumnRenamed("p", "property"), "property", "left")
+    return rows.select("property", "domain", "range", "range_is_literal", F.coalesce("triples", F.lit(0)).alias("triples"))
+
+
+def title_star(t):
+    """The graph of titles by subject, and a pattern of three properties of one title."""
+    graph = set_of_triples((titles(t), m.titles_mapping()))
+    path = work_path(t.spark, "by-subject")
+    stored = write_graph_by_subject(graph, "graph_" + path[-32:], path, 8)
+    return match(stored, [("?movie", BASE + p, f"?{name}") for p, name in (("title", "title"), ("startYear", "year"), ("has_genre", "genre"))])
+
+
+@query(f"""WITH {_TITLES}, b AS ({" UNION ".join(TITLE_PARTS)}),
+one AS (SELECT s, o FROM b WHERE p = '{BASE}title' AND s IS NOT NULL AND o IS NOT NULL), two AS (SELECT s, o FROM b WHERE p = '{BASE}startYear' AND o IS NOT NULL),
+three AS (SELECT s, o FROM b WHERE p = '{BASE}has_genre' AND o IS NOT NULL)
+SELECT one.s AS movie, one.o AS title, two.o AS year, three.o AS genre FROM one JOIN two USING (s) JOIN three USING (s)""")
+def star_pattern(t):
+    """Three properties of every title from a graph that is bucketed by subject: joins without an exchange."""
+    return title_star(t)

@@ -57,3 +57,29 @@ def flow_answers(t):
     return found["genre_evolution"].select(F.lit("genre").alias("question"), F.col("decade").cast("string").alias("of"),
                                            F.col("genreName").alias("name"), "count").union(
         found["profession_gender"].select(F.lit("profession"), "professionName", "gender", "count"))
+
+
+_COLUMNS = ("o_orderkey", "o_orderstatus", "priority")
+_DISTINCT = " UNION ALL ".join(f"SELECT '{c}', 'distinct', (count(DISTINCT {c}) + max(({c} IS NULL)::INTEGER))::DOUBLE FROM f" for c in _COLUMNS)
+
+
+@query(f"""WITH f AS (SELECT o_orderkey, o_orderstatus, nullif(o_orderpriority, '4-NOT SPECIFIED') AS priority FROM orders
+  UNION ALL SELECT o_orderkey, o_orderstatus, nullif(o_orderpriority, '4-NOT SPECIFIED') FROM orders WHERE o_orderstatus = 'P'),
+r(name, metric, value) AS (SELECT '*', 'row_count', count(*)::DOUBLE FROM f UNION ALL SELECT '*', 'column_count', 3 UNION ALL {_DISTINCT}
+  UNION ALL SELECT 'o_orderkey', unnest(['count', 'mean', 'stddev', 'min', 'max']),
+    unnest([count(o_orderkey), avg(o_orderkey), stddev_samp(o_orderkey), min(o_orderkey), max(o_orderkey)]::DOUBLE[]) FROM f),
+c(name, value) AS (SELECT unnest(['o_orderkey', 'o_orderstatus', 'priority']), unnest([avg((o_orderkey IS NULL)::INTEGER), avg((o_orderstatus IS NULL)::INTEGER), avg((priority IS NULL)::INTEGER)]) FROM f)
+SELECT 'profile' AS part, name, metric, round(value, 6) AS value FROM r
+UNION ALL SELECT 'column_completeness', name, 'missing_ratio', round(value, 6) FROM c
+UNION ALL SELECT 'relation_completeness', '*', 'complete_ratio', round(avg((o_orderkey IS NOT NULL AND o_orderstatus IS NOT NULL AND priority IS NOT NULL)::INTEGER), 6) FROM f
+UNION ALL SELECT 'redundancy', '*', 'redundancy', round(count(*) / (SELECT count(*) FROM (SELECT DISTINCT * FROM f)), 6) FROM f""")
+def quality_report(t):
+    """The report of a data set as one table: orders without some priorities, pending ones twice."""
+    rows = t.orders.select("o_orderkey", "o_orderstatus", F.nullif("o_orderpriority", F.lit("4-NOT SPECIFIED")).alias("priority"))
+    report = flow.quality_report(rows.unionByName(rows.filter("o_orderstatus = 'P'")))
+    row = lambda part, name, metric, value: (F.lit(part).alias("part"), name.alias("name"), metric.alias("metric"), F.round(value.cast("double"), 6).alias("value"))
+    whole = F.lit("*")
+    return (report["profile"].select(*row("profile", F.col("column"), F.col("metric"), F.col("value")))
+            .union(report["column_completeness"].select(*row("column_completeness", F.col("column"), F.lit("missing_ratio"), F.col("missing_ratio"))))
+            .union(report["relation_completeness"].select(*row("relation_completeness", whole, F.lit("complete_ratio"), F.col("complete_ratio"))))
+            .union(report["redundancy"].select(*row("redundancy", whole, F.lit("redundancy"), F.col("redundancy")))))

@@ -25,6 +25,17 @@ def write_triples(triples: DataFrame, path: str) -> None:
     write_table(triples.hint("rebalance", "p"), path, ["p"])
 
 
+def write_graph_by_subject(triples: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+    """Store a graph by predicate, and within each predicate in ``buckets`` by subject, sorted; the table ``name``.
+
+    Patterns that share their subject (a star) are then joined bucket by bucket without an exchange. A bucket
+    is at least one file per predicate, so their number should follow the largest predicate.
+    """
+    dealt = triples.repartition(buckets, "s")
+    dealt.write.mode("overwrite").partitionBy("p").bucketBy(buckets, "s").sortBy("s").option("path", path).saveAsTable(name)
+    return triples.sparkSession.table(name).select("s", "p", "o", "o_kind", "o_datatype")
+
+
 def write_ntriples(triples: DataFrame, path: str) -> None:
     to_ntriples(triples).write.mode("overwrite").text(path)
 

@@ -170,3 +170,19 @@ def test_sets_by_keys_are_sets_of_triples(spark):
         plain = union_triples(*[rows_to_triples(x, m) for x, m in sources])
         assert sorted(set_of_triples(*sources).collect(), key=str) == sorted(plain.distinct().collect(), key=str)
         assert sorted(set_of_triples(*sources, ontology=ontology).collect(), key=str) == sorted(rdfs_entail(plain, ontology).collect(), key=str)
+
+
+def test_star_joins_need_no_exchange(spark, tmp_path):
+    from lakegraph.sources.sinks import write_graph_by_subject
+    rows = [(f"m{i}", f"p{j}", str(i * j), "literal", "string") for i in range(300) for j in range(3) if (i + j) % 5]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        graph = write_graph_by_subject(spark.createDataFrame(rows, SCHEMA), "star_test", str(tmp_path / "star"), 4)
+        star = bgp_match(graph, [("?m", "p0", "?a"), ("?m", "p1", "?b"), ("?m", "p2", "?c")])
+        plan = star._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("SortMergeJoin") == 2
+        want = {(f"m{i}", "0", str(i), str(2 * i)) for i in range(300) if all((i + j) % 5 for j in range(3))}
+        assert {tuple(r) for r in star.select("m", "a", "b", "c").collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
