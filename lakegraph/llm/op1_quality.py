@@ -173,5 +173,6 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:
+    """Score of every whole text of documents, fitted on labelled rows that are not held out; a null or empty text has a score too."""
     scored = score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))

@@ -277,4 +277,5 @@ def digests(tokens: DataFrame, *more: str) -> DataFrame:
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:
+    """Ids of every whole text of documents and the bytes they decode to, as digests; a null text counts as empty."""
     return digests(tokenised(table(spark, sf_dir, "documents")))

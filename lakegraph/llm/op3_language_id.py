@@ -175,6 +175,7 @@ def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
+    """Language of every whole text of documents, learned from rows that are not held out; ``und`` without a letter."""
     docs = table(spark, sf_dir, "documents")
     found = identify(docs.select("doc_id", "text"), train(docs))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")

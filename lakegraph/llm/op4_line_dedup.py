@@ -82,6 +82,7 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every whole text of documents without the lines that an earlier document holds; a null text is one empty line."""
     kept = drop_shared_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 

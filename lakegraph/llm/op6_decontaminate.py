@@ -84,6 +84,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, percent: int = PERCENT, k:
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """Pairs of documents and the benchmark items that they contain; null and empty texts contain none."""
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

@@ -137,6 +137,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def op7_embedding_dedup(spark, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors of embeddings; a vector that cannot be compared is its own component."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 

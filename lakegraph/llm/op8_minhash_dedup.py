@@ -240,4 +240,5 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 75, k: int = SHINGLE_WO
 
 
 def op8_minhash_dedup(spark, sf_dir: str) -> DataFrame:
+    """Components of near copies among all documents; a text without words is its own component."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
