@@ -15,7 +15,10 @@ from lakegraph.llm.shared import stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of unknown or ambiguous language go."""
+    """Documents of unknown or ambiguous language go; a null or empty text is of unknown language.
+
+    Without rows to learn from every language is unknown. An empty table stays empty.
+    """
     return op3_language_id.keep_identified(docs, op3_language_id.train(docs))
 
 
@@ -33,12 +36,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain an item of the benchmark go."""
+    """Documents that contain an item of the benchmark go; null and empty texts contain none and stay.
+
+    Items without text, and an empty benchmark, remove nothing. Only the columns of ``docs`` are returned,
+    whatever the benchmark's are called.
+    """
     return op6_decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document that is left, with digests of ids and decoded bytes."""
+    """Token ids of each document that is left, with digests of ids and decoded bytes; a null text has no ids.
+
+    ``doc_id, ids`` and the digests are returned, other columns are not.
+    """
     return op2_bpe.digests(op2_bpe.tokenised(docs), "ids")
 
 
