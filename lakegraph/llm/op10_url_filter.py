@@ -1,13 +1,15 @@
 """URL filter: host and path rules, then a blocked Bloom filter and an exact join with a list of URLs.
 
 The list's canonical URLs set eight bits each, one in every word of a single block of 256 bits; blocks
-are made by ``bit_or`` with partial aggregation. There are at most ``BLOCKS`` of them, so the filter is
-broadcast whatever the length of the list; a longer list only lets more URLs pass. Those that pass are
-joined exactly with the list, which removes the false positives. All of it is DataFrame functions.
+are made by ``bit_or`` with partial aggregation. Their number follows the length of the list, so about one in
+a hundred other URLs passes at every length. A filter of at most ``BROADCAST_BLOCKS`` is broadcast, a
+larger one is joined by block number. What passes is joined exactly with the list, which removes the
+false positives. All of it is DataFrame functions.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import and_
 
@@ -19,7 +21,9 @@ from lakegraph.llm.shared import LOWER, UPPER, stored, table
 # Rules of the query: host, path, verdict.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
          ("net", "/es/", "block"), ("net", "/fr/", "block"))
-BLOCKS, WORDS = 1 << 16, 8
+WORDS = 8
+# Listed URLs for each block of 256 bits, and blocks (of about 80 bytes as rows) that are broadcast at most.
+URLS_PER_BLOCK, BROADCAST_BLOCKS = 20, 1 << 16
 
 
 def _rest(url: Column) -> Column:
@@ -54,8 +58,8 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def _block(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BLOCKS)).cast("int")
+def _block(key: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks))
 
 
 def _bit(key: Column, word: int) -> Column:
@@ -63,9 +67,9 @@ def _bit(key: Column, word: int) -> Column:
     return F.element_at(F.array(*[F.lit(1 << b) for b in range(32)]), F.pmod(F.xxhash64(key, F.lit(word)), F.lit(32)).cast("int") + 1).cast("long")
 
 
-def bloom_filter(listed: DataFrame) -> DataFrame:
+def bloom_filter(listed: DataFrame, blocks: int) -> DataFrame:
     """``block, w0 .. w7`` from ``listed(listed_url)``."""
-    return listed.groupBy(_block(F.col("listed_url")).alias("block")).agg(
+    return listed.groupBy(_block(F.col("listed_url"), blocks).alias("block")).agg(
         *[F.bit_or(_bit(F.col("listed_url"), i)).alias(f"w{i}") for i in range(WORDS)])
 
 
@@ -78,10 +82,13 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     asks for a path, and is not listed. Repeated rows are judged one by one; other columns are ignored.
     """
     listed = stored(listed.toDF("u").select(canonical(F.col("u")).alias("listed_url")).filter("listed_url is not null").distinct(), "listed-urls")
-    blocks = stored(bloom_filter(listed), "bloom-filter")
+    n = max(1, math.ceil(listed.count() / URLS_PER_BLOCK))
+    blocks = stored(bloom_filter(listed, n), "bloom-filter")
     rows = pages.select("page_id", "url", canonical(F.col("url")).alias("key"))
     passed = F.coalesce(reduce(and_, [F.col(f"w{i}").bitwiseAND(_bit(F.col("key"), i)) != 0 for i in range(WORDS)]), F.lit(False))
-    rows = rows.withColumn("block", _block(F.col("key"))).join(F.broadcast(blocks), "block", "left").select("page_id", "url", "key", passed.alias("passed"))
+    # Rows without a key have no block; where they are many, adaptive execution splits them.
+    rows = rows.withColumn("block", F.when(F.col("key").isNotNull(), _block(F.col("key"), n)))
+    rows = rows.join(F.broadcast(blocks) if n <= BROADCAST_BLOCKS else blocks, "block", "left").select("page_id", "url", "key", passed.alias("passed"))
     sure = rows.filter("not passed").select("page_id", "url", F.lit(False).alias("listed"))
     hits = rows.filter("passed").join(listed, F.col("key") == F.col("listed_url"), "left").select(
         "page_id", "url", F.col("listed_url").isNotNull().alias("listed"))

@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from lakegraph.llm import op7_embedding_dedup as op7
 from lakegraph.llm import op9_warc as op9
@@ -208,8 +209,9 @@ def test_url_filter(spark, monkeypatch):
         con.executemany("INSERT INTO given VALUES (?)", [("org/x?b=1",), ("org/y",)])
         sql = op10.SQL.replace("listed AS (SELECT key FROM keyed WHERE key IS NOT NULL GROUP BY key HAVING count(*) > 1)", "listed AS (SELECT key FROM given)")
         return con.sql(f"SELECT page_id, host, path, rule, verdict, listed FROM ({sql})").fetchall()
-    for blocks in (op10.BLOCKS, 1):
-        monkeypatch.setattr(op10, "BLOCKS", blocks)
+    for urls, broadcast in ((op10.URLS_PER_BLOCK, op10.BROADCAST_BLOCKS), (1, op10.BROADCAST_BLOCKS), (1, 0)):
+        monkeypatch.setattr(op10, "URLS_PER_BLOCK", urls)
+        monkeypatch.setattr(op10, "BROADCAST_BLOCKS", broadcast)
         got = [tuple(r) for r in op10.judge(df, spark.createDataFrame([(u,) for u in listed], "url string")).collect()]
         assert sorted(got, key=str) == sorted(want(), key=str)
     verdicts = {r[0]: r[3:5] for r in got}
@@ -218,10 +220,17 @@ def test_url_filter(spark, monkeypatch):
     assert {r["listed"] for r in op10.judge(df, df.select("url").limit(0)).collect()} == {False}
 
 
-def test_bloom_filter_is_bounded_and_loses_nothing(spark, monkeypatch):
-    monkeypatch.setattr(op10, "BLOCKS", 8)
+def test_bloom_filter_follows_the_list_and_loses_nothing(spark):
     urls = spark.range(500).selectExpr("concat('h.org/', id) AS listed_url")
-    assert op10.bloom_filter(urls).count() <= 8
+    assert op10.bloom_filter(urls, 8).count() == 8
+    for n in (500, 4000):
+        blocks = -(-n // op10.URLS_PER_BLOCK)
+        listed = spark.range(n).selectExpr("concat('h.org/', id) AS listed_url")
+        made = {r["block"]: r for r in op10.bloom_filter(listed, blocks).collect()}
+        others = spark.range(20_000).selectExpr("concat('other.org/', id) AS key")
+        bits = others.select(op10._block(F.col("key"), blocks).alias("b"), *[op10._bit(F.col("key"), i).alias(f"w{i}") for i in range(op10.WORDS)]).collect()
+        passed = sum(r["b"] in made and all(made[r["b"]][f"w{i}"] & r[f"w{i}"] for i in range(op10.WORDS)) for r in bits)
+        assert passed < 0.03 * len(bits)
     pages = spark.range(1000).selectExpr("id AS page_id", "concat('http://h.org/', id) AS url")
     got = op10.judge(pages, urls.selectExpr("concat('http://', listed_url)"))
     assert got.filter("listed").count() == 500 and got.filter("listed AND page_id >= 500").count() == 0
