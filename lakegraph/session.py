@@ -36,12 +36,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for written intermediates.
 
     A cluster names it in ``spark.checkpoint.dir``. Where that is unset, a folder beside the managed
-    tables (``spark.sql.warehouse.dir``) is used, which every executor reaches as well.
+    tables (``spark.sql.warehouse.dir``) is used. On a cluster that must not be a folder of the driver's
+    machine, which executors do not reach: then ValueError.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
         folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+        if not sc.master.startswith("local") and folder.startswith(("file:", "/")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder

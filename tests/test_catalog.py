@@ -21,9 +21,8 @@ def test_same_rows_as_sql(spark, con, name):
     assert compare(spark, con, queries()[name], SQL[name], FOLDER) is None
 
 
-@pytest.mark.parametrize("name", [n for n in queries() if n not in SQL])
-def test_gives_rows(spark, name):
-    assert queries()[name](spark, FOLDER).count() > 0
+def test_every_query_has_sql():
+    assert queries().keys() == SQL.keys()
 
 
 def test_flagship(spark):
