@@ -176,6 +176,18 @@ def storage_footprint(t):
                        (F.abs(F.col("saved_pct") - saved) < 1e-6).alias("as_defined"))
 
 
+@query("""SELECT b AS before_bytes, a AS after_bytes, round(100 * (b - a) / b, 6) AS saved_pct FROM (
+  SELECT sum(strlen(l_comment) + 1)::BIGINT AS b, sum(strlen(l_comment) + 1) FILTER (l_linenumber = 1)::BIGINT AS a
+  FROM (SELECT l_orderkey || ' ' || l_partkey || ' ' || l_returnflag AS l_comment, l_linenumber FROM lineitem))""")
+def storage_bytes(t):
+    """Line items as lines of text, all of them and the first of each order: bytes follow from the rows."""
+    before, after = work_path(t.spark, "before"), work_path(t.spark, "after")
+    line = F.concat_ws(" ", "l_orderkey", "l_partkey", "l_returnflag").alias("value")
+    t.lineitem.select(line).write.text(before)
+    t.lineitem.filter("l_linenumber = 1").select(line).write.text(after)
+    return sinks.storage_footprint(t.spark, before, after).select("before_bytes", "after_bytes", F.round("saved_pct", 6).alias("saved_pct"))
+
+
 @query("""SELECT 1 AS run, o_orderstatus = 'F' AS old, count(*) AS triples FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2
 UNION ALL SELECT 2, false, count(*) FROM orders WHERE o_orderstatus <> 'F'""")
 def send_once(t):

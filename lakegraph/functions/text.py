@@ -81,17 +81,22 @@ def _accent_table() -> tuple[str, str]:
 def strip_accents(col: Column) -> Column:
     """Latin, Greek and Cyrillic text to ASCII; null or empty gives null. Other scripts are left as they are."""
     src, dst = _accent_table()
-    out = F.translate(col, src, dst)
-    for ch, ascii_text in ASCII_MULTI.items():
-        out = F.replace(out, F.lit(ch), F.lit(ascii_text))
-    spelt = out
-    for ch, latin in SCRIPT_MULTI.items():
-        for ch, latin in ((ch, latin), (ch.upper(), latin.capitalize())):
-            spelt = F.replace(spelt, F.lit(ch), F.lit(latin))
-    out = F.when(out.rlike(r"[\u0370-\u04FF]"), spelt).otherwise(out)
+    cases = {c: x for ch, latin in SCRIPT_MULTI.items() for c, x in ((ch, latin), (ch.upper(), latin.capitalize()))}
+    latin = _once(_spell(F.translate(col, src, dst), ASCII_MULTI),
+                  lambda x: F.when(x.rlike(r"[\u0370-\u04FF]"), _spell(x, cases)).otherwise(x))
     # Pure ASCII text skips the passes above.
-    out = F.when(col.rlike(r"[^\x00-\x7F]"), out).otherwise(col)
-    return F.when(col != "", out)
+    return F.when(col != "", F.when(col.rlike(r"[^\x00-\x7F]"), latin).otherwise(col))
+
+
+def _spell(text: Column, spellings: dict[str, str]) -> Column:
+    for ch, ascii_text in spellings.items():
+        text = F.replace(text, F.lit(ch), F.lit(ascii_text))
+    return text
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once: inside a condition Spark repeats whatever is named twice."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def prefix_id(col: Column, prefix: str) -> Column:

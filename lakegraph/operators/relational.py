@@ -60,7 +60,11 @@ def top_k(df: DataFrame, by: str, measure: str, k: int, name: str = "total") ->
 
 
 def pivot_fill(df: DataFrame, index: str, column: str, value: str, values: list | None = None) -> DataFrame:
-    """Cross table with 0 for missing cells. Naming ``values`` saves the job that finds them."""
+    """Cross table with 0 for missing cells. Naming ``values`` saves the job that finds them.
+
+    Without them the names in ``column`` are looked up, at most ``spark.sql.pivotMaxValues`` (10,000): more
+    are an error, as a table cannot have a column for each.
+    """
     pivoted = df.groupBy(index).pivot(column, values) if values else df.groupBy(index).pivot(column)
     return pivoted.agg(F.first(value)).na.fill(0)
 

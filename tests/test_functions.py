@@ -1,4 +1,5 @@
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from lakegraph.functions import text, values
@@ -78,3 +79,14 @@ def test_first_row_by_key(spark):
     df = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "k int, v string")
     assert sorted(rel.drop_duplicates_by_key(df, ["k"], [F.asc("v")]).collect()) == [(1, "a"), (2, "c")]
     assert sorted(rel.pivot_fill(df.withColumn("n", F.lit(1)), "k", "v", "n").collect()) == [(1, 1, 1, 0), (2, 0, 0, 1)]
+
+
+def test_pivot_of_too_many_names_is_an_error(spark):
+    df = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 3)], "k long, v string, n long")
+    spark.conf.set("spark.sql.pivotMaxValues", "2")
+    try:
+        with pytest.raises(AnalysisException):
+            rel.pivot_fill(df, "k", "v", "n")
+        assert sorted(rel.pivot_fill(df, "k", "v", "n", ["a", "b", "c"]).collect()) == [(1, 1, 2, 0), (2, 0, 0, 3)]
+    finally:
+        spark.conf.unset("spark.sql.pivotMaxValues")
