@@ -24,6 +24,9 @@ PIVOT_BYTES = 32 << 20
 # Bounds are widened by this much, far above rounding and above the resolution of compared distances.
 SLACK = 1e-6
 _MATRIX = 1 << 22
+# Groups grow with the table, so that vectors and points have no more than these copies, up to this size.
+MOST_TILES, MOST_CHUNKS, GROUP_BYTES = 32, 16, 64 << 20
+_OPEN = T.ArrayType(T.StructType([T.StructField("tile", T.LongType()), T.StructField("cells", T.ArrayType(T.LongType()))]))
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -35,6 +38,56 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def _group_size(least: int, rows: int, most_groups: int, row_bytes: int) -> int:
+    """Rows of a group: ``least``, or as many as leave ``most_groups`` of them, within ``GROUP_BYTES``."""
+    return max(least, min(-(-rows // most_groups), GROUP_BYTES // row_bytes))
+
+
+def _by_tile(rows: np.ndarray, cells: np.ndarray, first: np.ndarray, tiles: np.ndarray, n: int) -> pa.ListArray:
+    """The cells that rows look into, as a list of (tile, cells) for each of ``n`` rows."""
+    times = tiles[cells]
+    starts = np.cumsum(times) - times
+    tile = np.repeat(first[cells], times) + np.arange(times.sum()) - np.repeat(starts, times)
+    rows, cells = np.repeat(rows, times), np.repeat(cells, times)
+    order = np.lexsort((tile, rows))
+    rows, cells, tile = rows[order], cells[order], tile[order]
+    new = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (tile[1:] != tile[:-1])]) if len(rows) else np.zeros(0, np.int64)
+    inner = pa.ListArray.from_arrays(pa.array(np.r_[new, len(cells)], pa.int32()), pa.array(cells, pa.int64()))
+    pairs = pa.StructArray.from_arrays([pa.array(tile[new], pa.int64()), inner], ["tile", "cells"])
+    ends = np.r_[0, np.cumsum(np.bincount(rows[new], minlength=n))]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+
+
+def _nearer(point, shift, normal, dist, vectors, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each point, how many vectors are nearer than ``dist`` and how many as far, in whole ``1 / scale``.
+
+    Squared distances of all pairs come from two matrix products. Their rounding is far below ``err``, so
+    only pairs closer to the border than that and a unit of the scale are measured one by one.
+    """
+    base = point - (point * normal).sum(1, keepdims=True) * normal + shift
+    along = normal @ vectors.T
+    square = base @ vectors.T
+    square *= -2
+    square += ((base * normal).sum(1, keepdims=True) * 2 + ((normal ** 2).sum(1, keepdims=True) - 2) * along) * along
+    long, size = np.sqrt((base ** 2).sum(1)), (vectors ** 2).sum(1)
+    square += (long ** 2)[:, None] + size
+    width = 1 + np.abs((normal ** 2).sum(1))
+    err = 1e-11 * (np.sqrt((point ** 2).sum(1)) * width + np.sqrt((shift ** 2).sum(1)) + np.sqrt(size.max()) * width) ** 2
+    below, above = np.maximum(dist - 1, 0) / scale, (dist + 1) / scale
+    nearer = square < (below ** 2 - err)[:, None]
+    ahead, equal = nearer.sum(1), np.zeros(len(dist), np.int64)
+    near, at = np.nonzero(~(nearer | (square > (above ** 2 + err)[:, None])))
+    step = max(1, _MATRIX // (8 * vectors.shape[1]))
+    for low in range(0, len(near), step):
+        i, j = near[low:low + step], at[low:low + step]
+        diff = point[i] - vectors[j]
+        off = np.sqrt(((diff - (diff * normal[i]).sum(1, keepdims=True) * normal[i] + shift[i]) ** 2).sum(1))
+        found = np.rint(off * scale).astype(np.int64)
+        ahead += np.bincount(i[found < dist[i]], minlength=len(dist))
+        equal += np.bincount(i[found == dist[i]], minlength=len(dist))
+    return ahead, equal
+
+
 class CellIndex:
     """``members`` (cell, tile, id, vec), a written table; pivots, sizes, radii and tiles by cell."""
 
@@ -69,27 +122,35 @@ class CellIndex:
         self.sizes, self.radii = np.zeros(len(found), np.int64), np.zeros(len(found))
         for r in rows:
             self.sizes[r["cell"]], self.radii[r["cell"]] = r["n"], r["radius"]
-        # A cell that many vectors share is dealt over tiles of about ``block``.
-        self.tiles = np.maximum(1, -(-self.sizes // block))
-        self.table = entities.sparkSession.createDataFrame(list(enumerate(self.tiles.tolist())), "cell bigint, tiles bigint")
-        tile = F.pmod(F.xxhash64("id"), F.col("tiles"))
-        self.members = dealt.join(F.broadcast(self.table), "cell").select("cell", tile.alias("tile"), "id", "vec")
+        # Cells side by side make a tile of about ``block`` vectors, a cell that many share is dealt over tiles of its own.
+        self.dim, self.tile = dim, _group_size(block, n, MOST_TILES, 8 * dim)
+        self.tiles = np.maximum(1, -(-self.sizes // self.tile))
+        self.first, at, held = np.zeros(len(found), np.int64), 0, 0
+        for cell, size in enumerate(self.sizes.tolist()):
+            if held and held + size > self.tile:
+                at, held = at + 1, 0
+            self.first[cell] = at
+            held += size
+            if held >= self.tile:
+                at, held = at + int(self.tiles[cell]), 0
+        table = entities.sparkSession.createDataFrame(list(zip(range(len(found)), self.first.tolist(), self.tiles.tolist())),
+                                                      "cell bigint, first bigint, tiles bigint")
+        tile = F.col("first") + F.pmod(F.xxhash64("id"), F.col("tiles"))
+        self.members = dealt.join(F.broadcast(table), "cell").select("cell", tile.alias("tile"), "id", "vec")
 
     def _border(self, points: DataFrame, scale: float) -> DataFrame:
-        """``points`` with ``sure``, the vectors of cells that are nearer as a whole, and ``open``, the cells to look into."""
-        share = points.sparkSession.sparkContext.broadcast((self.pivots, self.sizes, self.radii))
+        """``points`` with ``sure``, the vectors of cells that are nearer as a whole, and ``open``, the cells to look into by tile."""
+        share = points.sparkSession.sparkContext.broadcast((self.pivots, self.sizes, self.radii, self.first, self.tiles))
 
         def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pivots, sizes, radii = share.value
+            pivots, sizes, radii, first, tiles = share.value
             squares = (pivots ** 2).sum(1)
             for b in batches:
                 w, dist = matrix(b["normal"]), b["dist"].to_numpy() / scale
                 q = matrix(b["point"])
                 q = q - (q * w).sum(1, keepdims=True) * w + matrix(b["shift"])
-                sure, cells, ends = np.zeros(len(dist), np.int64), [], [0]
+                sure, asked, cells = np.zeros(len(dist), np.int64), [], []
                 step = max(1, _MATRIX // max(1, len(pivots)))
-                if not len(pivots):
-                    ends += [0] * len(dist)
                 for at in range(0, len(dist) if len(pivots) else 0, step):
                     some, normal = q[at:at + step], w[at:at + step]
                     along = normal @ pivots.T
@@ -103,12 +164,12 @@ class CellIndex:
                     on_border = ~nearer & (away - radii - SLACK <= limit) & (sizes > 0)
                     sure[at:at + step] = nearer @ sizes
                     rows, found = np.nonzero(on_border)
+                    asked.append(rows + at)
                     cells.append(found)
-                    ends.extend(ends[-1] + np.cumsum(np.bincount(rows, minlength=len(some))))
-                opened = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*cells, np.zeros(0, np.int64)])))
+                opened = _by_tile(np.concatenate([*asked, np.zeros(0, np.int64)]), np.concatenate([*cells, np.zeros(0, np.int64)]), first, tiles, len(dist))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sure), opened], [*b.schema.names, "sure", "open"])
 
-        schema = T.StructType([*points.schema.fields, T.StructField("sure", T.LongType()), T.StructField("open", T.ArrayType(T.LongType()))])
+        schema = T.StructType([*points.schema.fields, T.StructField("sure", T.LongType()), T.StructField("open", _OPEN)])
         return points.mapInArrow(bound, schema)
 
     def count_nearer(self, points: DataFrame, key: str, scale: float, chunk: int = 1024) -> DataFrame:
@@ -117,34 +178,44 @@ class CellIndex:
         The distance of a vector is the length of its difference from ``point``, projected along the unit ``normal``
         and moved by ``shift``. Distances are compared as whole numbers of ``1 / scale``, which ``dist`` is given in.
         ``compared`` vectors were in cells that had to be opened. Groups hold about ``block`` vectors and ``chunk``
-        points.
+        points, more of a large table: then a vector is copied to ``MOST_CHUNKS`` groups and a point to ``MOST_TILES``
+        at most, until a group's ``GROUP_BYTES`` are full.
         """
         points = stored(self._border(points.select(key, "point", "shift", "normal", "dist"), scale), "border")
-        asked = points.select(key, "point", "shift", "normal", "dist", F.explode("open").alias("cell"))
-        # Pieces of the points that look into a cell; one row per cell at most.
-        pieces = asked.groupBy("cell").count().select("cell", F.ceil(F.col("count") / chunk).cast("bigint").alias("chunks"))
-        pieces = F.broadcast(stored(pieces.join(F.broadcast(self.table), "cell"), "pieces"))
-        span = lambda name: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(name) - 1))
-        left = asked.join(pieces, "cell").withColumn("chunk", F.pmod(F.xxhash64(key), F.col("chunks"))).withColumn("tile", span("tiles"))
-        right = self.members.join(pieces, "cell").withColumn("chunk", span("chunks"))
+        chunk = _group_size(chunk, points.count(), MOST_CHUNKS, 24 * self.dim)
+        asked = points.select(key, "point", "shift", "normal", "dist", F.inline("open"))
+        # Pieces of the points that look into a tile; one row per tile at most.
+        pieces = asked.groupBy("tile").count().select("tile", F.ceil(F.col("count") / chunk).cast("bigint").alias("chunks"))
+        pieces = F.broadcast(stored(pieces, "pieces"))
+        left = asked.join(pieces, "tile").withColumn("chunk", F.pmod(F.xxhash64(key), F.col("chunks")))
+        right = self.members.join(pieces, "tile").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
 
         def compare(q: pa.Table, e: pa.Table) -> pa.Table:
-            ahead, equal = np.zeros(q.num_rows, np.int64), np.zeros(q.num_rows, np.int64)
+            ahead, equal, compared = (np.zeros(q.num_rows, np.int64) for _ in range(3))
             if q.num_rows and e.num_rows:
-                vectors = matrix(e["vec"])
-                rows = zip(*(matrix(q[c]) for c in ("point", "shift", "normal")), q["dist"].to_numpy())
-                for i, (point, shift, normal, dist) in enumerate(rows):
-                    diff = point - vectors
-                    off = np.sqrt(((diff - (diff * normal).sum(1, keepdims=True) * normal + shift) ** 2).sum(1))
-                    found = np.rint(off * scale).astype(np.int64)
-                    ahead[i], equal[i] = (found < dist).sum(), (found == dist).sum()
-            return pa.table([q[key], pa.array(ahead), pa.array(equal), pa.array(np.full(q.num_rows, e.num_rows))],
-                            names=[key, "ahead", "equal", "compared"])
+                own, vectors = e["cell"].to_numpy(), matrix(e["vec"])
+                point, shift, normal = (matrix(q[c]) for c in ("point", "shift", "normal"))
+                dist, lists = q["dist"].to_numpy(), q["cells"].combine_chunks()
+                cells = lists.flatten().to_numpy()
+                rows = np.repeat(np.arange(q.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                order = np.argsort(cells, kind="stable")
+                cells, rows = cells[order], rows[order]
+                for cell in np.unique(own):
+                    inside = vectors[own == cell]
+                    low, high = np.searchsorted(cells, (cell, cell + 1))
+                    step = max(1, _MATRIX // len(inside))
+                    for at in range(low, high, step):
+                        some = rows[at:min(high, at + step)]
+                        less, same = _nearer(point[some], shift[some], normal[some], dist[some], inside, scale)
+                        ahead[some] += less
+                        equal[some] += same
+                        compared[some] += len(inside)
+            return pa.table([q[key], pa.array(ahead), pa.array(equal), pa.array(compared)], names=[key, "ahead", "equal", "compared"])
 
         kind = points.schema[key].dataType.simpleString()
-        left = left.select("cell", "tile", "chunk", key, "point", "shift", "normal", "dist")
-        right = right.select("cell", "tile", "chunk", "vec")
-        parts = left.groupBy("cell", "tile", "chunk").cogroup(right.groupBy("cell", "tile", "chunk")).applyInArrow(
+        left = left.select("tile", "chunk", key, "point", "shift", "normal", "dist", "cells")
+        right = right.select("tile", "chunk", "cell", "vec")
+        parts = left.groupBy("tile", "chunk").cogroup(right.groupBy("tile", "chunk")).applyInArrow(
             compare, f"`{key}` {kind}, ahead bigint, equal bigint, compared bigint")
         whole = points.select(key, F.col("sure").alias("ahead"), F.lit(0).cast("bigint").alias("equal"), F.lit(0).cast("bigint").alias("compared"))
         return parts.unionByName(whole).groupBy(key).agg(*[F.sum(c).alias(c) for c in ("ahead", "equal", "compared")])
