@@ -63,3 +63,22 @@ def test_states_of_nothing(spark, rows):
     assert {k: v for k, v in both.items() if k[1] not in sketch} == pytest.approx({k: v for k, v in alone.items() if k[1] not in sketch})
     gaps = spark.createDataFrame([(None,), (None,)], "x double")
     assert _report(states.merge_states(states.profile_states(gaps)))["x", "distinct"] == 1
+
+
+def test_standing_tells_what_percentiles_tell(spark):
+    """Whether a value is between two percentiles follows from partial sums, without a task that holds all values."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lakegraph.catalog.quality import _between_percentiles, _standing
+    random.seed(2)
+    for n in (0, 1, 2, 3, 10, 40):
+        values = [float(random.randint(0, 12)) for _ in range(n)]
+        df = spark.createDataFrame([(x,) for x in [*values, None]], "x double")
+        v = F.col("v")
+        for low, high in ((0.22, 0.28), (0.0, 0.5), (0.72, 0.78), (0.47, 0.53)):
+            asked = spark.createDataFrame([(x / 2,) for x in range(-1, 26)] + [(None,)], "v double")
+            got = df.crossJoin(asked).groupBy("v").agg(_standing(F.col("x"), v).alias("s"), F.percentile("x", low).alias("l"), F.percentile("x", high).alias("h"))
+            bad = got.filter(~_between_percentiles(v, F.col("s"), low, high).eqNullSafe(v.between(F.col("l"), F.col("h"))) & F.col("l").isNotNull())
+            assert bad.count() == 0
