@@ -128,22 +128,13 @@ def rows_to_triples(df: DataFrame, mapping: Mapping) -> DataFrame:
     """
     if not mapping.steps:
         return df.sparkSession.createDataFrame([], SCHEMA)
-    return _evaluate(df, mapping, True, lambda step, iri: _fields(step, mapping.base, iri))
+    return _evaluate(df, mapping, lambda step, iri: _fields(step, mapping.base, iri))
 
 
-def _evaluate(df: DataFrame, mapping: Mapping, whole: bool, fields) -> DataFrame:
-    """A row of ``fields(step, columns of its nodes)`` for every triple, ``s`` and ``o`` among them.
-
-    ``whole``: a node's column is its IRI, else only its key.
-    """
-    if mapping.when is not None:
-        df = df.filter(mapping.when)
-    plain = tuple(s for s in mapping.steps if not isinstance(s, ForEach))
-    lists = [s for s in mapping.steps if isinstance(s, ForEach)]
-    if lists:
-        df = df.select("*", F.inline(_open_lists(plain, lists)))
-    groups = ([(0, plain)] if plain else []) + [(i, each.steps) for i, each in enumerate(lists, 1)]
-
+def _evaluate(df: DataFrame, mapping: Mapping, fields) -> DataFrame:
+    """A row of ``fields(step, columns of its nodes)`` for every triple, ``s`` and ``o`` among them."""
+    df, groups = _opened(df, mapping)
+    lists = PART in df.columns
     keys, nodes = _Names("_key"), _Names("_iri")
     for part, steps in groups:
         for step in steps:
@@ -152,7 +143,7 @@ def _evaluate(df: DataFrame, mapping: Mapping, whole: bool, fields) -> DataFrame
     df = _encoded(df, dict(keys.items()))
     iris = {}
     for (part, _), (name, (node, parts)) in nodes.entries():
-        iri = F.concat(*[F.lit(_prefix(node, mapping.base))] * whole, *_between(parts))
+        iri = F.concat(F.lit(_prefix(node, mapping.base)), *_between(parts))
         iris[name] = F.when(F.col(PART) == part, iri) if lists else iri
     df = df.withColumns(iris)
 
@@ -228,46 +219,43 @@ def merge_triples(*frames: DataFrame) -> DataFrame:
 def set_of_triples(*sources: tuple[DataFrame, Mapping], ontology: list[dict] | None = None) -> DataFrame:
     """The set of triples of tables with their mappings, and with the types that follow from an ontology.
 
-    Repeats are dropped before there are any IRIs. A triple is a number, for everything that is the same in
-    all triples of a step (property, kind, datatype, the IRIs up to the keys), and two keys. That
-    makes a third of the bytes to hash and to shuffle; the five columns are put together afterwards. Types are
-    numbers and keys too, so those that a table implies again and again are dropped on the map side.
-    Where keys could be told apart only by their IRIs, the triples themselves are made distinct.
+    Repeats are dropped before there are any triples. What a row says is cut into facts: a fact is the values that
+    some of its triples are made of, and a mask with a bit for each of these triples. A rating's type and both
+    its links are one fact of a user and a movie, and so are types that the ontology implies. Facts with the
+    same values become one, masks joined; the triples of what is left are all different and are put together
+    without another shuffle. Where a composite key could be read in two ways, or triples of one kind are made
+    of different values, the ends of the triple are the fact; where only IRIs could tell triples apart, the
+    triples themselves are made distinct.
     """
-    codes: dict[tuple, int] = {}
-    number = lambda *key: codes.setdefault(key, len(codes))
-    frames = []
-    for df, mapping in sources:
-        if mapping.steps:
-            frames.append(_evaluate(df, mapping, False, lambda step, key, base=mapping.base: _keyed(step, base, key, number)))
+    sources = [(df, mapping) for df, mapping in sources if mapping.steps] or sources
     spark = sources[0][0].sparkSession
-    if not frames:
+    if not sources[0][1].steps:
         return spark.createDataFrame([], SCHEMA)
-    implied: dict[int, list[tuple[int, bool]]] = {}
-    types = lambda prop, end: dict.fromkeys(r[end] for r in ontology or () if r["property"] == prop and r[end] and not (end == "range" and r["range_is_literal"]))
-    for (s, p, kind, o, _), code in list(codes.items()):
-        found = [(number(s, RDF_TYPE, "iri", c, None), False) for c in types(p, "domain")]
-        if kind == "iri":
-            found += [(number(o, RDF_TYPE, "iri", c, None), True) for c in types(p, "range")]
-        if found:
-            implied[code] = found
-    if _confusable(list(codes)):
+    opened = [_opened(df, mapping) for df, mapping in sources]
+    plan = _Plan(ontology or [])
+    for (_, mapping), (df, groups) in zip(sources, opened):
+        plan.add(df, groups, mapping.base)
+    if _confusable(list(plan.codes)) or not plan.plain_keys:
         from .entail import rdfs_entail
         every = union_triples(*[rows_to_triples(df, mapping) for df, mapping in sources])
         return rdfs_entail(every, ontology) if ontology else every.distinct()
 
-    keyed = reduce(lambda a, b: a.unionByName(b), frames)
-    if implied:
-        entry = lambda code, of_object, is_type: F.struct(
-            F.lit(code).alias("c"), F.lit(of_object).alias("of_object"), F.lit(is_type).alias("is_type"))
-        lists = [F.array(entry(code, False, False), *[entry(t, of_object, True) for t, of_object in implied.get(code, ())])
-                 for code in range(len(codes))]
-        opened = keyed.select("s", "o", F.explode(F.array(*lists)[F.col("code")]).alias("e"))
-        keyed = opened.select(F.col("e.c").alias("code"), F.when(F.col("e.of_object"), F.col("o")).otherwise(F.col("s")).alias("s"),
-                              F.when(F.col("e.is_type"), "").otherwise(F.col("o")).alias("o"))
-    part = lambda i: F.array(*[F.lit(key[i]).cast("string") for key in codes])[F.col("code")]
-    return keyed.distinct().select(F.concat(part(0), "s").alias("s"), part(1).alias("p"), F.concat(part(3), "o").alias("o"),
-                                   part(2).alias("o_kind"), part(4).alias("o_datatype"))
+    plan.settle()
+    # Three kinds, so that the compiled code of each stays small.
+    found = []
+    for kind in (_SIMPLE, _COMPOSITE, _ALONE):
+        frames = [f for i, (df, groups) in enumerate(opened) for f in plan.facts(i, df, groups, kind)]
+        if frames:
+            facts = reduce(lambda a, b: a.union(b), frames)
+            # Pairs of keys seldom repeat within a task: those facts are dealt first, the others combine before.
+            facts = facts.repartition(*plan.columns) if kind == _COMPOSITE else facts
+            found.append(plan.triples(facts.groupBy(*plan.columns).agg(F.bit_or("mask").alias("mask")), kind))
+    if not found:
+        return spark.createDataFrame([], SCHEMA)
+    part = lambda i: F.array(*[F.lit(key[i]).cast("string") for key in plan.codes])[F.col("code")]
+    return reduce(lambda a, b: a.union(b), found).select(
+        F.concat(part(0), "s").alias("s"), part(1).alias("p"), F.concat(part(3), "o").alias("o"),
+        part(2).alias("o_kind"), part(4).alias("o_datatype"))
 
 
 def to_ntriples(triples: DataFrame, name: str = "line") -> DataFrame:
@@ -337,6 +325,17 @@ class _Names:
         return self._entries.items()
 
 
+def _opened(df: DataFrame, mapping: Mapping) -> tuple[DataFrame, list[tuple[int, tuple]]]:
+    """The rows a mapping wants, lists opened, and the steps by part."""
+    if mapping.when is not None:
+        df = df.filter(mapping.when)
+    plain = tuple(s for s in mapping.steps if not isinstance(s, ForEach))
+    lists = [s for s in mapping.steps if isinstance(s, ForEach)]
+    if lists:
+        df = df.select("*", F.inline(_open_lists(plain, lists)))
+    return df, ([(0, plain)] if plain else []) + [(i, each.steps) for i, each in enumerate(lists, 1)]
+
+
 def _open_lists(plain, lists) -> Column:
     """``(_part, _index, $item)``: part 0 for the row itself, part i for the elements of list i."""
     def opened(i, each):
@@ -390,29 +389,153 @@ def _confusable(codes: list[tuple]) -> bool:
     return False
 
 
-def _keyed(step, base: str, key, number) -> list[Column]:
-    """``code, s, o`` of a step: what all its triples share as a number, and the keys of its ends."""
-    subject = _prefix(step.node, base)
-    s = key(step.node)
-    if isinstance(step, Type):
-        code, o = number(subject, RDF_TYPE, "iri", base + step.node.cls, None), F.lit("")
-    elif isinstance(step, Attr):
-        code, o = number(subject, base + step.prop, "literal", "", XSD + step.datatype), _value(step.value).cast("string")
-    else:
-        if step.position:
-            s = F.when(F.col(INDEX) == 0 if step.position == "first" else F.col(INDEX) > 0, s)
-        code, o = number(subject, base + step.prop, "iri", _prefix(step.target, base), None), key(step.target)
-    if step.when is not None:
-        s = F.when(step.when, s)
-    return [F.lit(code).alias("code"), s.cast("string").alias("s"), o.cast("string").alias("o")]
+class _Plan:
+    """Which triples of which sources are made of the same values, and so are bits of one fact.
 
+    A code stands for all that is the same in the triples of a step. Its form says where in the fact the keys of both ends
+    are; ``cut`` are the places whose text must be free of the separator, because a composite key holds them.
+    """
+
+    def __init__(self, ontology: list[dict]):
+        self.ontology, self.codes, self.plain_keys = ontology, {}, True
+        self.made: list[list[tuple]] = []  # per source: part, code, values, form, further values that must be there, condition
+        self.texts: list[dict] = []  # per source: the names of its values
+        self.forms: dict[int, set] = {}
+
+    def _types(self, prop: str, end: str) -> list[str]:
+        return list(dict.fromkeys(r[end] for r in self.ontology if r["property"] == prop and r[end] and not (end == "range" and r["range_is_literal"])))
+
+    def add(self, df: DataFrame, groups, base: str) -> None:
+        made, texts = [], {}
+        number = lambda *key: self.codes.setdefault(key, len(self.codes))
 
-def _between(parts: list[str]) -> list[Column]:
+        def name(key) -> str:
+            return texts.setdefault(_identity(key), (f"_v{len(texts)}", key))[0]
+
+        def put(part, code, s, o, needed, when) -> None:
+            values = tuple(sorted(set(s) | set(o or ()), key=lambda n: int(n[2:])))
+            at = lambda names: None if names is None else tuple(values.index(n) for n in names)
+            cut = tuple(sorted({values.index(n) for names in (s, o or ()) if len(names) > 1 for n in names}))
+            form = (len(values), at(s), at(o), cut)
+            self.forms.setdefault(code, set()).add(form)
+            made.append((part, code, values, form, tuple(n for n in needed if n not in values), when))
+
+        for part, steps in groups:
+            for step in steps:
+                prefix, s, when = _prefix(step.node, base), tuple(map(name, step.node.key)), step.when
+                if isinstance(step, Type):
+                    key, o = (prefix, RDF_TYPE, "iri", base + step.node.cls, None), None
+                elif isinstance(step, Attr):
+                    key, o = (prefix, base + step.prop, "literal", "", XSD + step.datatype), (name(step.value),)
+                else:
+                    key, o = (prefix, base + step.prop, "iri", _prefix(step.target, base), None), tuple(map(name, step.target.key))
+                    if step.position:
+                        here = F.col(INDEX) == 0 if step.position == "first" else F.col(INDEX) > 0
+                        when = here if when is None else here & when
+                put(part, number(*key), s, o, (), when)
+                for c in self._types(key[1], "domain"):
+                    put(part, number(prefix, RDF_TYPE, "iri", c, None), s, None, o or (), when)
+                for c in self._types(key[1], "range") if key[2] == "iri" else ():
+                    # What a type triple points at is a class, whose IRI is no key.
+                    put(part, number(key[3], RDF_TYPE, "iri", c, None), o if o else (name(F.lit("")),), None, s, when)
+        nodes = {_identity(k) for _, steps in groups for step in steps for node in _nodes(step) for k in node.key}
+        kinds = df.select(*[_value(k).alias(n) for i, (n, k) in texts.items() if i in nodes]).schema.fields
+        self.plain_keys &= all(isinstance(f.dataType, _KEY_TYPES) for f in kinds)
+        self.made.append(made)
+        self.texts.append(texts)
+
+    def settle(self) -> None:
+        """Gives each code a fact and a bit: codes that some source makes of the same values share a fact."""
+        alone = {code for code, forms in self.forms.items() if len(forms) > 1}
+        group = {code: code for code in self.forms}
+        for made in self.made:
+            together: dict[tuple, int] = {}
+            for part, code, values, form, _, _ in made:
+                if code not in alone:
+                    other = group[together.setdefault((part, values, form[3]), code)]
+                    group = {c: other if g == group[code] else g for c, g in group.items()}
+        self.place, sizes, self.of = {}, {}, {}
+        for code in self.forms:
+            if code not in alone:
+                i = sizes[group[code]] = sizes.get(group[code], -1) + 1
+                fact = self.of.setdefault((group[code], i // _BITS), len(self.of))
+                self.place[code] = (fact, i % _BITS)
+        self.width = max(2, *[form[0] for forms in self.forms.values() for form in forms])
+        self.columns = ["f", *[f"k{i}" for i in range(self.width)]]
+        self.single = {code: len(self.of) + i for i, code in enumerate(self.forms)}
+
+    def facts(self, source: int, df: DataFrame, groups, kind: str) -> list[DataFrame]:
+        """The facts of a source as ``columns`` and ``mask``: of simple keys, of composite ones, or triples on their own."""
+        rows: dict[int, dict] = {}
+        for part, code, values, form, needed, when in self.made[source]:
+            asked = [F.col(n).isNotNull() for n in needed] + ([] if when is None else [F.coalesce(when, F.lit(False))])
+            said = reduce(lambda a, b: a & b, asked, F.lit(True))
+            if code in self.place and kind == (_COMPOSITE if form[3] else _SIMPLE):
+                fact, bit = self.place[code]
+                bits = rows.setdefault(part, {}).setdefault((fact, values, form[3], None), {})
+                bits[bit] = bits[bit] | said if bit in bits else said
+            if kind == _ALONE and (form[3] or code not in self.place):
+                bits = rows.setdefault(part, {}).setdefault((self.single[code], values, form[3] if code in self.place else None, form), {})
+                bits[0] = bits[0] | said if 0 in bits else said
+        if not rows:
+            return []
+        texts = {n: _value(k).cast("string").alias(n) for n, k in self.texts[source].values()}
+        used = {n for facts in rows.values() for _, values, _, _ in facts for n in values}
+        used |= {n for _, _, _, _, needed, _ in self.made[source] for n in needed}
+        df = df.withColumns({n: c for n, c in texts.items() if n in used})
+        if kind == _ALONE and all(cut for facts in rows.values() for _, _, cut, _ in facts):
+            split = {values[i] for facts in rows.values() for _, values, cut, _ in facts for i in cut}
+            df = df.filter(reduce(lambda a, b: a | b, [F.contains(n, F.lit("_")) for n in sorted(split)]))
+        listed = None
+        for part, facts in rows.items():
+            entries = F.array(*[self._entry(fact, values, cut, form, bits) for (fact, values, cut, form), bits in facts.items()])
+            here = F.col(PART) == part if PART in df.columns else F.lit(True)
+            listed = F.when(here, entries) if listed is None else listed.when(here, entries)
+        return [df.select(F.inline(listed)).filter("f IS NOT NULL AND mask <> 0")]
+
+    def _entry(self, fact: int, values, cut, form, bits) -> Column:
+        """A row of a fact; with ``form`` the ends of one triple, of values that a composite key would not tell apart."""
+        whole = [F.col(n).isNotNull() for n in values]
+        split = [F.contains(n, F.lit("_")) for n in (values[i] for i in cut or ())]
+        if form is None:
+            keys = [F.col(n) for n in values]
+            whole += [~x for x in split]
+        else:
+            end = lambda at: F.concat(*_between([encode_iri_part(F.col(values[i])) for i in at]))
+            literal = form[2] is not None and list(self.codes)[fact - len(self.of)][2] == "literal"
+            keys = [end(form[1]), F.lit("") if form[2] is None else F.col(values[form[2][0]]) if literal else end(form[2])]
+            whole += [reduce(lambda a, b: a | b, split)] if cut else []
+        keys += [F.lit(None).cast("string")] * (self.width - len(keys))
+        mask = reduce(lambda a, b: a.bitwiseOR(b), [F.when(said, F.lit(1 << bit).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for bit, said in bits.items()])
+        row = F.struct(F.lit(fact).alias("f"), *[k.alias(c) for k, c in zip(keys, self.columns[1:])], mask.alias("mask"))
+        return F.when(reduce(lambda a, b: a & b, whole, F.lit(True)), row)
+
+    def triples(self, facts: DataFrame, kind: str) -> DataFrame:
+        """``code, s, o``: the triples of different facts of a kind."""
+        if kind == _ALONE:
+            code = F.element_at(F.array(*[F.lit(c) for c in self.single]), F.col("f") - len(self.of) + 1)
+            return facts.select(code.alias("code"), F.col("k0").alias("s"), F.col("k1").alias("o"))
+        literal = [key[2] == "literal" for key in self.codes]
+        place = {code: at for code, at in self.place.items() for form in self.forms[code] if kind == (_COMPOSITE if form[3] else _SIMPLE)}
+        ends = {i for code in place for form in self.forms[code] for i in (*form[1], *(() if literal[code] else form[2] or ()))}
+        facts = facts.withColumns({f"e{i}": encode_iri_part(F.col(f"k{i}")) for i in sorted(ends)})
+        triple = lambda code, s, o: F.struct(F.lit(code).alias("code"), s.alias("s"), o.alias("o"))
+        of: dict[int, list[Column]] = {}
+        for code, (fact, bit) in place.items():
+            (form,) = self.forms[code]
+            end = lambda at: F.concat(*_between([F.col(f"e{i}") for i in at]))
+            o = F.lit("") if form[2] is None else F.col(f"k{form[2][0]}") if literal[code] else end(form[2])
+            of.setdefault(fact, []).append(F.when(F.col("mask").bitwiseAND(1 << bit) != 0, triple(code, end(form[1]), o)))
+        rows = reduce(lambda w, item: w.when(F.col("f") == item[0], F.array(*item[1])), of.items(), F.when(F.lit(False), None))
+        return facts.select(F.inline(rows)).filter("code IS NOT NULL")
+
+
+def _between(parts: list) -> list[Column]:
     out: list[Column] = []
-    for name in parts:
+    for part in parts:
         if out:
             out.append(F.lit("_"))
-        out.append(F.col(name))
+        out.append(F.col(part) if isinstance(part, str) else part)
     return out
 
 
@@ -435,5 +558,10 @@ def _value(key) -> Column:
     return key if isinstance(key, Column) else F.col(f"`{key}`")
 
 
+# Key columns whose text only changes by encoding if it is a text.
+_KEY_TYPES = (T.StringType, T.TimestampType, T.TimestampNTZType, T.NumericType, T.BooleanType, T.DateType, T.NullType)
+_BITS = 60
+_SIMPLE, _COMPOSITE, _ALONE = "simple", "composite", "alone"
+
 _TAGS = T.ArrayType(T.StructType([
     T.StructField(PART, T.IntegerType()), T.StructField(INDEX, T.IntegerType()), T.StructField(ITEM, T.StringType())]))

@@ -186,3 +186,29 @@ def test_star_joins_need_no_exchange(spark, tmp_path):
         assert {tuple(r) for r in star.select("m", "a", "b", "c").collect()} == want
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_facts_are_fewer_than_triples(spark):
+    """Triples of the same values are dropped as one, also across tables; keys that read in two ways stay apart."""
+    rows = [("u", "tt1", 3, "2000"), ("u", "tt1", 3, "2001"), ("u", "tt1", 3, "2001"), ("u_tt1", "tt2", 1, "x"), ("u", "tt1_tt2", 1, "x"),
+            ("u", "tt1_tt2", 2, "x"), (None, "tt3", 1, "x"), ("v w", "tt4", None, "x"), ("v w", "no", 5, "x")]
+    one = spark.createDataFrame(rows, "user_id string, movie_id string, rating int, rating_timestamp string")
+    two = spark.createDataFrame([("tt1", "T", 1990), ("tt1", "T", None), ("a b", "_", 1)], "movie_id string, title string, year int")
+    key, other = Node("Movie", "movie_id"), Node("Movie", "title")
+    titles = Mapping((Type(key), Attr(key, "title", "title"), Attr(key, "startYear", "year", "integer"), Link(other, "rates_movie", key),
+                      Type(Node("Rating", "title", "year")), Type(Node("Rating", "title"))))
+    sources = ((one, m.ratings_mapping()), (two, titles))
+    for some in (sources[:1], sources, sources[::-1]):
+        plain = union_triples(*[rows_to_triples(*x) for x in some])
+        for ontology in (None, m.ontology()):
+            found = [tuple(r) for r in set_of_triples(*some, ontology=ontology).collect()]
+            want = {tuple(r) for r in (rdfs_entail(plain, ontology) if ontology else plain).collect()}
+            assert len(found) == len(set(found)) and set(found) == want
+    plan = tr._Plan([])
+    opened, groups = tr._opened(*sources[0])
+    plan.add(opened, groups, BASE)
+    plan.settle()
+    facts = plan.facts(0, opened, groups, tr._COMPOSITE) + plan.facts(0, opened, groups, tr._SIMPLE)
+    clean = "rating is not null and movie_id = 'tt1'"
+    assert sum(x.filter("k0 = 'u' AND k1 IS NOT NULL AND k1 = 'tt1'").count() for x in facts) == 3 * one.filter(clean).count()
+    assert rows_to_triples(one.filter(clean), m.ratings_mapping()).count() == 8 * one.filter(clean).count()
