@@ -1,5 +1,7 @@
 """Readers, writers and incremental loading, on the table files and on copies Spark writes."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +13,8 @@ from . import query
 from .quality import titles
 from .graph import TITLE_PARTS, _TITLES, _set
 
+# Rows that one task sorts on the way to a file that one task writes.
+ROWS_OF_RANGE = 2_000_000
 _ORDERS = "SELECT o_orderkey, o_orderpriority AS priority, o_orderstatus AS status FROM orders"
 
 
@@ -121,16 +125,21 @@ def changed_files(t):
 @query("""SELECT 'order ' || o_orderkey AS key, o_custkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'a "} , {' || o_orderstatus END AS note, o_totalprice AS price FROM orders UNION ALL SELECT 'none ' || o_orderkey, NULL, NULL, NULL FROM orders WHERE o_orderstatus = 'P'""")
 def read_json_map_whole(t):
     """All orders as one document in one file, pretty-printed, with braces in texts and entries without a record."""
-    path = work_path(t.spark, "document")
+    path, sorted_ = work_path(t.spark, "document"), work_path(t.spark, "document-rows")
+    # Ranges of rows are sorted by a task each; the one that writes the file only reads them one after the other.
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    ranges = rows.repartitionByRange(max(1, -(-rows.count() // ROWS_OF_RANGE)), "o_orderkey").withColumn("range", F.spark_partition_id())
+    ranges.sortWithinPartitions("range", "o_orderkey").write.partitionBy("range").parquet(sorted_)
+    found = t.spark.read.schema(ranges.schema).parquet(sorted_).select("range").distinct().collect()  # one row per range
+    parts = [t.spark.read.schema(rows.schema).parquet(f"{sorted_}/range={i}") for i in sorted(r["range"] for r in found)]
     note = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('a "} , {'), "o_orderstatus"))
     record = F.struct(F.col("o_custkey").alias("id"), F.struct(note.alias("note"), F.col("o_totalprice").alias("price")).alias("more"))
     entry = F.concat(F.lit('"order '), "o_orderkey", F.lit('" : '), F.to_json(record))
     empty = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit('"none '), "o_orderkey", F.lit('": null')))
-    lines = t.orders.select(F.col("o_orderkey").alias("n"), F.concat_ws(",\n", entry, empty).alias("line"))
-    first = t.orders.agg(F.min("o_orderkey")).scalar()
-    lines = lines.select("n", F.concat(F.when(F.col("n") == first, "{ ").otherwise(","), "line").alias("value"))
-    close = t.spark.range(1).select((F.lit(1 << 62)).alias("n"), F.lit("}").alias("value"))
-    lines.union(close).repartitionByRange(1, "n").sortWithinPartitions("n").select("value").write.text(path)
+    line, first = F.concat_ws(",\n", entry, empty), t.orders.agg(F.min("o_orderkey")).first()[0]
+    lines = [x.select(F.concat(F.when(F.col("o_orderkey") == first, "{ ").otherwise(","), line).alias("value")) for x in parts]
+    close = t.spark.range(0, 1, 1, 1).select(F.lit("}").alias("value"))
+    reduce(lambda a, b: a.union(b), [*lines, close]).coalesce(1).write.text(path)
     schema = T._parse_datatype_string("id bigint, more struct<note string, price double>")
     return json_map.read_json_map_whole(t.spark, path, schema).select("key", "value.id", "value.more.note", "value.more.price")
 

@@ -157,3 +157,27 @@ def test_written_forms(spark, tmp_path):
     assert readers.read_triples_tsv(spark, str(tmp_path / "tsv")).count() == 3
     row = sinks.storage_footprint(spark, str(tmp_path / "nt"), str(tmp_path / "tsv")).first()
     assert row["saved_pct"] == pytest.approx((1 - row["after_bytes"] / row["before_bytes"]) * 100)
+
+
+def test_one_document_of_many_sorted_ranges(spark, monkeypatch):
+    """The task that writes the document sorts nothing, and ranges come in the order of their keys."""
+    import glob
+
+    from lakegraph import catalog
+    from lakegraph.catalog import storage
+    from lakegraph.session import checkpoint_dir
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(storage, "ROWS_OF_RANGE", 200)
+    names = lambda: set(glob.glob(f"{checkpoint_dir(spark)}/document-*"))
+    before = names()
+    rows = catalog.all_queries()["read_json_map_whole"](spark, folder).count()
+    made = names() - before
+    (document,) = [x for x in made if "rows" not in x]
+    (ranges,) = [x for x in made if "rows" in x]
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    assert rows == orders.count() + orders.filter("o_orderstatus = 'P'").count()
+    assert len(glob.glob(f"{ranges}/range=*")) > 5
+    (file,) = glob.glob(f"{document}/part-*")
+    text = open(file).read()
+    keys = [int(x.split('"')[0]) for x in text.split('"order ')[1:]]
+    assert text.startswith("{ ") and text.endswith("}\n") and keys == sorted(keys) and len(keys) == orders.count()
