@@ -43,6 +43,9 @@ def _graph_set(df, mapping):
     return set_of_triples((df, mapping))
 
 
+# A bucket of titles is sorted and joined by one task.
+SUBJECTS_PER_BUCKET = 250_000
+
 _M, _G = _iri("Movie", "tconst"), _iri("Genre", "genre")
 TITLE_PARTS = (
     _type(_M, "Movie", "t"), _attr(_M, "title", "primaryTitle", "t"), _attr(_M, "movieId", "tconst", "t"),
@@ -394,11 +397,16 @@ def ontology_frame(t):
     return rows.select("property", "domain", "range", "range_is_literal", F.coalesce("triples", F.lit(0)).alias("triples"))
 
 
+def _buckets(subjects: int) -> int:
+    """As many as keep a bucket at ``SUBJECTS_PER_BUCKET``, at least 8."""
+    return max(8, -(-subjects // SUBJECTS_PER_BUCKET))
+
+
 def title_star(t):
     """The graph of titles by subject, and a pattern of three properties of one title."""
     graph = set_of_triples((titles(t), m.titles_mapping()))
     path = work_path(t.spark, "by-subject")
-    stored = write_graph_by_subject(graph, "graph_" + path[-32:], path, 8)
+    stored = write_graph_by_subject(graph, "graph_" + path[-32:], path, _buckets(t.orders.count()))
     return match(stored, [("?movie", BASE + p, f"?{name}") for p, name in (("title", "title"), ("startYear", "year"), ("has_genre", "genre"))])
 
 

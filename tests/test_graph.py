@@ -212,3 +212,8 @@ def test_facts_are_fewer_than_triples(spark):
     clean = "rating is not null and movie_id = 'tt1'"
     assert sum(x.filter("k0 = 'u' AND k1 IS NOT NULL AND k1 = 'tt1'").count() for x in facts) == 3 * one.filter(clean).count()
     assert rows_to_triples(one.filter(clean), m.ratings_mapping()).count() == 8 * one.filter(clean).count()
+
+
+def test_buckets_follow_the_titles(spark):
+    from lakegraph.catalog import graph
+    assert graph._buckets(10) == 8 and graph._buckets(100 * graph.SUBJECTS_PER_BUCKET + 1) == 101
