@@ -310,15 +310,17 @@ def trade_graph(t):
     same = lambda a, b: _triple(a, "", b).withField("p", F.lit(plus.SAME))
     users = t.events.select("user_id").distinct().join(t.customer, F.col("user_id") == F.col("c_custkey"), "left_semi")
     doubles = t.supplier.join(t.customer, F.col("s_suppkey") == F.col("c_custkey"), "left_semi")
-    lines, before = t.lineitem.select("l_orderkey", "l_linenumber").distinct(), F.col("l_linenumber") - 1
-    held = lines.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"))
+    numbers, before = F.array_sort(F.collect_set("l_linenumber")).alias("numbers"), F.col("l_linenumber") - 1
+    lines = t.lineitem.filter("l_orderkey IS NOT NULL").groupBy("l_orderkey").agg(numbers)
+    after = F.filter("numbers", lambda n, i: (i > 0) & (F.get("numbers", i - 1) == n - 1))
+    lines = lines.select("l_orderkey", F.explode(after).alias("l_linenumber"))
     trades = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").distinct()
     parts = [
         t.customer.select(F.inline(F.array(_triple(customer, "lives_in", _node("Nation", "c_nationkey")),
                                            _triple(customer, "name", F.col("c_name"), "literal", XSD + "string")))),
         t.supplier.select(F.inline(F.array(_triple(supplier, "based_in", _node("Nation", "s_nationkey"))))),
         t.nation.select(F.inline(F.array(_triple(_node("Nation", "n_nationkey"), "part_of", _node("Region", "n_regionkey"))))),
-        lines.join(held, ["l_orderkey", "l_linenumber"]).select(F.inline(F.array(
+        lines.select(F.inline(F.array(
             _triple(_node("Line", "l_orderkey", "l_linenumber"), "follows", _node("Line", "l_orderkey", before))))),
         trades.select(F.inline(F.array(_triple(_node("Customer", "o_custkey"), "trades_with", _node("Supplier", "l_suppkey"))))),
         users.select(F.inline(F.array(same(_node("User", "user_id"), _node("Customer", "user_id"))))),

@@ -22,10 +22,12 @@ def transitive_closure(links: DataFrame, by: tuple[str, ...] = ()) -> tuple[Data
     its start. Both sides of the join are written tables, so that adaptive execution can split a hub.
     """
     links = links.filter(F.col("s").isNotNull() & F.col("o").isNotNull())
-    known = stored(links.select(*by, "s", "o").distinct().withColumn("steps", F.lit(1).cast("long")), "reach")
+    known = stored(links.select(*by, "s", "o").distinct().withColumn("steps", F.lit(1).cast("long")), "reach", compression="zstd")
     newest, rounds = known, 0
     while True:
         far = newest.filter(F.col("steps") == 2 ** rounds)
+        if not far.head(1):  # a longer way would begin with one of these
+            return known, rounds
         onward = known.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("s").alias("_s"), F.col("o").alias("_o"),
                               F.col("steps").alias("_steps"))
         same = F.col("o") == F.col("_s")
@@ -33,7 +35,7 @@ def transitive_closure(links: DataFrame, by: tuple[str, ...] = ()) -> tuple[Data
             same &= F.col(c) == F.col(f"_{c}")
         found = far.join(onward, same).select(*by, "s", F.col("_o").alias("o"), (F.col("steps") + F.col("_steps")).alias("steps"))
         found = found.groupBy(*by, "s", "o").agg(F.min("steps").alias("steps"))
-        newest = stored(found.join(known, [*by, "s", "o"], "left_anti"), "reach")
+        newest = stored(found.join(known, [*by, "s", "o"], "left_anti"), "reach", compression="zstd")
         rounds += 1
         added = newest.count()
         log.info("transitive closure, round %d: %d new pairs", rounds, added)

@@ -62,6 +62,16 @@ class Schema:
         starts = {p for p, _ in edges} | {p for p, _ in (*self.domains, *self.ranges)}
         return {p: _reached(edges, (p, False)) for p in starts}
 
+    def mutual(self) -> dict[str, set[tuple[str, bool]]]:
+        """For each property, those it implies and that imply it, itself included; True: with its ends exchanged."""
+        implied = self.implied()
+        return {p: {(q, turned) for q, turned in qs if (p, turned) in implied.get(q, {(q, False)})} for p, qs in implied.items()}
+
+    def mentions(self) -> set[str]:
+        """The properties that some rule is about."""
+        pairs = {p for p, _ in (*self.domains, *self.ranges)} | {p for pair in (*self.sub_properties, *self.inverses) for p in pair}
+        return pairs | {*self.symmetric, *self.transitive}
+
     def super_classes(self) -> dict[str, set[str]]:
         edges: dict[str, set[str]] = defaultdict(set)
         for a, b in self.sub_classes:
@@ -126,8 +136,29 @@ def entail_plus(triples: DataFrame, schema: Schema | None = None) -> DataFrame:
     triples give no triples; triples with a null part imply nothing and stay as they are.
     """
     schema = schema_of_triples(triples) if schema is None else schema
-    spark = triples.sparkSession
-    links = _links(spark, schema)
+    links = _links(triples.sparkSession, schema)
+    if schema.mentions() & {RDF_TYPE, SAME}:
+        return _in_full(triples, schema, links)
+    # Only stated triples are written and renamed; what a property implies is the same before and after.
+    stated = stored(triples.select(*COLUMNS), "stated", compression="zstd")
+    equal = (F.col("p") == SAME) & (F.col("o_kind") == "iri") & (F.col("s") != F.col("o"))
+    if stated.filter(equal).head(1):
+        names, rounds = representatives(stated.filter(equal).select("s", "o"))
+        log.info("equal terms: %d rounds", rounds)
+        stated = stored(_renamed(stated, names), "renamed", compression="zstd")
+    typing = F.coalesce((F.col("p") == RDF_TYPE) & (F.col("o_kind") == "iri") & F.col("o_datatype").isNull()
+                        & F.col("s").isNotNull() & F.col("o").isNotNull(), F.lit(False))
+    every = stated.filter(~typing)
+    if schema.transitive:
+        edges = _with_implied(stated, links).filter(F.col("p").isin(*schema.transitive) & (F.col("o_kind") == "iri")).select("p", "s", "o")
+        reached, rounds = transitive_closure(edges, ("p",))
+        log.info("transitive properties: %d rounds", rounds)
+        every = every.unionByName(_onward(reached))
+    return _told_once(every, schema).unionByName(_types(stated, stated.filter(typing), schema))
+
+
+def _in_full(triples: DataFrame, schema: Schema, links: DataFrame) -> DataFrame:
+    """The same with every implied triple written out: for schemas with rules about types or equality themselves."""
     every = stored(_with_implied(triples.select(*COLUMNS), links), "implied")
 
     pairs = every.filter((F.col("p") == SAME) & (F.col("o_kind") == "iri") & (F.col("s") != F.col("o"))).select("s", "o")
@@ -139,11 +170,60 @@ def entail_plus(triples: DataFrame, schema: Schema | None = None) -> DataFrame:
         edges = every.filter(F.col("p").isin(*schema.transitive) & (F.col("o_kind") == "iri")).select("p", "s", "o")
         reached, rounds = transitive_closure(edges, ("p",))
         log.info("transitive properties: %d rounds", rounds)
-        made = reached.filter("steps > 1").select("s", "p", "o", F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_datatype"))
-        every = every.unionByName(_with_implied(made, links))
+        every = every.unionByName(_with_implied(_onward(reached), links))
     return _with_types(every, schema).distinct()
 
 
+def _onward(reached: DataFrame) -> DataFrame:
+    """Triples of the ways of more than one step."""
+    return reached.filter("steps > 1").select("s", "p", "o", F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_datatype"))
+
+
+def _told_once(triples: DataFrame, schema: Schema) -> DataFrame:
+    """The set of triples with all that properties imply.
+
+    Properties that imply each other say the same, as a property and its inverse do. Only the first of them is made
+    distinct, a symmetric one with its ends in order, and the others are put beside it afterwards.
+    """
+    spark, mutual = triples.sparkSession, schema.mutual()
+    first = {p: min(qs) for p, qs in mutual.items()}
+    either = {p for p, qs in mutual.items() if (p, True) in qs}
+    told = set()
+    for literal in (False, True):
+        for p, qs in schema.implied(literal).items():
+            for q, turned in qs:
+                to, back = (q, False) if literal else first.get(q, (q, False))
+                told.add((p, literal, to, turned != back and to not in either, not literal and to in either))
+    rules = _table(spark, sorted(told), "_p string, _literal boolean, q string, turned boolean, either boolean")
+    turned, either_ = F.coalesce("turned", F.lit(False)), F.coalesce("either", F.lit(False))
+    least, greatest = F.least("s", "o"), F.greatest("s", "o")
+    once = _keyed(triples).join(rules, ["_p", "_literal"], "left").select(
+        F.when(either_, least).when(turned, F.col("o")).otherwise(F.col("s")).alias("s"), F.coalesce("q", "p").alias("p"),
+        F.when(either_, greatest).when(turned, F.col("s")).otherwise(F.col("o")).alias("o"), "o_kind", "o_datatype").distinct()
+    again = [(p, False, q, turned) for p, qs in mutual.items() if first[p] == (p, False) for q, turned in sorted(qs)]
+    out = _keyed(once).join(_table(spark, again, "_p string, _literal boolean, q string, turned boolean"), ["_p", "_literal"], "left")
+    # A term that is related to itself is the same with its ends exchanged.
+    out = out.filter(~(turned & F.coalesce(F.col("_p").isin(*sorted(either)), F.lit(False)) & (F.col("s") == F.col("o")))) if either else out
+    return out.select(
+        F.when(turned, F.col("o")).otherwise(F.col("s")).alias("s"), F.coalesce("q", "p").alias("p"),
+        F.when(turned, F.col("s")).otherwise(F.col("o")).alias("o"), "o_kind", "o_datatype")
+
+
+def _types(triples: DataFrame, typing: DataFrame, schema: Schema) -> DataFrame:
+    """The set of type triples: stated ones, the classes above them, and those of the ends of all triples.
+
+    Ways of a transitive property end where its steps do, so they add no class.
+    """
+    spark = triples.sparkSession
+    ends = _table(spark, _classes(schema), "_p string, _literal boolean, c string, of_object boolean")
+    above = [(c, d) for c, ds in schema.super_classes().items() for d in sorted(ds)]
+    found = _keyed(triples).join(ends, ["_p", "_literal"]).select(F.when(F.col("of_object"), F.col("o")).otherwise(F.col("s")).alias("s"), "c")
+    stated = triples.filter((F.col("p") == RDF_TYPE) & (F.col("o_kind") == "iri") & F.col("s").isNotNull())
+    more = stated.join(_table(spark, above, "o string, d string"), "o").select("s", F.col("d").alias("c"))
+    return found.union(more).union(typing.select("s", "o")).distinct().select(
+        "s", F.lit(RDF_TYPE).alias("p"), F.col("c").alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_datatype"))
+
+
 def all_names(triples: DataFrame) -> DataFrame:
     """(name, representative) of every term that has another name, itself included, from entailed triples."""
     same = triples.filter((F.col("p") == SAME) & (F.col("o_kind") == "iri"))
@@ -191,11 +271,16 @@ def _renamed(triples: DataFrame, names: DataFrame) -> DataFrame:
     return out.unionByName(ties)
 
 
+def _classes(schema: Schema) -> list[tuple[str, bool, str, bool]]:
+    """(property, of a literal, class, of the object) of the ends that have a class."""
+    return [(p, literal, c, i == 1) for literal in (False, True) for p, both in schema.classes_of_ends(literal).items()
+            for i in (0, 1) if not (literal and i) for c in sorted(both[i])]
+
+
 def _with_types(triples: DataFrame, schema: Schema) -> DataFrame:
     """Every triple, the classes of its ends, and the classes above a stated one."""
     spark = triples.sparkSession
-    ends = [(p, literal, c, i == 1) for literal in (False, True) for p, both in schema.classes_of_ends(literal).items()
-            for i in (0, 1) if not (literal and i) for c in sorted(both[i])]
+    ends = _classes(schema)
     own = sorted({(p, literal, None, False) for p, literal, *_ in ends})
     ends = _table(spark, own + ends, "_p string, _literal boolean, c string, of_object boolean")
     above = [(c, d) for c, ds in schema.super_classes().items() for d in sorted(ds)]

@@ -76,6 +76,24 @@ def test_rules_match_a_naive_fixpoint(spark, seed):
     assert again == got
 
 
+def test_only_stated_triples_are_written(spark, monkeypatch):
+    """What a property implies is put beside it at the end, also of a term that is related to itself."""
+    written, store = {}, plus.stored
+    monkeypatch.setattr(plus, "stored", lambda df, name, **k: written.setdefault(name, store(df, name, **k)))
+    schema = plus.Schema(sub_properties=((A + "p", A + "q"),), inverses=((A + "q", A + "r"), (A + "r", A + "u")), symmetric=(A + "u",))
+    rows = {link(A + "a", A + "p", A + "b"), link(A + "b", A + "r", A + "a"), link(A + "c", A + "u", A + "c"), link(A + "z", plus.SAME, A + "b")}
+    out = [tuple(r) for r in plus.entail_plus(frame(spark, sorted(rows, key=str) * 2), schema).collect()]
+    assert set(out) == naive(rows, schema) and len(out) == len(set(out))
+    assert written and all(df.distinct().count() <= len(rows) for df in written.values())
+
+
+@pytest.mark.parametrize("about", [plus.SAME, RDF_TYPE])
+def test_rules_about_types_and_equality(spark, about):
+    schema = plus.Schema(domains=((A + "p", A + "C"),), sub_classes=((A + "C", A + "D"),), sub_properties=((A + "p", about),))
+    rows = {link(A + "a", A + "p", A + "C"), link(A + "b", A + "p", A + "a"), (A + "a", A + "p", "text", "literal", "string")}
+    assert {tuple(r) for r in plus.entail_plus(frame(spark, sorted(rows, key=str)), schema).collect()} == naive(rows, schema)
+
+
 def test_schema_from_triples(spark):
     rows = [link(A + "p", plus.SUB_PROPERTY, A + "q"), link(A + "q", plus.SUB_PROPERTY, A + "r"), link(A + "q", plus.DOMAIN, A + "C"),
             link(A + "C", plus.SUB_CLASS, A + "D"), link(A + "D", plus.EQUAL_CLASS, A + "E"), link(A + "r", plus.INVERSE, A + "s"),
