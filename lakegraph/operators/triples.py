@@ -241,14 +241,14 @@ def set_of_triples(*sources: tuple[DataFrame, Mapping], ontology: list[dict] | N
         return rdfs_entail(every, ontology) if ontology else every.distinct()
 
     plan.settle()
-    # Three kinds, so that the compiled code of each stays small.
+    # Four kinds, so that the compiled code of each stays small.
     found = []
-    for kind in (_SIMPLE, _COMPOSITE, _ALONE):
+    for kind in (_SIMPLE, _PAIRED, _COMPOSITE, _ALONE):
         frames = [f for i, (df, groups) in enumerate(opened) for f in plan.facts(i, df, groups, kind)]
         if frames:
             facts = reduce(lambda a, b: a.union(b), frames)
-            # Pairs of keys seldom repeat within a task: those facts are dealt first, the others combine before.
-            facts = facts.repartition(*plan.columns) if kind == _COMPOSITE else facts
+            # Pairs of values seldom repeat within a task: those facts are dealt first, single values combine before.
+            facts = facts.repartition(*plan.columns) if kind in (_PAIRED, _COMPOSITE) else facts
             found.append(plan.triples(facts.groupBy(*plan.columns).agg(F.bit_or("mask").alias("mask")), kind))
     if not found:
         return spark.createDataFrame([], SCHEMA)
@@ -465,12 +465,12 @@ class _Plan:
         self.single = {code: len(self.of) + i for i, code in enumerate(self.forms)}
 
     def facts(self, source: int, df: DataFrame, groups, kind: str) -> list[DataFrame]:
-        """The facts of a source as ``columns`` and ``mask``: of simple keys, of composite ones, or triples on their own."""
+        """The facts of a source as ``columns`` and ``mask``: of one value, of several, of composite keys, or triples on their own."""
         rows: dict[int, dict] = {}
         for part, code, values, form, needed, when in self.made[source]:
             asked = [F.col(n).isNotNull() for n in needed] + ([] if when is None else [F.coalesce(when, F.lit(False))])
             said = reduce(lambda a, b: a & b, asked, F.lit(True))
-            if code in self.place and kind == (_COMPOSITE if form[3] else _SIMPLE):
+            if code in self.place and kind == _kind(form):
                 fact, bit = self.place[code]
                 bits = rows.setdefault(part, {}).setdefault((fact, values, form[3], None), {})
                 bits[bit] = bits[bit] | said if bit in bits else said
@@ -516,7 +516,7 @@ class _Plan:
             code = F.element_at(F.array(*[F.lit(c) for c in self.single]), F.col("f") - len(self.of) + 1)
             return facts.select(code.alias("code"), F.col("k0").alias("s"), F.col("k1").alias("o"))
         literal = [key[2] == "literal" for key in self.codes]
-        place = {code: at for code, at in self.place.items() for form in self.forms[code] if kind == (_COMPOSITE if form[3] else _SIMPLE)}
+        place = {code: at for code, at in self.place.items() for form in self.forms[code] if kind == _kind(form)}
         ends = {i for code in place for form in self.forms[code] for i in (*form[1], *(() if literal[code] else form[2] or ()))}
         facts = facts.withColumns({f"e{i}": encode_iri_part(F.col(f"k{i}")) for i in sorted(ends)})
         triple = lambda code, s, o: F.struct(F.lit(code).alias("code"), s.alias("s"), o.alias("o"))
@@ -530,6 +530,10 @@ class _Plan:
         return facts.select(F.inline(rows)).filter("code IS NOT NULL")
 
 
+def _kind(form: tuple) -> str:
+    return _COMPOSITE if form[3] else _PAIRED if form[0] > 1 else _SIMPLE
+
+
 def _between(parts: list) -> list[Column]:
     out: list[Column] = []
     for part in parts:
@@ -561,7 +565,7 @@ def _value(key) -> Column:
 # Key columns whose text only changes by encoding if it is a text.
 _KEY_TYPES = (T.StringType, T.TimestampType, T.TimestampNTZType, T.NumericType, T.BooleanType, T.DateType, T.NullType)
 _BITS = 60
-_SIMPLE, _COMPOSITE, _ALONE = "simple", "composite", "alone"
+_SIMPLE, _PAIRED, _COMPOSITE, _ALONE = "simple", "paired", "composite", "alone"
 
 _TAGS = T.ArrayType(T.StructType([
     T.StructField(PART, T.IntegerType()), T.StructField(INDEX, T.IntegerType()), T.StructField(ITEM, T.StringType())]))

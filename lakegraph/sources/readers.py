@@ -13,13 +13,14 @@ def read_delimited(spark: SparkSession, path, schema, sep: str, header: bool = F
 
     A value that does not fit its type gives null. ``quote=""`` takes quotation marks as
     ordinary text, so a stray one cannot swallow the rest of a row. A gzip file is read by one
-    task; ``partitions`` spreads its rows for what follows.
+    task; ``partitions`` spreads its rows for what follows, unless the files already keep every core busy.
     """
     df = (
         spark.read.schema(schema).option("sep", sep).option("header", header).option("quote", quote)
         .option("mode", "PERMISSIVE").csv(path)
     )
-    return df.repartition(partitions) if partitions else df
+    busy = min(partitions or 0, spark.sparkContext.defaultParallelism)
+    return df.repartition(partitions) if partitions and df.rdd.getNumPartitions() < busy else df
 
 
 def read_csv(spark: SparkSession, path, schema) -> DataFrame:
@@ -34,19 +35,23 @@ def read_json_map(spark: SparkSession, path, value_schema: T.StructType, lines:
     line, which splits over tasks. A document that does not parse gives no rows; count them with
     ``unparsed_documents``.
     """
-    return _documents(spark, path, value_schema, lines).select(F.explode("parsed").alias("key", "value"))
+    # Exploding a named column would make Spark parse again to filter empty maps before.
+    return _text(spark, path, lines).select(F.explode(_parsed(value_schema)).alias("key", "value"))
 
 
 def unparsed_documents(spark: SparkSession, path, value_schema: T.StructType, lines: bool = False) -> DataFrame:
     """One row: how many documents there are and how many do not parse; blank lines are no documents."""
-    documents = _documents(spark, path, value_schema, lines).filter(F.trim("value") != "")
+    documents = _text(spark, path, lines).filter(F.trim("value") != "").select(_parsed(value_schema).alias("parsed"))
     bad = F.col("parsed").isNull()
     return documents.agg(F.count("*").alias("documents"), F.count_if(bad).alias("unparsed"))
 
 
-def _documents(spark, path, value_schema, lines):
-    text = spark.read.text(path, wholetext=not lines)
-    return text.select("value", F.from_json("value", T.MapType(T.StringType(), value_schema)).alias("parsed"))
+def _text(spark, path, lines):
+    return spark.read.text(path, wholetext=not lines)
+
+
+def _parsed(value_schema):
+    return F.from_json("value", T.MapType(T.StringType(), value_schema))
 
 
 def read_table(spark: SparkSession, path) -> DataFrame:

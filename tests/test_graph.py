@@ -217,3 +217,12 @@ def test_facts_are_fewer_than_triples(spark):
 def test_buckets_follow_the_titles(spark):
     from lakegraph.catalog import graph
     assert graph._buckets(10) == 8 and graph._buckets(100 * graph.SUBJECTS_PER_BUCKET + 1) == 101
+
+
+def test_facts_of_two_values_are_dealt_before_they_are_combined(spark):
+    df = spark.createDataFrame([("tt1", "A", 1990, 90, ["x"]), ("tt1", "A", 1990, 90, ["x"]), ("tt1", "B", None, 90, ["x", "y"])],
+                               "tconst string, primaryTitle string, startYear int, runtimeMinutes int, genres array<string>")
+    found = tr.set_of_triples((df, m.titles_mapping()))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1
+    assert sorted(map(str, found.collect())) == sorted(map(str, rows_to_triples(df, m.titles_mapping()).distinct().collect()))

@@ -181,3 +181,36 @@ def test_one_document_of_many_sorted_ranges(spark, monkeypatch):
     text = open(file).read()
     keys = [int(x.split('"')[0]) for x in text.split('"order ')[1:]]
     assert text.startswith("{ ") and text.endswith("}\n") and keys == sorted(keys) and len(keys) == orders.count()
+
+
+def test_many_gzip_files_are_not_dealt_again(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    for name, files in (("many", cores), ("one", 1)):
+        spark.range(0, 1000, 1, files).write.option("compression", "gzip").csv(str(tmp_path / name))
+    read = lambda name: readers.read_delimited(spark, str(tmp_path / name), "id bigint", ",", partitions=3 * cores)
+    assert read("many").rdd.getNumPartitions() == cores and read("one").rdd.getNumPartitions() == 3 * cores
+    assert sorted(r[0] for r in read("many").collect()) == sorted(r[0] for r in read("one").collect()) == list(range(1000))
+
+
+def test_a_json_line_is_parsed_once(spark, tmp_path):
+    (tmp_path / "d.json").write_text('{"a": {"x": 1}, "b": null}\n{}\nnot json\n')
+    rows = readers.read_json_map(spark, str(tmp_path / "d.json"), spark.createDataFrame([], "x int").schema, lines=True)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert sorted(rows.collect()) == [("a", (1,)), ("b", None)]
+
+
+def test_a_graph_is_written_without_a_shuffle(spark, tmp_path):
+    from lakegraph.sources import sinks
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before, sc = spark.conf.get(key), spark.sparkContext
+    # More predicates than files a task has open, in turn.
+    rows = [(f"s{i}", f"p{i % (2 * sinks._OPEN_FILES)}", str(i), "iri", None) for i in range(1000)]
+    graph = sc.parallelize(rows, 3).toDF("s string, p string, o string, o_kind string, o_datatype string")
+    sc.setJobGroup("graph", "graph")
+    try:
+        sinks.write_triples(graph, str(tmp_path / "g"))
+        jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("graph")]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert [len(j.stageIds) for j in jobs if j] == [1] and spark.conf.get(key) == before
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "g")).select(*graph.columns).collect()) == sorted(rows)
