@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .triples import RDF_TYPE, VirtualGraph
 
+# A pattern counted to have no more triples is sent whole to every task.
+FEW_TRIPLES = 10_000
+
 
 def predicate_counts(triples: DataFrame, predicates: list[str]) -> dict[str, int]:
     """Triples per named predicate; the result has at most ``len(predicates)`` entries."""
@@ -23,29 +26,42 @@ def bgp_match(graph: DataFrame | VirtualGraph, patterns: list[tuple[str, str, st
     Terms that start with ``?`` are variables, all others are constants. The graph is a set of
     triples; solutions are a bag. A constant predicate becomes a filter that prunes partitions
     of a stored graph, or mapping steps of a virtual one. Patterns are joined connected ones
-    first, rarest first when ``counts`` is given. With ``entailed`` (the ontology of a graph
+    first, rarest first when ``counts`` is given; one that is counted small is broadcast, so that a hub
+    (a genre of millions of works) is neither shuffled nor held by a task. With ``entailed`` (the ontology of a graph
     that has its inferred types) type patterns that a domain already implies are left out.
     """
     if entailed is not None:
         patterns = _without_implied_types(patterns, entailed)
     resource_vars = {t for s, p, _ in patterns for t in (s, p) if _is_var(t)}
     uses = Counter(t for pattern in patterns for t in {x for x in pattern if _is_var(x)})
-    out, bound = None, set()
+    out, held, bound = None, None, set()
     for pattern in _join_order(patterns, counts):
         part, names = _bindings(graph, pattern, resource_vars, uses)
+        n = (counts or {}).get(pattern[1])
         if out is None:
-            out = part
+            out, held, whole = part, n, n is not None
         else:
             shared = sorted(bound & names)
             if not shared:
                 raise ValueError(f"pattern {pattern} shares no variable with the ones before it")
-            out = out.join(part, shared)
+            out = _joined(out, held, part, n, shared, whole)
+            held, whole = max((x for x in (held, n) if x is not None), default=None), False
         bound |= names
     variables = dict.fromkeys(t[1:] for pattern in patterns for t in pattern if _is_var(t))
     return out.select(*[(F.col(v)["o"] if f"?{v}" not in resource_vars and uses[f"?{v}"] > 1 else F.col(v)).alias(v)
                         for v in variables])
 
 
+def _joined(out: DataFrame, held: int | None, part: DataFrame, n: int | None, shared: list[str], whole: bool) -> DataFrame:
+    """The solutions so far, about ``held`` of them (``whole``: at most), with those of a pattern of ``n`` triples."""
+    if whole and held <= FEW_TRIPLES:
+        return part.join(F.broadcast(out), shared)
+    if n is not None and n <= FEW_TRIPLES:
+        return out.join(F.broadcast(part), shared)
+    # A sort-merge join holds the right side's rows of a key, so the side that is counted larger streams.
+    return part.join(out, shared) if None not in (held, n) and held < n else out.join(part, shared)
+
+
 def _bindings(graph, pattern, resource_vars, uses):
     s, p, o = pattern
     if isinstance(graph, VirtualGraph):

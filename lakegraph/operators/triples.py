@@ -291,10 +291,15 @@ class VirtualGraph:
         self.sources = sources
 
     def scan(self, predicate: str | None = None, cls: str | None = None) -> DataFrame:
-        """The set of triples of one predicate (and class, for type triples), or of all."""
+        """The set of triples of one predicate (and class, for type triples), or of all.
+
+        Repeats among all triples are dropped by facts, whose keys are shorter than IRIs.
+        """
+        if predicate is None:
+            return set_of_triples(*[(source.table, source.mapping) for source in self.sources])
         parts, unique = [], False
         for source in self.sources:
-            m = source.mapping if predicate is None else only(source.mapping, [predicate], cls)
+            m = only(source.mapping, [predicate], cls)
             if m.steps:
                 parts.append(rows_to_triples(source.table, m))
                 unique = predicate in {p if p == RDF_TYPE else m.base + p for p in source.unique}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.triples import to_ntriples
 
 _OPEN_FILES = 32
-_ROW_GROUP = 16 << 20
+_ROW_GROUP, _PAGE = 4 << 20, 256 << 10
 
 
 def write_table(df: DataFrame, path: str, partition_by=()) -> None:
@@ -22,16 +22,15 @@ def write_table(df: DataFrame, path: str, partition_by=()) -> None:
 def write_triples(triples: DataFrame, path: str) -> None:
     """Store a graph by predicate, so that a pattern with a constant predicate reads one folder.
 
-    A task has a file open for each predicate it meets, so triples are not shuffled to be written; a hash brings
-    those of a predicate together, which sorts faster than IRIs with a common beginning. Above ``_OPEN_FILES``
-    predicates Spark sorts the rest by name. Small row groups bound what open files hold.
+    A task has a file open for each predicate it meets, so triples are neither shuffled nor sorted to be written. Above
+    ``_OPEN_FILES`` predicates Spark sorts the rest by name. Small row groups and pages bound what open files hold.
     """
     conf, key = triples.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
     before = conf.get(key)
     conf.set(key, str(_OPEN_FILES))
     try:
-        near = triples.sortWithinPartitions(F.xxhash64("p"))
-        near.write.mode("overwrite").option("parquet.block.size", str(_ROW_GROUP)).partitionBy("p").parquet(path)
+        small = {"parquet.block.size": str(_ROW_GROUP), "parquet.page.size": str(_PAGE), "parquet.dictionary.page.size": str(_PAGE)}
+        triples.write.mode("overwrite").options(**small).partitionBy("p").parquet(path)
     finally:
         conf.set(key, before)
 

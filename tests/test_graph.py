@@ -76,6 +76,45 @@ def test_a_stored_graph_is_read_by_predicate(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(p" in match._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_hub_is_not_gathered(spark, tmp_path, monkeypatch):
+    """A pattern counted small is broadcast whatever Spark thinks of its files; otherwise the larger side streams. Nothing is sorted to be written."""
+    from lakegraph.operators import bgp
+    from lakegraph.sources.sinks import write_triples
+    rows = [(f"m{i}", "has_genre", f"g{i % 2}") for i in range(20)] + [("g0", "genre_name", "=A"), ("g1", "genre_name", "=B")]
+    rows += [(f"m{i}", "year", "=1990") for i in range(0, 20, 2)]
+    write_triples(_graph(spark, *rows), str(tmp_path / "g"))
+    graph = spark.read.parquet(str(tmp_path / "g"))
+    patterns = [("?m", "has_genre", "?g"), ("?g", "genre_name", "?n"), ("?m", "year", "?y")]
+    counts = predicate_counts(graph, [p for _, p, _ in patterns])
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    want = sorted((f"m{i}", "g0", "A", "1990") for i in range(0, 20, 2))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for few, small, large in ((10, 2, 0), (0, 0, 2)):
+            monkeypatch.setattr(bgp, "FEW_TRIPLES", few)
+            found = bgp_match(graph, patterns, counts=counts)
+            assert plan(found).count("BroadcastHashJoin") == small and plan(found).count("SortMergeJoin") == large
+            assert sorted(tuple(r) for r in found.collect()) == want
+        first = plan(found).split("SortMergeJoin")[-1]
+        assert 0 < first.index("has_genre") < first.index("genre_name")  # the right side's rows of a key are held
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_all_triples_of_a_virtual_graph_are_a_set(spark):
+    """Repeated rows, a null key and a node of two sources; what is shuffled are the keys, not the IRIs."""
+    works = spark.createDataFrame([(1, 1990), (1, 1990), (2, None), (None, 1991)], "k int, y int")
+    kinds = spark.createDataFrame([(1, "x"), (1, "x"), (2, "x")], "k int, g string")
+    work, genre = Node("Movie", "k"), Node("Genre", "g")
+    graph = VirtualGraph(Source(works, Mapping((Type(work), Attr(work, "startYear", "y", "integer"))), (RDF_TYPE, "startYear")),
+                         Source(kinds, Mapping((Link(work, "has_genre", genre), Attr(genre, "genre_name", "g")))))
+    every = merge_triples(*[rows_to_triples(s.table, s.mapping) for s in graph.sources])
+    assert sorted(map(str, graph.scan().collect())) == sorted(map(str, every.collect())) and graph.scan().count() == 6
+    plan = graph.scan()._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" in plan and not any(BASE in x for x in plan.split("\n") if "Exchange" in x) and "hashpartitioning(s#" not in plan
+
+
 def test_entailment(spark):
     graph = _graph(spark, ("u", BASE + "rates_movie", "r"), ("r", BASE + "rating_movie", "f"), ("f", BASE + "title", "=T"),
                    ("x", "unknown", "y"))
