@@ -36,7 +36,7 @@ def landing(t) -> str:
     t.spark.range(1).select(F.lit(1).alias("movieId"), F.lit("0000001").alias("imdbId"), F.lit("5").alias("tmdbId")).write.option(
         "header", True).csv(f"{path}/links.csv")
     work = F.array(F.struct(F.lit(5).alias("id"), F.lit(1.5).alias("popularity")))
-    detail = F.struct(F.col("c_custkey").cast("int").alias("id"), F.col("c_name").alias("name"), F.col("c_name").alias("original_name"),
+    detail = F.struct(F.col("c_custkey").cast("bigint").alias("id"), F.col("c_name").alias("name"), F.col("c_name").alias("original_name"),
                       F.lit(False).alias("adult"), F.lit(2.5).alias("popularity"),
                       (1 + F.col("c_custkey") % 3).cast("int").alias("gender"), work.alias("known_for"))
     document = F.create_map(person, F.struct(person.alias("imdb_id"), detail.alias("tmdb_data")))

@@ -24,7 +24,7 @@ RAW_USERS = "user_id string, twitter_id string"
 RAW_RATINGS = "user_id string, movie_id string, rating string, rating_timestamp string"
 RAW_LINKS = "movieId int, imdbId string, tmdbId string"
 RAW_CREW_DETAIL = (
-    "imdb_id string, tmdb_data struct<id int, name string, original_name string, media_type string, adult boolean, "
+    "imdb_id string, tmdb_data struct<id bigint, name string, original_name string, media_type string, adult boolean, "
     "popularity double, gender int, known_for_department string, profile_path string, "
     "known_for array<struct<id int, popularity double>>>")
 

@@ -109,3 +109,24 @@ def test_quality_report(formatted):
     assert {r["column"]: r["missing_ratio"] for r in report["column_completeness"].collect()}["genres"] == 0.25
     assert report["relation_completeness"].first()[0] == 0.25
     assert report["profile"].filter("column = '*' AND metric = 'row_count'").first()["value"] == 4
+
+
+def test_keys_beyond_32_bits(spark, tmp_path):
+    """Customers of a large table keep their row, whatever their number."""
+    from __spark_entry__ import queries
+    big = [0, 4, 2 ** 31, 2 ** 31 + 1, 9_000_000_002]
+    day = dt.datetime(1995, 3, 1)
+    tables = {
+        "customer": ([(k, f"C{k}", k % 2) for k in big], "c_custkey long, c_name string, c_nationkey int"),
+        "nation": ([(0, "PERU", 1), (1, "CHINA", 2)], "n_nationkey int, n_name string, n_regionkey int"),
+        "orders": ([(k + 7, k, day, "1-URGENT") for k in big], "o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderpriority string"),
+        "part": ([(5, "x")], "p_partkey long, p_name string"),
+        "supplier": ([(9_000_000_000, 0)], "s_suppkey long, s_nationkey int"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    genders = {1: "Female", 2: "Male", 3: "Non-binary"}
+    want = {("genre", "1990", "1-URGENT", len(big))}
+    people = [(("PERU", "CHINA")[k % 2], genders[1 + k % 3]) for k in big]
+    want |= {("profession", *x, people.count(x)) for x in people}
+    assert {tuple(r) for r in queries()["flow_answers"](spark, str(tmp_path)).collect()} == want
